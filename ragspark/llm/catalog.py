@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.common import table
 from ragspark.llm.dac import read_tokens, write_tokens
+from ragspark.llm.embeddings import embedding_components
 from ragspark.llm.fingerprints import fingerprint_columns, with_next
+from ragspark.llm.language import infer_languages, train_languages
 from ragspark.llm.line_dedup import dedup_lines
 from ragspark.llm.mixing import mix_sources
+from ragspark.llm.packing import pack_documents
+from ragspark.llm.quality import score_quality
 from ragspark.llm.sharding import assign_shards
 from ragspark.llm.simhash import simhash_components
 from ragspark.llm.tokens import default_tokenizer
@@ -21,10 +25,22 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
+    names, model = train_languages(docs.where(~held_out & F.col("lang").isNotNull()))
+    found = infer_languages(docs, names, model, [F.col("doc_id"), held_out.alias("held_out")])
+    return found.select("_row.doc_id", "_row.held_out", "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -46,10 +62,18 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_simhash, op5_line_dedup, op6_mixing, op7_fingerprints, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_simhash, op4_packing, op5_line_dedup, op6_mixing, op7_fingerprints, op8_quality, op9_embedding_dedup, op10_token_files)}
 
 ORACLES = {}
