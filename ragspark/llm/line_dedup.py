@@ -37,7 +37,7 @@ def _occurrences(min_chars: int):
             texts = batch.column("text").to_pylist()
             found = [{h for x in _lines(t) if (h := line_hash(x, min_chars))} for t in texts]
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
-            both = np.frombuffer(b"".join(h for x in found for h in x), "<i8").reshape(-1, 2)
+            both = np.frombuffer(b"".join(h for x in found for h in x), ">i8").astype(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([ids, pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "h1", "h2"])
 
     return run

@@ -59,18 +59,13 @@ def _level(rows: DataFrame, bounds: DataFrame, level: int) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: float = 3.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """How often the mix takes each document, so that each source comes near its target.
+def mix_plan(sized: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+    """_source, source_size, target, whole and threshold: documents are taken `whole` times, and once more below threshold.
 
-    Returns doc_id, source, size (words), source_size, target, copies (0 to ceil(cap)) and taken (copies * size).
-    Each source's documents are taken floor(target / size) times, and once more where their hash is under the
-    source's threshold. The threshold comes from histograms of sizes by source and hash bucket: the running sums
-    give a boundary bucket, and only the documents in it are summed again by the next LEVEL_BITS of the hash,
-    until it holds one hash. Nothing is sorted. Documents of the boundary hash are taken if that comes nearer to
-    the target. The hash depends on the id alone, so reruns agree and rows of equal ids go together. Null texts
-    have no words, null sources are a source, an empty table gives an empty one.
+    sized: materialized (doc_id, source, size, hash). Histograms of sizes by source and hash bucket: the running sums
+    give a boundary bucket, and only the documents in it are summed again by the next LEVEL_BITS of the hash, until
+    it holds one hash. Nothing is sorted. The documents of that hash are taken if that comes nearer to the target.
     """
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), key_hash(F.col(id_col)).alias("hash")), "sizes")
     targets = source_targets(sized.select("source", "size"), weights, cap).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = materialize(targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     bounds = targets.select("source", "rest", F.lit(0).cast("long").alias("base"))
@@ -82,18 +77,48 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap
             break
         open_ = bounds.where("low < high").select(F.col("source").alias("_source"), "part")
         part = F.shiftrightunsigned(F.col("hash"), HASH_BITS - LEVEL_BITS * (level + 1))
-        rows = materialize(rows.join(open_, F.col("source").eqNullSafe(F.col("_source")) & (part == F.col("part"))).select("doc_id", "source", "size", "hash"), "boundary")
+        rows = materialize(rows.join(open_, F.col("source").eqNullSafe(F.col("_source")) & (part == F.col("part"))).select("source", "size", "hash"), "boundary")
         bounds = bounds.where("low < high")
     ends = done[0]
     for more in done[1:]:
         ends = ends.union(more)
     nearer = F.col("base") + F.col("sum") - F.col("rest") < F.col("rest") - F.col("base")
     ends = ends.select(F.col("source").alias("_source"), (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
-    plan = targets.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").select(
-        F.col("source").alias("_source"), "source_size", "target", "whole", F.coalesce("threshold", F.when(F.col("rest") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))).alias("threshold"))
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+    none = F.when(F.col("rest") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))  # all documents together stay below the target
+    return targets.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+        F.col("source").alias("_source"), "source_size", "target", "whole", F.coalesce("threshold", none).alias("threshold"))
+
+
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), key_hash(F.col(id_col)).alias("hash")), "sizes")
+
+
+def _copies(hash_: Column) -> Column:
+    return (F.col("whole") + F.when(hash_ < F.col("threshold"), 1).otherwise(0)).cast("int")
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: float = 3.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """How often the mix takes each document, so that each source comes near its target.
+
+    Returns doc_id, source, size (words), source_size, target, copies (0 to ceil(cap)) and taken (copies * size); see
+    source_targets() and mix_plan(). A document's hash depends on its id alone, so reruns agree and rows of equal
+    ids go together. Null texts have no words, null sources are a source, an empty table gives an empty one.
+    """
+    sized = _sized(docs, id_col, source_col, text_col)
     return (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
-        .select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
+        sized.join(mix_plan(sized, weights, cap), F.col("source").eqNullSafe(F.col("_source")))
+        .select("doc_id", "source", "size", "source_size", "target", _copies(F.col("hash")).alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
+
+
+def take_mix(docs: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0), cap: float = 3.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, each as often as mix_sources() takes it.
+
+    The texts meet the plan, a row a source, in a join that Spark broadcasts if it is small, and else splits where a
+    source is hot; they are read twice.
+    """
+    plan = mix_plan(_sized(docs, id_col, source_col, text_col), weights, cap)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source_col).cast("string").alias("_of"), key_hash(F.col(id_col)).alias("_hash"))
+    taken = rows.join(plan, F.col("_of").eqNullSafe(F.col("_source"))).withColumn("_copies", _copies(F.col("_hash"))).where("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

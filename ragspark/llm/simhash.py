@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,40 +14,49 @@ from pyspark.sql import functions as F
 
 from ragspark.llm.common import connected_components, materialize, small_batches, tiled
 
-BITS, SEED = 64, 42
+SEED = 42
 #: Planes between two looks for dead cells, and query fingerprints compared at once.
 STRIDE, QUERIES = 8, 128
 
 
-def fingerprint(text: str | None, width: int = 3, chunk: int = 1 << 16) -> int:
-    """The SimHash of the text's word shingles, unsigned; 0 without words.
+def fingerprint(text: str | None, width: int = 3, bits: int = 64, chunk: int = 1 << 15) -> bytes:
+    """The SimHash of the text's word shingles, big-endian; all bits 0 without words.
 
     Words are runs of anything but ASCII white space after A-Z are lowered; fewer than `width` words are one
-    shingle. A bit is 1 if it is set in over half of the shingles' XXH64, repeats included.
+    shingle. A bit is 1 if it is set in over half of the shingles' hashes, repeats included: XXH64 for 64 bits,
+    XXH3-128 from as many seeds as needed for a multiple of 128.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return bytes(bits // 8)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts, stops = [0, *ends[: n - 1].tolist()], (ends[len(words) - n :] - 1).tolist()
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros(bits, np.int64)
     for at in range(0, n, chunk):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + chunk], stops[at : at + chunk], strict=True)), np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        shingles = [joined[a:b] for a, b in zip(starts[at : at + chunk], stops[at : at + chunk], strict=True)]
+        if bits == 64:
+            hashes = [xxhash.xxh64_digest(s, SEED) for s in shingles]
+        else:
+            hashes = [xxhash.xxh3_128_digest(s, seed) for s in shingles for seed in range(SEED, SEED + bits // 128)]
+        ones += np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
 
 
-def bit_planes(values: np.ndarray) -> np.ndarray:
-    """Row b holds bit b of all values, 64 values a word; the last word is padded with zeros."""
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    packed = np.packbits(np.pad(bits, ((0, -len(values) % 64), (0, 0))).T.copy(), axis=1, bitorder="little")
-    return packed.view(np.uint64)
+def unpacked(prints: Sequence[bytes]) -> np.ndarray:
+    """A row of bits for each fingerprint."""
+    return np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1)
+
+
+def bit_planes(bits: np.ndarray) -> np.ndarray:
+    """Row b holds bit b of all fingerprints, 64 of them a word; the last word is padded with zeros."""
+    padded = np.pad(bits, ((0, -len(bits) % 64), (0, 0)))
+    return np.packbits(np.ascontiguousarray(padded.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def within(queries: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (query, value) at Hamming distance radius or less.
+    """Index pairs (query, value) of rows of bits that differ in at most `radius` places.
 
     The planes are XORed with the queries' bits one after the other, and the differences go into carry-save
     counters: one word of counter bits for 64 values. The counters start at 2^k - 1 - radius, so the carry out
@@ -60,13 +70,12 @@ def within(queries: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tup
         valid[-1] = np.uint64((1 << len(values) % 64) - 1)
     start = (1 << k) - 1 - radius
     for at in range(0, len(queries), QUERIES):
-        own = queries[at : at + QUERIES]
-        flips = bit_planes(own)
-        flips = np.where(np.unpackbits(flips.view(np.uint8), axis=1, bitorder="little")[:, : len(own)] > 0, full, np.uint64(0))
-        q, w = (x.ravel() for x in np.meshgrid(np.arange(len(own)), np.arange(words), indexing="ij"))
+        flips = np.where(queries[at : at + QUERIES].T > 0, full, np.uint64(0))
+        n = flips.shape[1]
+        q, w = np.repeat(np.arange(n), words), np.tile(np.arange(words), n)
         over = ~valid[w]
         counters = [np.full(len(q), full if start >> i & 1 else np.uint64(0)) for i in range(k)]
-        for plane in range(BITS):
+        for plane in range(len(planes)):
             carry = planes[plane][w] ^ flips[plane][q]
             for i in range(k):
                 counters[i], carry = counters[i] ^ carry, counters[i] & carry
@@ -95,62 +104,111 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
             label = label[label]
 
 
+def exact_bands(bits: int, radius: int, n: int) -> list[list[int]]:
+    """Bit positions such that fingerprints which differ in at most radius bits agree in all of one band.
+
+    Of radius + 1 blocks of bits such a pair agrees in one; its leading bits, more for more fingerprints, are a band.
+    """
+    width = bits // (radius + 1)
+    lead = min(width, max(1, (n // 1024).bit_length()))
+    return [list(range(width * i, width * i + lead)) for i in range(radius + 1)]
+
+
+def likely_bands(bits: int, share: float, n: int, recall: float, seed: int = 11) -> list[list[int]]:
+    """Random bit positions such that a pair which differs in that share of all bits agrees in a band, with that chance.
+
+    A band has more bits for more fingerprints, so that a bucket stays near 512 of them as long as 24 bits allow it,
+    and there are more bands for longer ones.
+    """
+    width = min(24, max(4, (n // 512).bit_length()))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** width))
+    rng = np.random.default_rng(seed)
+    return [rng.choice(bits, width, replace=False).tolist() for _ in range(count)]
+
+
+def _keys(bands: list[list[int]]):
+    weight = [1 << np.arange(len(b), dtype=np.int64) for b in bands]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            bits = unpacked(batch.column("fp").to_pylist())
+            for i, band in enumerate(bands):
+                key = bits[:, band].astype(np.int64) @ weight[i]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), i, np.int32)), pa.array(key), batch.column("node"), batch.column("fp")], ["band", "key", "node", "fp"])
+
+    return run
+
+
 def _links(radius: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        values = group["fp"].to_numpy(np.int64).view(np.uint64)
-        tile = group["_tile"].to_numpy()
+        bits, tile, node = unpacked(group["fp"].tolist()), group["_tile"].to_numpy(), group["node"].to_numpy()
         left, right = np.nonzero(tile == group["_ti"].iloc[0])[0], np.nonzero(tile == group["_tj"].iloc[0])[0]
-        label = np.arange(len(values))
-        for q, v in within(values[left], values[right], radius):
-            label = forest(len(values), left[q], right[v], label)
-        joined = label != np.arange(len(values))
-        fp = group["fp"].to_numpy()
-        return pd.DataFrame({"a": fp[joined], "b": fp[label[joined]]})
+        label = np.arange(len(bits))
+        for q, v in within(bits[left], bits[right], radius):
+            label = forest(len(bits), left[q], right[v], label)
+        joined = label != np.arange(len(bits))
+        return pd.DataFrame({"a": node[joined], "b": node[label[joined]]})
 
     return run
 
 
-def hamming_links(prints: DataFrame, radius: int, tile: int = 4096) -> DataFrame:
-    """Links (a, b) that join exactly the fingerprints which chains of Hamming distances up to radius join.
+def hamming_links(prints: DataFrame, bands: list[list[int]], radius: int, tile: int = 4096) -> DataFrame:
+    """Links (a, b) that join the nodes which chains of Hamming distances up to radius join within a bucket.
 
-    prints: distinct fingerprints, one long column fp. Two that differ in at most radius bits agree in one of
-    radius + 1 blocks of bits, so each block's leading bits (more of them for more rows, the whole block at most)
-    make buckets, and the values of a bucket meet bit-sliced, a pair of tiles a task if the bucket is large. A
-    task returns a spanning forest of the links it found, at most a row for each value it has read.
+    prints: node (long) and fp, distinct fingerprints. Fingerprints with equal bits in a band are a bucket. Its values
+    meet bit-sliced, a pair of tiles a task if it is large. A task returns a spanning forest of the links it found,
+    at most a row for each value it has read.
     """
-    blocks, width = radius + 1, BITS // (radius + 1)
-    lead = min(width, max(1, (prints.count() // 1024).bit_length()))
-    starts = [width * i for i in range(blocks)]
-    keyed = prints.select("fp", F.posexplode(F.array(*[
-        F.shiftrightunsigned(F.col("fp"), s).bitwiseAND(F.lit((1 << lead) - 1)) for s in starts])).alias("block", "key"))
-    pairs = tiled(keyed, ["block", "key"], "fp", tile)
-    return pairs.groupBy("block", "key", "_ti", "_tj").applyInPandas(_links(radius), "a long, b long")
+    keyed = prints.select("node", "fp").mapInArrow(_keys(bands), "band int, key long, node long, fp binary")
+    pairs = tiled(keyed, ["band", "key"], "node", tile)
+    return pairs.groupBy("band", "key", "_ti", "_tj").applyInPandas(_links(radius), "a long, b long")
 
 
-def _prints(width: int):
+def _prints(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = [fingerprint(t, width, bits) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "fp"])
 
     return run
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 64, radius: int = 3, recall: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (hex digits) and component_id of every row.
 
     component_id is the smallest id reachable over fingerprints that differ in at most radius bits (equal ones
-    included). Null and empty texts have fingerprint zero and link like others. Rows without id take part, are
-    returned, and are never a component_id, which is null if a component has no id. Equal fingerprints are one
-    value in the search, so copies cost nothing more. An empty table gives an empty one.
+    included). The search is exact by exact_bands() if recall is None, which suits a small radius; for a large one,
+    likely_bands() find a pair at the radius with that chance at least, and nearer pairs more surely.
+    Null and empty texts have fingerprint zero and link like others. Rows without id take part, are returned, and
+    are never a component_id, which is null if a component has no id. Equal fingerprints are one value in the
+    search, so copies cost nothing more. An empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = materialize(pair.mapInArrow(_prints(width), "doc_id long, fp long"), "prints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = materialize(hamming_links(distinct.select("fp"), radius).distinct(), "links")
-    roots = materialize(connected_components(links), "roots")
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    marked = materialize(pair.mapInArrow(_prints(width, bits), "doc_id long, fp binary"), "prints")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    n = distinct.count()
+    bands = exact_bands(bits, radius, n) if recall is None else likely_bands(bits, radius / bits, n, recall)
+    links = materialize(hamming_links(distinct, bands, radius).distinct(), "links")
+    roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "_node")
+    named = distinct.join(roots, distinct["node"] == roots["_node"], "left").select("fp", "least", F.coalesce("component", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.select("fp", "root").join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(by_print, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = named.select(F.col("fp").alias("_fp"), "root").join(least, "root").select("_fp", "component_id")
+    return marked.join(by_print, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bits: int = 256, recall: float = 0.99) -> DataFrame:
+    """The rows of docs, all columns as they are, of which one document of each group of near-duplicates stays.
+
+    Two texts whose shingle multisets are `similarity` alike by Jaccard have a cosine of about 2 s / (1 + s), and
+    their fingerprints differ in that angle's share of the bits: the radius. A group are the texts that chains of
+    such fingerprints join, and the one with the smallest id stays. Of rows with equal ids one stays; rows without
+    id count as one id, which stays only if no row of its group has one. Texts move once, by id.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    found = simhash_components(docs, id_col, text_col, width, bits, math.ceil(share * bits), recall)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"))
+    return rows.join(stay, F.col("_doc").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["_doc"]).select("_row.*")
