@@ -120,4 +120,45 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY doc_id
 """
 
-ORACLES = {"op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+#: CRC-32 byte by byte with the table of its polynomial, as DuckDB has no such function.
+OP1_SQL = r"""
+WITH RECURSIVE step(i, k, v) AS (
+  SELECT i::BIGINT, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8
+), tab AS (
+  SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8
+), bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents
+), sized AS (
+  SELECT doc_id, (len(b) + 1)::BIGINT AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM bytes, tab
+), scores AS (
+  SELECT doc_id, j::INTEGER AS j, -1.0::DOUBLE / ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || j), 1, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976::DOUBLE) AS score
+  FROM sized, range(9) r(j)
+), chosen AS (
+  SELECT doc_id, arg_max(j, score) FILTER (WHERE j < 8) AS shard, arg_max(j, score) AS grown_shard FROM scores GROUP BY doc_id
+)
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, c.shard, c.grown_shard,
+  row_number() OVER (PARTITION BY c.shard ORDER BY ('0x' || substr(md5(coalesce(s.doc_id::VARCHAR, '') || '|' || s.text_crc32), 1, 15))::BIGINT, s.doc_id, s.size) - 1 AS slot
+FROM sized s JOIN chosen c ON s.doc_id = c.doc_id
+"""
+
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), component AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT c.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM component c LEFT JOIN degree d ON c.vec_id = d.vec_id
+"""
+
+ORACLES = {"op1_sharding": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op9_embedding_dedup": OP9_SQL}

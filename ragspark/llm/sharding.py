@@ -36,7 +36,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.col(id_col)
-    grown = [*weights, sum(weights) / len(weights)]
+    grown = [*weights, sum(weights) / max(1, len(weights))]
     rows = materialize(
         docs.select(
             key.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
