@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ragspark.llm.common import table
 from ragspark.llm.dac import read_tokens, write_tokens
 from ragspark.llm.embeddings import embedding_components
-from ragspark.llm.fingerprints import fingerprint_columns, with_next
+from ragspark.llm.fingerprints import fingerprint_edits
 from ragspark.llm.language import infer_languages, train_languages
 from ragspark.llm.line_dedup import dedup_lines
 from ragspark.llm.mixing import mix_sources
@@ -52,13 +52,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("text")
-    k = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k))
-    rows = with_next(table(spark, sf_dir, "documents")).select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    names = {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"}
-    marked = fingerprint_columns(rows, names, ["doc_id", "n_chars", "edited_sha256"], repeats=("next_text",))
+    marked = fingerprint_edits(table(spark, sf_dir, "documents"))
     like = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")  # noqa: E731  an exact digest: 1 if equal, else 0
     return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
 

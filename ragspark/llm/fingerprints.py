@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,40 +36,45 @@ def wide_hash(text: Column, bits: int = 128) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(first), 16, "0"), F.lpad(F.hex(second), 16, "0")))
 
 
-def resolve_collisions(texts: DataFrame, hashes: DataFrame) -> DataFrame:
+def bounded_broadcast(keys: DataFrame) -> DataFrame:
+    """The materialized keys, marked for broadcast if they are at most BROADCAST_ROWS."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def resolve_collisions(texts: DataFrame) -> DataFrame:
     """(hash, canonical, variant) of the hashes that different canonical texts share, variants from 0 in text order.
 
-    hashes: one column hash, a row a text. texts: hash, canonical; read only for hashes that are there more than
-    once. Equal buckets are compared byte by byte: grouping by (hash, canonical) compares whole texts, with
-    map-side combination, so a text that a third of the rows have moves once a task. Buckets with one distinct
-    text, in practice all, give no row.
+    texts: hash, canonical. Equal buckets are compared byte by byte: grouping by (hash, canonical) compares whole
+    texts, with map-side combination, so a text that a third of the rows have moves once a task. Buckets with one
+    distinct text, in practice all, give no row.
     """
-    repeated = materialize(hashes.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    distinct = texts.join(repeated, "hash", "left_semi").groupBy("hash", "canonical").count().drop("count")
+    distinct = texts.groupBy("hash", "canonical").count().drop("count")
     counts = distinct.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1")
     order = Window.partitionBy("hash").orderBy("canonical")
     return distinct.join(counts, "hash").withColumn("variant", F.row_number().over(order) - 1).drop("_n")
 
 
-def fingerprint_columns(rows: DataFrame, columns: dict[str, str], keep: list[str], repeats: tuple[str, ...] = (), bits: int = 128) -> DataFrame:
+def fingerprint_columns(rows: DataFrame, columns: dict[str, str], keep: list[str], texts: Callable[[DataFrame], DataFrame] | None = None, repeats: tuple[str, ...] = (), bits: int = 128) -> DataFrame:
     """The columns in `keep` and a fingerprint column for each text column; columns: fingerprint name by text column.
 
     Fingerprints are equal where the canonical texts are equal, and different elsewhere: a 128-bit hash of the
     canonical text, with a suffix for the second and later texts of a bucket in which byte comparison finds
-    several. Text columns in `repeats` hold only texts that other columns hold too, and are not compared again.
-    Null texts are empty.
+    several. Only texts whose hash occurs more than once are read for that. They come from rows again, or from
+    texts(), which gets the table of hashes (`keep` and a column _hash_X for each text column X) with those rows that
+    have a repeated hash, and returns a column `text` that holds all their texts. Text columns in `repeats` hold
+    only texts that other columns hold too, and are not compared again. Null texts are empty.
     """
     marked = rows.select(*keep, *[canonical(F.col(c)).alias(f"_text_{c}") for c in columns]).select(
         "*", *[wide_hash(F.col(f"_text_{c}"), bits).alias(f"_hash_{c}") for c in columns])
     hashed = materialize(marked.select(*keep, *[f"_hash_{c}" for c in columns]), "hashes")
     own = [c for c in columns if c not in repeats]
-    every, texts = None, None
-    for c in own:
-        one, text = hashed.select(F.col(f"_hash_{c}").alias("hash")), marked.select(F.col(f"_hash_{c}").alias("hash"), F.col(f"_text_{c}").alias("canonical"))
-        every, texts = (one, text) if every is None else (every.unionAll(one), texts.unionAll(text))
-    clashes = materialize(resolve_collisions(texts, every), "clashes")
+    every = reduce(DataFrame.unionAll, [hashed.select(F.col(f"_hash_{c}").alias("hash")) for c in own])
+    repeated = bounded_broadcast(materialize(every.groupBy("hash").count().where("count > 1").select("hash"), "repeated"))
+    if texts:
+        found = texts(repeated, hashed).select(canonical(F.col("text")).alias("canonical")).withColumn("hash", wide_hash(F.col("canonical"), bits))
+    else:
+        found = reduce(DataFrame.unionAll, [marked.select(F.col(f"_text_{c}").alias("canonical"), F.col(f"_hash_{c}").alias("hash")) for c in own])
+    clashes = materialize(resolve_collisions(found.join(repeated, "hash", "left_semi")), "clashes")
     if not clashes.limit(1).count():
         return hashed.select(*keep, *[F.col(f"_hash_{c}").alias(name) for c, name in columns.items()])
     for c, name in columns.items():
@@ -82,6 +90,36 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fingerprint_columns(rows, {"text": "fingerprint"}, ["doc_id"], bits=bits)
 
 
+def edited(text: Column, following: Column) -> Column:
+    """The text with its last third (rounded down) of code points replaced by the first as many of the following one."""
+    n = F.length(text)
+    k = F.floor(n / 3).cast("int")
+    return F.concat(F.substring(text, F.lit(1), n - k), F.substring(following, F.lit(1), k))
+
+
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 128, rows_per_range: int = 4096) -> DataFrame:
+    """Fingerprints of every text, of its edited text and of the next one; see with_next() and edited().
+
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint. To compare texts of equal
+    hashes, originals are read from docs, unmoved, and edited texts are made again from the few documents they need.
+    """
+    names = {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"}
+    rows = with_next(docs, id_col, text_col, rows_per_range).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+
+    def texts(repeated: DataFrame, hashed: DataFrame) -> DataFrame:
+        own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        pairs = materialize(hashed.join(repeated, F.col("_hash_edited") == F.col("hash"), "left_semi").select("doc_id", "next_id"), "pairs")
+        ids = bounded_broadcast(materialize(pairs.select("doc_id").union(pairs.select("next_id")).distinct().toDF("_one"), "ids"))
+        some = own.join(ids, F.col("_id").eqNullSafe(F.col("_one")), "left_semi")
+        first = pairs.join(some.toDF("_a", "_first"), F.col("doc_id").eqNullSafe(F.col("_a")))
+        both = first.join(some.toDF("_b", "_second"), F.col("next_id").eqNullSafe(F.col("_b")))
+        return own.select(F.col("_text").alias("text")).unionAll(both.select(edited(F.col("_first"), F.col("_second")).alias("text")))
+
+    marked = fingerprint_columns(rows, names, ["doc_id", "next_id", "n_chars", "edited_sha256"], texts, ("next_text",), bits)
+    return marked.drop("next_id")
+
+
 def _range_number(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most value; found in two steps of about sqrt(len(bounds)) each."""
     if not bounds:
@@ -97,7 +135,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     The ids alone give range bounds: quantiles, one for each rows_per_range rows, or max_ranges bounds of larger
     ranges. Each range is sorted by itself, and its last row meets the next range's first one, of which there is
-    one a range. Rows of equal ids are in one range and follow each other in the order of their texts; null ids
+    one a range: max_ranges rows of two numbers are what is broadcast at most. Rows of equal ids are in one range and follow each other in the order of their texts; null ids
     come last. A single row is its own next one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -108,9 +146,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     placed = rows.withColumn("part", part)
     inside = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
     follow = placed.select("*", F.lead(F.struct("doc_id", "text")).over(inside).alias("next"))
-    first = placed.groupBy("part").agg(F.max("doc_id").alias("_first"))
+    first = materialize(placed.groupBy("part").agg(F.max("doc_id").alias("_first")), "firsts")
     heads = (
-        placed.withColumnRenamed("part", "_part").join(first, (F.col("_part") == F.col("part")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+        placed.withColumnRenamed("part", "_part").join(F.broadcast(first), (F.col("_part") == F.col("part")) & F.col("doc_id").eqNullSafe(F.col("_first")))
         .groupBy("part", "doc_id").agg(F.min("text").alias("text"))
     )
     order = Window.orderBy(F.desc("part"))  # a row a range

@@ -1,0 +1,449 @@
+"""The corpus operators against brute force, on small tables with nulls, copies, clashing names and odd texts."""
+
+import hashlib
+import random
+import re
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ragspark.llm import dac, simhash
+from ragspark.llm.common import connected_components, gapless_rank, materialize, tiled
+from ragspark.llm.embeddings import embedding_components
+from ragspark.llm.fingerprints import fingerprint_documents, fingerprint_edits, with_next
+from ragspark.llm.language import infer_languages, select_languages, train_languages
+from ragspark.llm.line_dedup import dedup_lines
+from ragspark.llm.mixing import mix_sources, take_mix
+from ragspark.llm.packing import SCHEMES, group_and_fit, pack_documents, plan_sequences
+from ragspark.llm.quality import filter_quality, score_quality
+from ragspark.llm.sharding import assign_shards
+from ragspark.llm.simhash import drop_near_duplicates, simhash_components
+from ragspark.llm.tokens import Encoder, default_tokenizer
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, _hash int, count string, node string"
+SPACE = r"[^\x20\x09-\x0D]+"
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def frame(spark, rows):
+    """rows: (doc_id, text, lang, source); the other columns clash with names the operators use."""
+    return spark.createDataFrame([(*r, len(r[1] or ""), "x", "y", 1, "z", "n") for r in rows], SCHEMA)
+
+
+def prose(rng, n, words=None):
+    words = words or ["river", "stone", "Ab", "light", "über", "garten", "é", "walk", "under", "morning", "x1", "and", "the", "of"]
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    shared = ["This line is shared by very many documents.", "  THIS LINE IS shared by very many documents.\t", "short line", "exactly twenty chars"]
+    out = []
+    for i in range(60):
+        lines = [prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(0, 4))] + rng.sample(shared, rng.randint(0, 3))
+        rng.shuffle(lines)
+        out.append((i * 7 % 61 + 100, "\n".join(lines), rng.choice(["en", "de", None]), rng.choice(["a", "b", "é", None])))
+    out += [(500, None, "en", None), (501, "", None, "a"), (502, "\n\n", "en", "a"), (503, "word " * 30_000, "en", "a"), (504, out[3][1], "en", "b"), (505, out[3][1], "de", "a"), (506, "\x0b \x0c", "en", "b")]
+    return out
+
+
+def test_connected_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7), (900, 900)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {x: find(x) for x in parent}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_gapless_rank_and_tiles(spark):
+    df = materialize(spark.range(1000).select("id", (F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1 << 60)).alias("h")), "t")
+    got = gapless_rank(df, ["g"], "h", ["id"], "r", rows_per_bucket=37).collect()
+    for g in range(3):
+        own = sorted((r.h, r.id, r.r) for r in got if r.g == g)
+        assert [r for *_, r in own] == list(range(len(own)))
+    pairs = defaultdict(set)
+    for r in tiled(df.where("g = 0 or id < 40"), ["g"], "id", 50).collect():
+        pairs[r.g, r._ti, r._tj].add((r._tile, r.id))
+    met = Counter()
+    for (g, ti, tj), own in pairs.items():
+        a, b = [i for t, i in own if t == ti], [i for t, i in own if t == tj]
+        met.update((g, x, y) for x in a for y in b if ti < tj or x < y)
+    zero = sum(1 for i in range(1000) if i % 3 == 0)
+    assert sum(v for k, v in met.items() if k[0] == 0) == zero * (zero - 1) // 2 and set(met.values()) == {1}
+
+
+def test_sharding(spark, rows):
+    more = rows + [rows[0], rows[0], (None, "q", None, None), (None, None, None, None)]
+    got = assign_shards(frame(spark, more), [1.0] * 8).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in more)
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert all(r.grown_shard in (r.shard, 8) for r in got) and {r.law for r in got} == {"key"}
+    assert assign_shards(frame(spark, []), [1.0, 2.0]).count() == 0
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    n = Counter(r.shard for r in assign_shards(many, [1.0, 3.0]).collect())
+    assert 0.22 < n[0] / 20_000 < 0.28
+    with pytest.raises(ValueError):
+        assign_shards(many, [])
+
+
+def brute_lines(rows, least=20, docs=3):
+    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(ASCII_LOWER)
+    holds = defaultdict(set)
+    for d, t, *_ in rows:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= least and d is not None:
+                holds[key(x)].add(d)
+    gone = {k: max(v) for k, v in holds.items() if len(v) >= docs}
+    out = []
+    for d, t, *_ in rows:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if key(x) not in gone or gone[key(x)] == d]
+        out.append((d, len(lines), len(lines) - len(left), "\n".join(left)))
+    return Counter(out)
+
+
+def test_line_dedup(spark, rows):
+    more = rows + [rows[5], (None, rows[5][1], None, None)]
+    got = dedup_lines(frame(spark, more)).collect()
+    assert Counter((r._row.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == brute_lines(more)
+    assert any(r.n_dropped for r in got) and {r._row["count"] for r in got} == {"z"}
+    assert dedup_lines(frame(spark, [])).count() == 0
+
+
+def brute_targets(size, cap=3.0):
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    total, target, free = float(sum(size.values())), {}, set(order)
+    while free:
+        level = (total - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if cap * size[s] < level * weight[s] - 1e-9}
+        if not over:
+            return target | {s: level * weight[s] for s in free}
+        target |= {s: cap * size[s] for s in over}
+        free -= over
+    return target
+
+
+def test_mixing(spark, rows):
+    more = rows + [(None, "a b c", None, "tiny"), (None, "a b", None, "tiny"), (900, None, None, "empty")] + [rows[2]]
+    got = mix_sources(frame(spark, more)).collect()
+    words = lambda t: len(re.findall(SPACE, t or ""))
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((d, words(t)) for d, t, *_ in more)
+    size = Counter()
+    for _, t, _, s in more:
+        size[s] += words(t)
+    target = brute_targets(size)
+    for s in size:
+        own = [r for r in got if r.source == s]
+        assert all(r.source_size == size[s] and abs(r.target - target[s]) < 1e-6 * (1 + target[s]) for r in own)
+        assert abs(sum(r.taken for r in own) - target[s]) <= max([1, *(r.size for r in own)])
+    assert all(r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in got)
+    again = mix_sources(frame(spark, more)).collect()
+    assert Counter(got) == Counter(again)
+    repeated = Counter(r.doc_id for r in take_mix(frame(spark, more)).collect())
+    wanted = Counter()
+    for r in got:
+        wanted[r.doc_id] += r.copies
+    assert repeated == +wanted
+    assert mix_sources(frame(spark, [])).count() == 0
+
+
+def brute_print(text, width=3):
+    words = re.findall(SPACE, (text or "").translate(ASCII_LOWER))
+    if not words:
+        return 0
+    shingles = [" ".join(words)] if len(words) < width else [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
+    ones = [0] * 64
+    for h in (xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles):
+        for i in range(64):
+            ones[i] += h >> i & 1
+    return sum(1 << i for i in range(64) if 2 * ones[i] > len(shingles))
+
+
+def brute_components(ids, linked):
+    label = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if linked(i, j):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {}
+    for i, x in zip(ids, label, strict=True):
+        if i is not None:
+            least[x] = min(i, least.get(x, i))
+    return [least.get(x) for x in label]
+
+
+def test_simhash_components(spark, rows):
+    rng = random.Random(3)
+    near = [(700 + i, " ".join(w if rng.random() < 0.98 else "swap" for w in rows[10][1].split()), None, None) for i in range(12)]
+    more = rows + near + [(None, "", None, None), (None, "only here", None, None), rows[0]]
+    prints = [brute_print(t) for _, t, *_ in more]
+    want = brute_components([d for d, *_ in more], lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    got = Counter(map(tuple, simhash_components(frame(spark, more)).collect()))
+    assert got == Counter((d, f"{p:016x}", c) for (d, *_), p, c in zip(more, prints, want, strict=True))
+    assert simhash_components(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(("bits", "radius"), [(64, 0), (64, 3), (64, 5), (256, 40)])
+def test_bit_sliced_comparison(bits, radius):
+    rng = np.random.default_rng(radius)
+    a = rng.integers(0, 2, (150, bits)).astype(np.uint8)
+    b = np.concatenate([a[:70] ^ (rng.random((70, bits)) < radius / bits), rng.integers(0, 2, (131, bits))]).astype(np.uint8)
+    got = {(int(i), int(j)) for q, v in simhash.within(a, b, radius) for i, j in zip(q, v, strict=True)}
+    distance = (a[:, None, :] != b[None, :, :]).sum(axis=2)
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(distance <= radius)), strict=True)) and got
+
+
+def test_near_duplicates_stay_once(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(300)]
+        rows.append((g * 10, " ".join(base), "en", "a"))
+        for k in range(1, 4):
+            changed = list(base)
+            for _ in range(k):
+                changed[rng.randrange(300)] = rng.choice(words)
+            rows.append((g * 10 + k, " ".join(changed), "en", "a"))
+    rows.append(rows[0])
+    got = sorted(r.doc_id for r in drop_near_duplicates(frame(spark, rows)).collect())
+    assert got == [g * 10 for g in range(40)]
+    assert drop_near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_fingerprints(spark, rows):
+    texts = [t for _, t, *_ in rows] + ["Café  au lait ", "café AU lait", "ﬁn Straße", "FIN STRASSE", "fin", None]
+    more = [(i, t, None, None) for i, t in enumerate(texts)]
+    canon = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold())).strip()
+    for bits in (128, 6):  # six bits make most buckets hold several texts
+        got = {r.doc_id: r.fingerprint for r in fingerprint_documents(frame(spark, more), bits=bits).collect()}
+        for i, a in enumerate(texts):
+            for j in range(i):
+                assert (got[i] == got[j]) == (canon(a) == canon(texts[j])), (a, texts[j])
+    assert fingerprint_documents(frame(spark, [])).count() == 0
+
+
+def test_fingerprints_of_edits(spark, rows):
+    more = rows + [(200 + i, "same text of a hot group", None, None) for i in range(20)]
+    order = sorted(more, key=lambda r: -r[0])
+    texts = {}
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        t, u = a[1] or "", b[1] or ""
+        k = len(t) // 3
+        texts[a[0]] = (t, t[: len(t) - k] + u[:k], u)
+    canon = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())).strip()
+    for bits in (128, 5):
+        got = fingerprint_edits(frame(spark, more), bits=bits, rows_per_range=9).collect()
+        by_print, by_text = defaultdict(set), defaultdict(set)
+        for r in got:
+            for p, t in zip((r.fingerprint, r.edited_fingerprint, r.next_fingerprint), texts[r.doc_id], strict=True):
+                by_print[p].add(canon(t))
+                by_text[canon(t)].add(p)
+            assert r.edited_sha256 == hashlib.sha256(texts[r.doc_id][1].encode()).hexdigest()
+        assert len(got) == len(more) and {len(v) for v in by_print.values()} == {len(v) for v in by_text.values()} == {1}
+    assert fingerprint_edits(frame(spark, [])).count() == 0
+
+
+def test_next_documents(spark, rows):
+    for size in (7, 1000):
+        got = {r.doc_id: r for r in with_next(frame(spark, rows), rows_per_range=size).collect()}
+        order = sorted(rows, key=lambda r: -r[0])
+        assert len(got) == len(rows)
+        for a, b in zip(order, order[1:] + order[:1], strict=True):
+            assert (got[a[0]].next_id, got[a[0]].next_text) == (b[0], b[1] or "")
+    assert with_next(frame(spark, [(None, "a", None, None)])).collect()[0].next_text == "a"
+    assert with_next(frame(spark, [])).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(default_tokenizer())
+
+
+def test_encoder_equals_library(tokenizer):
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        own = Encoder(f.read())
+    rng = random.Random(2)
+    texts = ["", " ", "a ", "a  b", "a \nb", "a\n b", "don't we'll", "x <|endoftext|> y", "日本 語 b", "\x1c a", "\0 b", "a　b", "ÀÉ ß"]
+    texts += ["".join(rng.choice(" \n\tab'slt.1é,A  $ñ") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    assert own.splits
+    assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    own.splits = False
+    assert [x.tolist() for x in own.encode(texts[:50])] == [e.ids for e in tokenizer.encode_batch(texts[:50], add_special_tokens=False)]
+
+
+def test_token_files_round_trip(spark, rows, tokenizer, tmp_path, monkeypatch):
+    monkeypatch.setattr(dac, "FILE_IDS", 500)
+    more = rows + [rows[0]]
+    got = sorted(map(tuple, dac.read_tokens(dac.write_tokens(frame(spark, more), default_tokenizer(), str(tmp_path / "t"))).collect()))
+    at, want = 0, []
+    for d, t, *_ in sorted(more, key=lambda r: (r[0], r[1] or "")):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == sorted(want)
+    assert dac.read_tokens(dac.write_tokens(frame(spark, []), default_tokenizer())).count() == 0
+
+
+@pytest.mark.parametrize("top", [200, 60_000, 1 << 20, 1 << 31])
+def test_directly_addressable_codes(top):
+    rng = np.random.default_rng(top)
+    ids = np.where(rng.random(3000) < 0.5, rng.integers(0, min(256, top), 3000), rng.integers(0, top, 3000)).astype(np.uint32)
+    reader = dac.Reader(dac.encode(ids, np.array([0, 0, 700, 700, 3000])))
+    assert [reader.token(i) for i in range(0, 3000, 7)] == ids[::7].tolist()
+    for a, b in ((0, 3000), (5, 6), (1023, 2049), (700, 700), (511, 513)):
+        assert reader.slice(a, b).tolist() == ids[a:b].tolist()
+    assert [len(reader.document(k)) for k in range(4)] == [0, 700, 0, 2300]
+    with pytest.raises(ValueError):
+        dac.Reader(b"x" * 40)
+
+
+def test_packing_plan():
+    rng = np.random.default_rng(0)
+    for lengths in (rng.integers(1, 101, 500), rng.integers(30, 38, 4000), np.array([100] * 7 + [1]), rng.integers(1, 12, 900)):
+        counts = Counter(lengths.tolist())
+        plans = [group_and_fit(dict(counts), 100, groups, 100 // share) for share, groups in (*SCHEMES, (8, 16))]
+        for plan in plans:
+            placed = Counter()
+            for run, copies in plan:
+                assert sum(run) <= 100 and copies > 0
+                for n in run:
+                    placed[n] += copies
+            assert placed == counts
+        decreasing = []  # best fit, longest first, piece by piece
+        for n in sorted(lengths.tolist(), reverse=True):
+            room = [x for x in decreasing if x >= n]
+            if room:
+                decreasing.remove(min(room))
+            decreasing.append((min(room) if room else 100) - n)
+        assert sum(c for _, c in plan_sequences(dict(counts), 100)) <= len(decreasing)
+    assert plan_sequences({}, 100) == []
+
+
+def test_packing(spark, rows, tokenizer):
+    more = rows + [rows[0], rows[0]]
+    got = pack_documents(frame(spark, more), default_tokenizer(), capacity=64).collect()
+    want = Counter()
+    for d, t, *_ in more:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 64 or 64, len(ids) + 1, 64)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want[d, i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len(by) <= 1.05 * sum(r.length for r in got) / 64 + 2
+    assert pack_documents(frame(spark, []), default_tokenizer()).count() == 0
+
+
+def brute_vectors(rows, least=0.93):
+    good = [v is not None and lab is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, lab, v in rows]
+
+    def linked(i, j):
+        if not (good[i] and good[j]) or rows[i][1] != rows[j][1] or len(rows[i][2]) != len(rows[j][2]):
+            return False
+        a, b = np.array(rows[i][2], float), np.array(rows[j][2], float)
+        return float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b))) >= least
+
+    n = [sum(linked(i, j) for j in range(len(rows)) if i != j) for i in range(len(rows))]
+    return [(r[0], k, c) for r, k, c in zip(rows, n, brute_components([r[0] for r in rows], linked), strict=True)]
+
+
+def test_embedding_components(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((25, 16))
+    rows = []
+    for i in range(160):
+        v = base[i % 25] + rng.standard_normal(16) * rng.choice([0.0, 0.1, 0.3, 1.0])
+        rows.append((i * 37 % 997, int(i % 3), [float(np.float32(x)) for x in v]))
+    rows += [(1000, 1, None), (1001, None, rows[0][2]), (1002, 0, [0.0] * 16), (1003, 0, [float("nan")] + [1.0] * 15), (1004, 0, rows[0][2][:8]), (1005, 0, [None] + rows[0][2][1:]), (1006, 0, rows[0][2]), (1007, 0, [2 * x for x in rows[0][2]]), (1008, 0, [])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    want = {(d, n, c, d == c) for d, n, c in brute_vectors(rows)}
+    for tile, blocks in ((1024, 8), (9, 4), (50, 16)):
+        assert {tuple(r) for r in embedding_components(df, tile=tile, blocks=blocks).collect()} == want
+    assert embedding_components(df.limit(0)).count() == 0
+
+
+def test_language(spark):
+    rng = random.Random(6)
+    parts = {"aa": ["ka", "ri", "to", "na"], "bb": ["sch", "ung", "ber", "ä"], "cc": ["eau", "oi", "é", "tre"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, text(lang, 40), lang, None) for i, lang in enumerate([*parts] * 40)]
+    names, model = train_languages(frame(spark, rows).where("lang is not null"))
+    assert names == ["aa", "bb", "cc"]
+    tests = [(i, text(lang, 25), lang, None) for i, lang in enumerate([*parts] * 20)] + [(900, None, None, None), (901, "12 %% ", None, None), (902, text("aa", 60) + " " + text("bb", 30), "aa", None)]
+    got = {r._row.doc_id: r for r in infer_languages(frame(spark, tests), names, model, [F.col("doc_id")]).collect()}
+    assert np.mean([got[d].lang_pred == lang for d, _, lang, _ in tests[:60]]) == 1.0
+    assert (got[900].lang_pred, got[900].score, got[901].lang_pred) == ("und", 0.0, "und")
+    assert set(got[902].shares) == {"aa", "bb"} and 0.5 < got[902].score < 0.85
+    assert infer_languages(frame(spark, tests), [], model[:0], [F.col("doc_id")]).where("lang_pred <> 'und'").count() == 0
+    with np.errstate(all="raise"):
+        assert select_languages(np.array([[0.5, 0.1], [0.5, 0.9]]), np.array([10, 0]), 2.0).sum() == pytest.approx(1)
+
+
+def test_quality(spark):
+    rng = random.Random(7)
+    rows, bad = [], set()
+    for i in range(400):
+        t = prose(rng, rng.randint(8, 80)).capitalize() + "."
+        kind = i % 20
+        if kind == 0:
+            t = " ".join(w.upper() + "!!" for w in t.split())
+        elif kind == 1:
+            t = " ".join(w + rng.choice(["###", "$$$", "%%%"]) for w in t.split())
+        elif kind == 2:
+            t = " ".join(x for w in t.split()[:12] for x in [w] * 6)
+        elif kind == 3:
+            t = " | ".join(t.split())
+        if kind < 4:
+            bad.add(i)
+        rows.append((i, t, "en", "a"))
+    rows += [(500, None, None, None), (501, " \n", None, None)]
+    got = {r.doc_id: r for r in score_quality(frame(spark, rows)).collect()}
+    assert not any(got[i].keep for i in bad | {500, 501})
+    assert all(got[i].keep and 0.5 <= got[i].score <= 1 for i in range(400) if i not in bad)
+    kept = filter_quality(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert {r.doc_id for r in kept.collect()} == {i for i in got if got[i].keep}
+    assert score_quality(frame(spark, [])).count() == 0 and filter_quality(frame(spark, [])).count() == 0
+
+
+def test_edited_texts(spark):
+    """op7's digest columns, on the smallest tables."""
+    from ragspark.llm.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = sorted(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect(), reverse=True)
+    got = {r.doc_id: r for r in QUERIES["op7_fingerprints"](spark, d).collect()}
+    for (i, t), (j, u) in zip(docs, docs[1:] + docs[:1], strict=True):
+        k = len(t) // 3
+        edited = t[: len(t) - k] + u[:k]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == len(t)
+        assert got[i].near_next == float(got[i].fingerprint == got[j].fingerprint)
