@@ -20,7 +20,7 @@ def scan_corpus(spark: SparkSession, folder: str, suffixes: str = "md|txt") -> D
     """(path, text): a row for each file under the folder with one of the suffixes, in any case; a missing folder is empty."""
     if not exists(spark, folder):
         return spark.createDataFrame([], "path string, text string")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.where(F.col("path").rlike(rf"(?i)\.({suffixes})$"))
 
 
@@ -36,7 +36,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """The rows of evaluation files, with pos, their place in the file: a JSON array of objects; an object that holds one
     under data, samples, cases or questions; or either in a fenced block of a Markdown file. Items that are no
     objects are rows of nulls, which normalize_cases() rejects."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     fenced = F.regexp_extract("value", r"(?s)```(?:json)?\s*\n(.*?)\n\s*```", 1)
     body = F.trim(F.when(F.trim("value").rlike(r"^[\[{]"), F.col("value")).otherwise(fenced))
     wrapped = F.from_json(body, "struct<" + ",".join(f"{w}:array<{CASE}>" for w in WRAPPERS) + ">")
