@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 #: Unicode white space, as a Java character class without its brackets.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+#: The same, character by character.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Line boundaries of Unicode text; a carriage return and line feed are one.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
 LETTERS, OBFUSCATED = "oieast", "013457"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Without white space at the ends."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -95,4 +98,10 @@ def clean_legal(c: Column) -> Column:
 def lines(c: Column) -> Column:
     """The lines of a text; a break at the end starts no further line, an empty text has none."""
     body = F.regexp_replace(c, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+    plain = F.when(c.endswith("\n"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+    return F.when(c == "", F.array().cast("array<string>")).when(has_odd_breaks(c), F.split(body, LINE_BREAK, -1)).otherwise(F.split(plain, "\n", -1))
+
+
+def has_odd_breaks(c: Column) -> Column:
+    """Whether a text has line boundaries other than line feeds."""
+    return c.rlike(r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")

@@ -1,7 +1,7 @@
 """Heading-aware chunking: documents to sections, parents and children.
 
-A document is one row and its sections are rows exploded from it, so no text is shuffled to find them. Only sections
-longer than a chunk go through Python, in batches, as packing depends on the order of their blocks.
+Headings are found by windows over a document's lines, and texts without headings are not moved. Packing, which
+depends on the order of a section's blocks, goes through Python in batches.
 """
 
 from __future__ import annotations
@@ -10,16 +10,16 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragspark.functions.text import SPACE, clean_heading, lines, strip
+from ragspark.functions.text import SPACE, clean_heading, has_odd_breaks, lines, strip
 
 HEADING = rf"^[{SPACE}]{{0,3}}(#{{1,6}})[{SPACE}]+(.+?)[{SPACE}]*$"
 #: What a table's second line is, without bars at its ends: cells of dashes.
 RULE_ROW = re.compile(r"\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*$")
 LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-SECTION = "array<struct<first:int,level:int,title:string,path:string>>"
+MARKED = rf"(?m)^[{SPACE}]{{0,3}}#{{1,6}}[{SPACE}]"
 
 
 def heading_level(line: Column) -> Column:
@@ -47,31 +47,33 @@ def windows(text: Column, size: Column | int, overlap: int) -> Column:
 
 
 def sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, section (from 0), heading, heading_level, section_path, text: a row for each part under a heading.
+    """doc_id, section, heading, heading_level, section_path, text: a row for each part under a heading, in order.
 
-    What stands before the first heading is a section with an empty heading. The path holds the titles of the headings
-    above with smaller levels, and its own, joined by " > ". Sections without text and null texts give no row.
+    What stands before the first heading is section 0, with an empty heading. The path holds the titles of the headings
+    above with smaller levels, and its own, joined by " > ". Sections without text and null texts give no row; ids
+    are unique. Texts without a number sign at the start of a line are one section as they are. The lines of the others
+    are numbered by windows over the document, and gathered again by (document, section).
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), lines(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
-    marked = rows.withColumn("marks", F.filter(
-        F.transform("lines", lambda x, i: F.struct(i.alias("first"), heading_level(x).alias("level"), heading_title(x).alias("title"))),
-        lambda m: m["level"].isNotNull()))
-    stack = F.array().cast("array<struct<level:int,title:string>>")
-
-    def push(state: Column, mark: Column) -> Column:
-        above = F.concat(F.filter(state["stack"], lambda s: s["level"] < mark["level"]), F.array(F.struct(mark["level"].alias("level"), mark["title"].alias("title"))))
-        path = F.array_join(F.transform(above, lambda s: s["title"]), " > ")
-        return F.struct(above.alias("stack"), F.concat(state["out"], F.array(F.struct(mark["first"].alias("first"), mark["level"].alias("level"), mark["title"].alias("title"), path.alias("path")))).alias("out"))
-
-    found = F.aggregate("marks", F.struct(stack.alias("stack"), F.array().cast(SECTION).alias("out")), push, lambda s: s["out"])
-    opening = F.array(F.struct(F.lit(0).alias("first"), F.lit(None).cast("int").alias("level"), F.lit("").alias("title"), F.lit("").alias("path"))).cast(SECTION)
-    parts = marked.withColumn("parts", F.concat(F.when((F.size("marks") > 0) & (F.col("marks")[0]["first"] == 0), F.array().cast(SECTION)).otherwise(opening), found))
-    one = parts.select("doc_id", "lines", F.transform("parts", lambda p, i: F.struct(
-        i.alias("no"), p["first"].alias("first"), F.coalesce(F.get("parts", i + 1)["first"], F.size("lines")).alias("stop"), p["level"].alias("level"), p["title"].alias("title"), p["path"].alias("path"))).alias("parts"))
-    flat = one.select("doc_id", "lines", F.explode("parts").alias("p")).select(
-        "doc_id", F.col("p.no").alias("section"), F.col("p.title").alias("heading"), F.col("p.level").alias("heading_level"), F.col("p.path").alias("section_path"),
-        strip(F.array_join(F.slice("lines", F.col("p.first") + 1, F.col("p.stop") - F.col("p.first")), "\n")).alias("text"))
-    return flat.where("text <> ''")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("marked", F.col("text").contains("#") & F.col("text").rlike(MARKED))
+    plain = rows.where("not marked").select(
+        "doc_id", F.lit(0).cast("long").alias("section"), F.lit("").alias("heading"), F.lit(None).cast("int").alias("heading_level"), F.lit("").alias("section_path"),
+        strip(F.when(has_odd_breaks(F.col("text")), F.array_join(lines(F.col("text")), "\n")).otherwise(F.col("text"))).alias("text"))
+    flat = rows.where("marked").select("doc_id", F.posexplode(lines(F.col("text"))).alias("pos", "line"))
+    titled = flat.withColumn("title", F.when(F.col("line").contains("#") & F.col("line").rlike(MARKED), heading_title(F.col("line"))))
+    leveled = titled.withColumn("level", F.when(F.coalesce("title", F.lit("")) != "", F.length(F.regexp_extract("line", HEADING, 1))))
+    so_far = Window.partitionBy("doc_id").orderBy("pos")
+    last = {n: F.last(F.when(F.col("level") == n, F.struct("pos", "title")), True).over(so_far).alias(f"h{n}") for n in range(1, 7)}
+    seen = leveled.select("*", F.count("level").over(so_far).alias("section"), *last.values())
+    above, parts = F.lit(-1), []
+    for n in range(1, 7):  # the latest heading of a level holds unless one of a smaller level came after it
+        at = F.coalesce(F.col(f"h{n}.pos"), F.lit(-1))
+        parts.append(F.when(at > above, F.col(f"h{n}.title")))
+        above = F.greatest(above, at)
+    pathed = seen.withColumn("path", F.when(F.col("level").isNotNull(), F.concat_ws(" > ", *parts)))
+    gathered = pathed.groupBy("doc_id", "section").agg(
+        F.max("level").alias("level"), F.max(F.when(F.col("level").isNotNull(), F.col("title"))).alias("title"), F.max("path").alias("path"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    cut = gathered.select("doc_id", "section", F.coalesce("title", F.lit("")).alias("heading"), F.col("level").alias("heading_level"), F.coalesce("path", F.lit("")).alias("section_path"), strip(F.array_join(F.col("ls.line"), "\n")).alias("text"))
+    return plain.unionByName(cut).where("text <> ''")
 
 
 def blocks(ls: list[str]) -> list[list[str]]:
@@ -175,8 +177,6 @@ def chunk_sections(parts: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def _numbered(chunks: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    from pyspark.sql import Window
-
     return chunks.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 

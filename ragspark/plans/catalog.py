@@ -37,7 +37,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files. Number signs, which could open a heading where a window starts, are plus signs, so that the
     closed form of the windows in SQL holds; the tests cover headings."""
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.translate("text", "#", "+").alias("text"), "doc_id")
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.replace(F.col("text"), F.lit("#"), F.lit("+")).alias("text"), "doc_id")
 
 
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,7 +461,7 @@ def l9_judge_means(spark, sf_dir):
 def m1_stream_ingest(spark, sf_dir):
     out = tempfile.mkdtemp(prefix="stream-")
     kind = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.translate("text", "#", "+").alias("text"))
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.replace(F.col("text"), F.lit("#"), F.lit("+")).alias("text"))
     jobs.stream_ingest(stream, f"{out}/base", f"{out}/checkpoint").awaitTermination()
     return jobs.latest(spark.read.parquet(f"{out}/base/children")).select("chunk_id", F.md5("text").alias("text_md5"))
 
