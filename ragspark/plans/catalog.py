@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder for a stream's tables and checkpoints: in the cluster's shared one, or local where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stream-")
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files. Number signs, which could open a heading where a window starts, are plus signs, so that the
     closed form of the windows in SQL holds; the tests cover headings."""
@@ -459,7 +466,7 @@ def l9_judge_means(spark, sf_dir):
 
 @query(f"WITH {o.CHUNKS} SELECT chunk_id, md5(text) AS text_md5 FROM children")
 def m1_stream_ingest(spark, sf_dir):
-    out = tempfile.mkdtemp(prefix="stream-")
+    out = scratch(spark)
     kind = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.replace(F.col("text"), F.lit("#"), F.lit("+")).alias("text"))
     jobs.stream_ingest(stream, f"{out}/base", f"{out}/checkpoint").awaitTermination()
@@ -468,7 +475,7 @@ def m1_stream_ingest(spark, sf_dir):
 
 @query("""SELECT conv_id, turn, md5(text) AS text_md5, (SELECT count(*) FROM (SELECT role FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn < c.turn ORDER BY h.turn DESC LIMIT 6) WHERE role IN ('user', 'assistant'))::INT AS turns FROM conversations c WHERE role = 'user'""")
 def m2_stream_memory(spark, sf_dir):
-    out = tempfile.mkdtemp(prefix="stream-")
+    out = scratch(spark)
     kind = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     made = jobs.stream_memory(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*"), max_chars=100_000)
     made.writeStream.format("parquet").option("path", f"{out}/turns").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
