@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.llm.common import connected_components, materialize, small_batches, tiled
+from ragspark.llm.common import connected_components, discard, materialize, small_batches, tiled
 
 SEED = 42
 #: Planes between two looks for dead cells, and query fingerprints compared at once.
 STRIDE, QUERIES = 8, 128
+#: Most rows of a table that is sent to every task.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str | None, width: int = 3, bits: int = 64, chunk: int = 1 << 15) -> bytes:
@@ -44,6 +46,22 @@ def fingerprint(text: str | None, width: int = 3, bits: int = 64, chunk: int = 1
     return np.packbits(2 * ones > n).tobytes()
 
 
+def shingle_set(text: str | None, width: int) -> set[bytes]:
+    """The distinct word shingles of fingerprint()'s words; none without words."""
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def set_fingerprint(shingles: set[bytes], bits: int = 256, chunk: int = 1 << 15) -> tuple[bytes, bytes]:
+    """The SimHash of a set of shingles by XXH3-128, and a sum of their hashes that stands for the set."""
+    ones, total, some = np.zeros(bits, np.int64), np.zeros(2, np.uint64), list(shingles)
+    for at in range(0, len(some), chunk):
+        hashes = b"".join([xxhash.xxh3_128_digest(s, seed) for s in some[at : at + chunk] for seed in range(SEED, SEED + bits // 128)])
+        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
+        total += np.frombuffer(hashes, np.uint64).reshape(-1, bits // 64)[:, :2].sum(axis=0, dtype=np.uint64)
+    return np.packbits(2 * ones > len(some)).tobytes(), total.tobytes()
+
+
 def unpacked(prints: Sequence[bytes]) -> np.ndarray:
     """A row of bits for each fingerprint."""
     return np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), axis=1)
@@ -126,6 +144,21 @@ def likely_bands(bits: int, share: float, n: int, recall: float, seed: int = 11)
     return [rng.choice(bits, width, replace=False).tolist() for _ in range(count)]
 
 
+def threshold_bands(bits: int, share: float, radius: int, n: int, recall: float, seed: int = 11) -> list[list[int]]:
+    """As likely_bands(), for a pair each of whose bits differs with the chance `share`: it agrees in a band and differs
+    in at most radius bits, with that chance over its binomial distance."""
+    width = min(24, max(4, (n // 512).bit_length()))
+    d = np.arange(radius + 1)
+    law = np.array([math.comb(bits, int(i)) * share**i * (1 - share) ** (bits - i) for i in d])
+    if law.sum() <= recall:
+        raise ValueError("the radius is too small for that recall")
+    miss, count = 1 - (1 - d / bits) ** width, 1
+    while (law * (1 - miss**count)).sum() < recall:
+        count += 1
+    rng = np.random.default_rng(seed)
+    return [rng.choice(bits, width, replace=False).tolist() for _ in range(count)]
+
+
 def _keys(bands: list[list[int]]):
     weight = [1 << np.arange(len(b), dtype=np.int64) for b in bands]
 
@@ -199,16 +232,118 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(by_print, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def _set_prints(width: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_fingerprint(shingle_set(t, width), bits) for t in batch.column("text").to_pylist()]
+            made = [pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *made], ["doc_id", "hash", "fp", "sum"])
+
+    return run
+
+
+def _candidates(radius: int, labelled: bool):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        bits, tile, node = unpacked(group["fp"].tolist()), group["_tile"].to_numpy(), group["node"].to_numpy()
+        left, right = np.nonzero(tile == group["_ti"].iloc[0])[0], np.nonzero(tile == group["_tj"].iloc[0])[0]
+        label = group["label"].to_numpy() if labelled else node
+        covered, a, b = np.zeros(len(bits), bool), [left[:0]], [left[:0]]
+        for q, v in within(bits[left], bits[right], radius):
+            apart = label[left[q]] != label[right[v]]
+            x, y = left[q[apart]], right[v[apart]]
+            if labelled:
+                a.append(x), b.append(y)
+                continue
+            ends = [*np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)] if len(x) else []
+            for start, end in zip([0, *ends], ends):
+                own = y[start:end]
+                new = own[~covered[own]] if not covered[own].all() else own[:1]
+                covered[new] = covered[x[start]] = True
+                a.append(np.full(len(new), x[start])), b.append(new)
+        x, y = node[np.concatenate(a)], node[np.concatenate(b)]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    return run
+
+
+def hamming_candidates(prints: DataFrame, bands: list[list[int]], radius: int, tile: int = 4096) -> DataFrame:
+    """Distinct pairs a < b of nodes whose fingerprints share a band and differ in at most radius bits.
+
+    prints: node (long), fp, and perhaps label. With label: all such pairs of unlike labels. Without: stars, so that
+    every node that is in such a pair is in one of those returned, and a task returns at most two for each value.
+    """
+    labelled = "label" in prints.columns
+    keyed = prints.select("node", "fp").mapInArrow(_keys(bands), "band int, key long, node long, fp binary")
+    if labelled:
+        keyed = keyed.join(prints.select("node", "label"), "node")
+    pairs = tiled(keyed, ["band", "key"], "node", tile)
+    return pairs.groupBy("band", "key", "_ti", "_tj").applyInPandas(_candidates(radius, labelled), "a long, b long").distinct()
+
+
+def _alike(width: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                s, t = shingle_set(x, width), shingle_set(y, width)
+                common = len(s & t)
+                keep.append(common / max(1, len(s) + len(t) - common) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have that Jaccard similarity at least; texts: node, text."""
+    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_alike(width, similarity), "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, text_col: str, distinct: DataFrame, width: int, similarity: float, bits: int, recall: float) -> DataFrame:
+    """distinct (node, fp, hash: MD5 of a text of docs) with root: the component over pairs that are `similarity` alike.
+
+    Fingerprints only find candidates: pairs up to three standard deviations over the distance to expect at that
+    similarity. Each is checked on the whole texts, the stars first. Then the other pairs of nodes that are in a star
+    are checked, unless the first ones have joined them, so a large group of copies costs a pair for each member.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.ceil(share * bits + 3 * math.sqrt(bits * share * (1 - share)))
+    bands = threshold_bands(bits, share, radius, distinct.count(), recall)
+    stars = materialize(hamming_candidates(distinct, bands, radius), "stars")
+    met = materialize(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", "fp", "hash"), "met")
+    wanted = met.select("node", "hash")
+    if met.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(text_hash(text_col).alias("hash"), F.col(text_col).alias("text")).join(wanted, "hash").dropDuplicates(["node"]).select("node", "text")
+    texts = materialize(texts, "texts")
+    first = materialize(alike(stars, texts, width, similarity), "first")
+    joined = materialize(connected_components(first), "joined").withColumnRenamed("node", "_node")
+    labels = met.join(joined, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
+    others = materialize(hamming_candidates(labels, bands, radius, 1024).join(stars, ["a", "b"], "left_anti"), "others")
+    links = materialize(first.unionAll(alike(others, texts, width, similarity)), "links")
+    discard(texts)
+    roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "_node")
+    return distinct.join(roots, distinct["node"] == roots["_node"], "left").withColumn("root", F.coalesce("component", "node")).drop("_node", "component")
+
+
+def text_hash(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bits: int = 256, recall: float = 0.99) -> DataFrame:
     """The rows of docs, all columns as they are, of which one document of each group of near-duplicates stays.
 
-    Two texts whose shingle multisets are `similarity` alike by Jaccard have a cosine of about 2 s / (1 + s), and
-    their fingerprints differ in that angle's share of the bits: the radius. A group are the texts that chains of
-    such fingerprints join, and the one with the smallest id stays. Of rows with equal ids one stays; rows without
-    id count as one id, which stays only if no row of its group has one. Texts move once, by id.
+    A group are the texts that chains of pairs join whose sets of shingles are `similarity` alike by Jaccard at
+    least, as counted on the whole texts; the one with the smallest id stays. `recall` is the chance that the search by
+    fingerprints meets a pair at the very threshold. Texts without words are alike. Of rows with equal ids one stays;
+    rows without id count as one id, which stays only if no row of its group has one.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    found = simhash_components(docs, id_col, text_col, width, bits, math.ceil(share * bits), recall)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    small_batches(docs.sparkSession)
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
+    marked = materialize(some.mapInArrow(_set_prints(width, bits), "doc_id long, hash binary, fp binary, sum binary"), "prints")
+    distinct = materialize(marked.groupBy("fp", "sum").agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    found = jaccard_components(docs, text_col, distinct, width, similarity, bits, recall)
+    stay = found.groupBy("root").agg(F.min("least").alias("_stay")).select("_stay").distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"))
     return rows.join(stay, F.col("_doc").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["_doc"]).select("_row.*")

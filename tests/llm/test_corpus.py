@@ -231,6 +231,34 @@ def test_near_duplicates_stay_once(spark):
     assert drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def brute_shingles(text, width=5):
+    words = re.findall(SPACE, (text or "").translate(ASCII_LOWER))
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_near_duplicates_are_decided_by_jaccard(spark):
+    """Pairs on both sides of 0.8, a chain, and texts that share a passage repeated over and over."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(404)]
+        cut = 339 - g % 16 if g % 2 else 340 + g % 16
+        texts += [" ".join(base), " ".join(base[:cut] + [rng.choice(words) for _ in range(20)])]
+    chain = [rng.choice(words) for _ in range(600)]
+    texts += [" ".join(chain[i : i + 400]) for i in range(0, 200, 35)]
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    texts += [" ".join([passage] * 40 + [rng.choice(words) for _ in range(200)]) for _ in range(6)]
+    texts += [" ".join(["x", passage, *chain[:200]]), " ".join(["x", *[passage] * 30, *chain[:200]])]
+    sets = [brute_shingles(t) for t in texts]
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    near = [share(2 * g, 2 * g + 1) for g in range(60)]
+    assert sum(0.7 < x < 0.8 for x in near) > 10 and sum(0.8 <= x < 0.88 for x in near) > 10
+    want = sorted(set(brute_components(list(range(len(texts))), lambda i, j: share(i, j) >= 0.8)))
+    got = sorted(r.doc_id for r in drop_near_duplicates(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect())
+    assert got == want
+
+
 def test_fingerprints(spark, rows):
     texts = [t for _, t, *_ in rows] + ["Café  au lait ", "café AU lait", "ﬁn Straße", "FIN STRASSE", "fin", None]
     more = [(i, t, None, None) for i, t in enumerate(texts)]
