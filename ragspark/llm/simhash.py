@@ -335,15 +335,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs, all columns as they are, of which one document of each group of near-duplicates stays.
 
     A group are the texts that chains of pairs join whose sets of shingles are `similarity` alike by Jaccard at
-    least, as counted on the whole texts; the one with the smallest id stays. `recall` is the chance that the search by
-    fingerprints meets a pair at the very threshold. Texts without words are alike. Of rows with equal ids one stays;
-    rows without id count as one id, which stays only if no row of its group has one.
+    least, as counted on the whole texts. `recall` is the chance that the search by fingerprints meets a pair at the
+    very threshold. Texts without words are alike. The row with the least (id, MD5 of the text) of a group stays, one
+    without id only if no row of its group has one. Ids don't join texts: rows with the same id or none stay if
+    they are in different groups.
     """
     small_batches(docs.sparkSession)
     some = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
     marked = materialize(some.mapInArrow(_set_prints(width, bits), "doc_id long, hash binary, fp binary, sum binary"), "prints")
-    distinct = materialize(marked.groupBy("fp", "sum").agg(F.min("doc_id").alias("least"), F.min("hash").alias("hash")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "hash")
+    distinct = materialize(marked.groupBy("fp", "sum").agg(F.min(place).alias("least"), F.min("hash").alias("hash")).withColumn("node", F.monotonically_increasing_id()), "distinct")
     found = jaccard_components(docs, text_col, distinct, width, similarity, bits, recall)
-    stay = found.groupBy("root").agg(F.min("least").alias("_stay")).select("_stay").distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"))
-    return rows.join(stay, F.col("_doc").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["_doc"]).select("_row.*")
+    stay = found.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_stay"), F.col("least.hash").alias("_kept"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_doc"), text_hash(text_col).alias("_hash"))
+    mine = (F.col("_hash") == F.col("_kept")) & F.col("_doc").eqNullSafe(F.col("_stay"))
+    return rows.join(stay, mine, "left_semi").dropDuplicates(["_doc", "_hash"]).select("_row.*")

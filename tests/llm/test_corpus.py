@@ -259,6 +259,16 @@ def test_near_duplicates_are_decided_by_jaccard(spark):
     assert got == want
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rng = random.Random(22)
+    words = [f"w{i}" for i in range(3000)]
+    a, b, c, d, e, f = (" ".join(rng.choice(words) for _ in range(100)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b + " end"), (None, c), (3, c + " end"), (3, d), (5, c), (5, e), (5, e), (None, f), (None, f), (7, None), (None, "")]
+    got = Counter((r.doc_id, r.text) for r in drop_near_duplicates(frame(spark, [(*r, "en", "a") for r in rows])).collect())
+    kept = [x for x in got if x[1] in (b, b + " end")]
+    assert len(kept) == 1 and got == Counter([(None, a), kept[0], (3, c + " end"), (3, d), (5, e), (None, f), (7, None)])
+
+
 def test_fingerprints(spark, rows):
     texts = [t for _, t, *_ in rows] + ["Café  au lait ", "café AU lait", "ﬁn Straße", "FIN STRASSE", "fin", None]
     more = [(i, t, None, None) for i, t in enumerate(texts)]
