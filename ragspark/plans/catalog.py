@@ -362,7 +362,16 @@ def j4_limit_history(spark, sf_dir):
     odd = conversations.recent_messages(m).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(-F.col("turn"), F.col("text").alias("x")))).alias("xs"))
     walk = F.aggregate("xs", F.struct(F.lit(1200).alias("left"), F.lit(False).alias("odd")), lambda s, x: F.struct(
         (s["left"] - F.length(x["x"])).alias("left"), (s["odd"] | ((s["left"] > 0) & (F.length(x["x"]) > s["left"]) & F.substring(x["x"], F.lit(1), s["left"]).rlike(r"\s$"))).alias("odd")))
-    h = h.join(odd.where(~walk["odd"]).select("conv_id"), "conv_id", "left_semi")
+    return _history_digest(h.join(odd.where(~walk["odd"]).select("conv_id"), "conv_id", "left_semi"))
+
+
+@query()
+def j4_all_histories(spark, sf_dir):
+    """The budget walk of all conversations, also where a cut ends in white space; checked against brute force in the tests."""
+    return _history_digest(conversations.histories(read(spark, sf_dir, "conversations"), 6, 1200).where(F.size("history") > 0))
+
+
+def _history_digest(h: DataFrame) -> DataFrame:
     digest = F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.md5(x["content"]))), ",")
     chars = F.aggregate("history", F.lit(0).cast("long"), lambda s, x: s + F.length(x["content"]))
     return h.select("conv_id", F.size("history").cast("long").alias("turns"), chars.alias("chars"), digest.alias("digest"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ragspark.functions import text as t
 from ragspark.operators import answers, bm25, chunking, conversations, embedding, evaluation, fusion, guard, rerank, rewrite, vector
 from ragspark.packs import Pack, Settings
-from ragspark.plans import retrieval
+from ragspark.plans import catalog, retrieval
 from ragspark.sources import tables
 
 HISTORY = "array<struct<role:string,content:string>>"
@@ -308,6 +308,19 @@ def test_conversations(spark):
     assert {r.conv_id: r.updated_at for r in conversations.touch(c, n).collect()} == {1: "2021-01-01", 2: "2020-01-01"}
 
 
+def test_histories_of_all_conversations(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(c, k, ("user", "assistant")[k % 2], "".join(rng.choice("ab   ") for _ in range(rng.randint(0, 500)))) for c in range(60) for k in range(8)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for c in range(60):
+        kept = brute_budget([(r[2], r[3]) for r in rows if r[0] == c][-6:], 1200)
+        want[c] = (len(kept), sum(len(x) for _, x in kept), ",".join(f"{role}:{hashlib.md5(x.encode()).hexdigest()}" for role, x in kept))
+    got = {r.conv_id: (r.turns, r.chars, r.digest) for r in catalog.QUERIES["j4_all_histories"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert 0 < catalog.QUERIES["j4_limit_history"](spark, str(tmp_path)).count() < 60
+
+
 def test_citations_and_answers(spark):
     rows = [(1, 1, "C:\\d\\so tay.md", "**Điều 5.** Học phí", "Chương I > Điều 5", "1. Mức\na) x\n- b) y\n2) z", None), (1, 2, "/d/so tay.md", "**Điều 5.** Học phí", "chương i > điều 5", "1. Mức\na) x\n- b) y\n2) z", None),
             (1, 3, None, "", "A > B", "plain", "Điều 7: Khác > q"), (1, 4, "x", "", "", "none", None)]
