@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,42 +58,45 @@ def encode(ids: np.ndarray, starts: np.ndarray) -> bytes:
 
 
 class Reader:
-    """Random access to the ids of a file's bytes."""
+    """Random access to the ids of an open file, of which only the parts that are asked for are read."""
 
-    def __init__(self, data: bytes):
-        magic, version, n_levels, self.n_docs, self.n_ids = HEADER.unpack_from(data)
+    def __init__(self, file):
+        self.file = file
+        magic, version, n_levels, self.n_docs, self.n_ids = HEADER.unpack(self._bytes(0, HEADER.size))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token id file of this version")
-        at = HEADER.size
-        self.starts = np.frombuffer(data, "<u8", self.n_docs + 1, at).astype(np.int64)
-        at += 8 * (self.n_docs + 1)
-        self.levels = []
+        at = HEADER.size + 8 * (self.n_docs + 1)
+        self.levels = []  # where the bytes, the bitmap and the directory begin; None on the last level
         for i in range(n_levels):
-            (n,) = struct.unpack_from("<Q", data, at)
-            low = np.frombuffer(data, np.uint8, n, at + 8)
-            at += 8 + n
-            bits = ranks = None
-            if i + 1 < n_levels:
-                blocks = -(-n // BLOCK)
-                bits = np.frombuffer(data, "<u8", blocks * BLOCK // 64, at)
-                ranks = np.frombuffer(data, "<u8", blocks, at + blocks * BLOCK // 8)
-                at += blocks * (BLOCK // 8 + 8)
-            self.levels.append((low, bits, ranks))
+            (n,) = struct.unpack("<Q", self._bytes(at, 8))
+            low, at = at + 8, at + 8 + n
+            blocks = -(-n // BLOCK)
+            last = i + 1 == n_levels
+            self.levels.append((low, None if last else at, None if last else at + blocks * BLOCK // 8))
+            at += 0 if last else blocks * (BLOCK // 8 + 8)
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+    def starts(self, first: int, stop: int) -> np.ndarray:
+        """Where the documents from first to stop begin; the one after the last is the end."""
+        return np.frombuffer(self._bytes(HEADER.size + 8 * first, 8 * (stop - first)), "<u8").astype(np.int64)
 
     def _rank(self, level: int, place: int) -> int:
-        """Set bits before place: the directory's count and those of at most BLOCK / 64 words."""
+        """Set bits before place: the directory's count and those of at most BLOCK bits."""
         _, bits, ranks = self.levels[level]
-        block, word = place // BLOCK, place // 64
-        inside = bits[block * BLOCK // 64 : word]
-        part = int(bits[word]) & ((1 << place % 64) - 1)
-        return int(ranks[block]) + int(np.bitwise_count(inside).sum()) + part.bit_count()
+        block, inside = divmod(place, BLOCK)
+        (before,) = struct.unpack("<Q", self._bytes(ranks + 8 * block, 8)) if inside or place else (0,)
+        part = int.from_bytes(self._bytes(bits + block * BLOCK // 8, -(-inside // 8)), "little") & ((1 << inside) - 1)
+        return before + part.bit_count()
 
     def token(self, place: int) -> int:
-        """The id at a place, without decoding any other."""
+        """The id at a place: of each level one byte, one bitmap block at most and one directory entry."""
         value = 0
         for level, (low, bits, _) in enumerate(self.levels):
-            value |= int(low[place]) << 8 * level
-            if bits is None or not int(bits[place // 64]) >> place % 64 & 1:
+            value |= self._bytes(low + place, 1)[0] << 8 * level
+            if bits is None or not self._bytes(bits + place // 8, 1)[0] >> place % 8 & 1:
                 break
             place = self._rank(level, place)
         return value
@@ -105,14 +109,13 @@ class Reader:
         for level, (low, bits, _) in enumerate(self.levels):
             flags = None
             if bits is not None:
-                first = a // 64
-                words = bits[first : -(-b // 64)]
-                flags = np.unpackbits(words.view(np.uint8), bitorder="little")[a - 64 * first : b - 64 * first].astype(bool)
-            parts.append((low[a:b], flags))
+                raw = np.frombuffer(self._bytes(bits + a // 8, -(-b // 8) - a // 8), np.uint8)
+                flags = np.unpackbits(raw, bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
+            parts.append((np.frombuffer(self._bytes(low + a, b - a), np.uint8), flags))
             if flags is None or not flags.any():
                 break
             a = self._rank(level, a)
-            b = a + int(flags.sum())
+            b = a + int(np.count_nonzero(flags))
         value = parts[-1][0].astype(np.uint32)
         for low, flags in reversed(parts[:-1]):
             whole = low.astype(np.uint32)
@@ -121,51 +124,50 @@ class Reader:
         return value
 
     def document(self, k: int) -> np.ndarray:
-        return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
+        return self.slice(*self.starts(k, k + 2).tolist())
 
 
 def _write(folder: str, shared, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared)
+        own, part = encoder(shared), TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(folder)
-        docs, held, size = [], [], 0
+        end = np.array([end_id], np.uint32)
+        docs, held, size, seq = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal docs, held, size
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            nonlocal docs, held, size, seq
+            starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in held])])
             name = f"{uuid.uuid4().hex}.dac"
             with fs.open_output_stream(f"{base}/{name}") as f:
-                f.write(encode(np.concatenate(held), starts))
-            row = pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "docs": docs, "n_ids": size}], schema=_files)
-            docs, held, size = [], [], 0
+                f.write(encode(np.concatenate([x for ids in held for x in (ids, end)]), starts))
+            row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "file": f"{folder}/{name}", "docs": docs, "n_ids": size}], schema=_files)
+            docs, held, size, seq = [], [], 0, seq + 1
             return row
 
-        end = np.array([end_id], np.uint32)
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids = np.concatenate([ids, end]).astype(own.dtype if end_id <= np.iinfo(own.dtype).max else np.uint32)
-                if size and size + len(ids) > FILE_IDS:
+                if size and size + len(ids) + 1 > FILE_IDS:
                     yield flush()
                 docs.append(doc)
                 held.append(ids)
-                size += len(ids)
+                size += len(ids) + 1
         if docs:
             yield flush()
 
     return run
 
 
-_files = pa.schema([("file", pa.string()), ("docs", pa.list_(pa.int64())), ("n_ids", pa.int64())])
+_files = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("docs", pa.list_(pa.int64())), ("n_ids", pa.int64())])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, append end_id and write the ids in ascending order of the ids of the documents.
 
-    Returns the manifest, itself a table in the shared folder: file, docs (ids of its documents in order), n_ids,
-    first (ids in all files before it). folder is a URI that all executors reach, by default in the shared folder.
+    Returns the manifest, itself a table in the shared folder: part and seq (the partition, and its files in order),
+    file, docs (ids of its documents in order), n_ids, first (ids in all files before it). folder is a URI that all executors reach, by default in the shared folder.
     The texts are range-partitioned and sorted by id; a task writes files of up to FILE_IDS ids under fresh names,
     and only the manifest of tasks that ended well names them, so a lost executor or a second attempt leaves no
-    wrong file in it. Null texts are empty and have the end id only. Rows of equal ids all appear; null ids are first.
+    wrong file in it. The places of the files are sums of scalars, by partition and within it. Null texts are empty and have the end id only. Rows of equal ids all appear; null ids are first.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -178,10 +180,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = materialize(dealt.mapInArrow(_write(folder, shared, end_id), "file string, docs array<long>, n_ids long"), "manifest")
-    order = Window.orderBy(F.col("docs")[0].asc_nulls_first(), F.col("docs")[F.size("docs") - 1].asc_nulls_first(), F.size("docs")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("first"))  # a row a file of millions of ids
-    return files.join(starts, "file")
+    files = materialize(dealt.mapInArrow(_write(folder, shared, end_id), "part int, seq int, file string, docs array<long>, n_ids long"), "manifest")
+    by_part = files.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    bases = by_part.select("part", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("_inside")).join(bases, "part")
+    return files.join(starts.select("part", "seq", (F.col("_base") + F.col("_inside")).alias("first")), ["part", "seq"])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,14 +194,20 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             fs, path = pafs.FileSystem.from_uri(row["file"])
             with fs.open_input_file(path) as f:
-                reader = Reader(f.read())
-            crcs = [zlib.crc32(reader.document(k).astype("<u4").tobytes()) for k in range(reader.n_docs)]
+                reader = Reader(f)
+                starts, ids = reader.starts(0, reader.n_docs + 1), reader.slice(0, reader.n_ids)
+            raw, ends = memoryview(ids.astype("<u4", copy=False)).cast("B"), (4 * starts).tolist()
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])]  # noqa: B905
             yield pa.RecordBatch.from_arrays([
-                pa.array(row["docs"], pa.int64()), pa.array(row["first"] + reader.starts[:-1]), pa.array(np.diff(reader.starts)), pa.array(crcs, pa.int64()),
+                pa.array(row["docs"], pa.int64()), pa.array(row["first"] + starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64()),
             ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files of a manifest; a file is read at once."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files of a manifest.
+
+    A file, of FILE_IDS ids or one document, is decoded at once. The manifest is small, so its rows are dealt to as many
+    tasks as a shuffle has, whatever their bytes.
+    """
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file", "docs", "first").repartition(parts, "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "docs", "first").repartition(parts).mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -13,6 +13,9 @@ from tokenizers import Tokenizer
 
 #: Word pieces a worker remembers in each of its two generations.
 REMEMBERED = 400_000
+#: The byte-level splitting rule, and the first character not taken through the short path.
+RULE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
+MARKS, LATIN_END = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
 _encoders: dict[int, Encoder] = {}
 
 
@@ -42,7 +45,8 @@ class _Whole(Exception):
 
 
 class _Pieces(dict):
-    """Ids as bytes of ` piece`, by piece without its blank; or of an inner part, by the part after a zero character."""
+    """Ids as bytes of ` piece`, by piece without its blank; of a piece with its line feed; or of an inner part, by the
+    part after a zero character."""
 
     def __init__(self, own: Encoder):
         super().__init__()
@@ -58,16 +62,13 @@ class _Pieces(dict):
 class Encoder:
     """Ids of whole texts, equal to the library's own.
 
-    A byte-level BPE with this splitting rule never merges over the start of a blank that a non-blank follows. So a
-    text falls into pieces there, and the library's BPE model encodes each new piece once, part by part of the
-    splitting rule; pieces met before are remembered, in two bounded generations. Pieces with white space inside or
-    letters beyond Latin are encoded by the library's full path, and so are whole texts that hold a special token
-    or a blank before white space, and all texts if the tokenizer is of another kind.
+    A byte-level BPE with this splitting rule never merges over the start of a blank or line feed that no other
+    white space precedes or follows. So a text falls into pieces there, and the library's BPE model encodes each new
+    piece once, part by part of the splitting rule; pieces met before are remembered, in two bounded generations.
+    Pieces with letters beyond Latin are encoded by the library's full path, and so are whole texts that hold a
+    special token, other white space or white space in a row, and all texts if the tokenizer is of another kind.
     """
 
-    #: The byte-level splitting rule, and the first character not taken through the short path.
-    RULE, LATIN_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"), "\u0250"
-
     def __init__(self, content: str):
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
@@ -104,21 +105,29 @@ class Encoder:
         return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def learn(self, piece: str) -> bytes:
-        if piece[:1] == "\0":
+        first = piece[:1]
+        if first == "\0":
             return self._part(piece[1:])
-        if not piece or piece[0].isspace():
+        if first == "\n":
+            body, head, get = piece[1:], "", lambda x: self.pieces["\0" + x]
+            if not body:
+                return self._part(piece)
+        else:
+            body, head, get = piece, " ", self.pieces.__getitem__
+        if body.isalpha():
+            if body.isascii():
+                return self._part(" " + body) if body is piece else self.pieces["\0\n"] + get(body)
+        elif len(body.split()) != 1 or body[0].isspace() or body[-1].isspace() or "\0" in body:
             raise _Whole
-        if max(piece) >= self.LATIN_END or "\0" in piece:
-            return self._whole(" " + piece)
-        if piece.isalpha():
-            return self._part(" " + piece)
-        lines = piece.replace("\n", "")
-        if lines.split() != [lines]:
-            return self._whole(" " + piece)
-        first, *rest = self.RULE.findall(" " + piece)
-        if len(first) > 1 and first[1:] != piece:
-            return b"".join([self.pieces[first[1:]], *[self.pieces["\0" + x] for x in rest]])
-        return self._part(first) + b"".join([self.pieces["\0" + x] for x in rest])
+        if max(body) >= LATIN_END:
+            return self._whole(piece if body is not piece else " " + piece)
+        feed = b"" if body is piece else self.pieces["\0\n"]
+        stem = body.rstrip(MARKS)
+        if stem.isalpha():
+            if len(stem) == len(body):
+                return self._part(" " + body) if body is piece else feed + get(body)
+            return feed + get(stem) + self.pieces["\0" + body[len(stem):]]
+        return feed + b"".join([self.pieces["\0" + x] for x in RULE.findall(head + body)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without special tokens added."""
@@ -128,9 +137,9 @@ class Encoder:
         out, get = [], self.pieces.__getitem__
         for text in texts:
             try:
-                if not self.splits or any(x in text for x in self.special):
+                if not self.splits or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n") or any(x in text for x in self.special):
                     raise _Whole
-                head, *words = text.split(" ")
+                head, *words = text.replace("\n", " \n").split(" ")
                 raw = self._whole(head) + b"".join(map(get, words))
             except _Whole:
                 raw = self._whole(text)
