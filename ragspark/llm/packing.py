@@ -14,50 +14,81 @@ from pyspark.sql import functions as F
 from ragspark.llm.common import gapless_rank, key_hash, materialize, small_batches
 from ragspark.llm.tokens import encoder, share_tokenizer
 
-#: Below 1 / share of the capacity a piece is small; the larger ones are rounded in so many groups. Lower shares leave
-#: more pieces to best fit, more groups round less.
-SCHEMES = ((4, 128), (3, 256), (2, 64))
+#: Up to 1 / SHARE of the capacity a piece is small; the larger ones are rounded in so many groups.
+SHARE, GROUPS = 3, 512
 Run = tuple[list[int], int]  # the lengths in a sequence, and how many sequences have them
 
 
-def best_configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
+def _worthiest(s: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of sizes s worth most, and its worth: a knapsack over the room that is left.
+
+    With one more item a step, the first of which is a running maximum; the last needs the whole capacity only.
+    """
+    most, n = capacity // int(s.min()), len(s)
+    best, taken = np.zeros(capacity + 1), []
+    for step in range(most):
+        rooms = np.array([capacity]) if step == most - 1 else np.arange(capacity + 1)
+        if step == 0 and most > 1:
+            at = np.full(capacity + 1, -1)
+            order = np.argsort(s, kind="stable")
+            top = np.maximum.accumulate(price[order])
+            held = np.searchsorted(s[order], rooms, "right") - 1
+            first = order[np.maximum.accumulate(np.where(price[order] >= top, np.arange(n), 0))]
+            some = held >= 0
+            value = np.where(some, top[np.maximum(held, 0)], 0.0)
+            at[some] = first[held[some]]
+            at[value <= 0] = -1
+        else:
+            left = rooms[:, None] - s[None, :]
+            worth = np.where(left >= 0, best[np.maximum(left, 0)] + price[None, :], -1.0)
+            item = worth.argmax(axis=1)
+            value = worth[np.arange(len(rooms)), item]
+            at = np.where(value > best[rooms] + 1e-12, item, -1)
+            value = np.maximum(value, best[rooms])
+        taken.append(at if len(rooms) > 1 else {capacity: at[0]})
+        if len(rooms) > 1:
+            best = np.maximum(best, value)
+    column, room = np.zeros(n), capacity
+    for at in reversed(taken):
+        if at[room] >= 0:
+            column[at[room]] += 1
+            room -= int(s[at[room]])
+    return float(column @ price), column
+
+
+def best_configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations (copies of each size in a sequence) and how often to use each, together at most the demand.
 
     The linear program over all configurations, by column generation: the duals price sizes, a knapsack over them
     finds the configuration worth most, and it enters the basis while it is worth more than a sequence. The
-    solution has at most one configuration for each size and is rounded down.
+    solution has at most one configuration for each size and is rounded down. The simplex steps end after 50 for
+    each size at the latest, far more than were ever seen; what a program that is not at its best leaves is packed
+    by the next grouping or best fit, so nothing is lost.
     """
     s, d = np.array(sizes), np.array(demand, float)
-    n, most = len(s), capacity // min(sizes)
+    n = len(s)
     basis = np.diag(capacity // s).astype(float)
-    x = d / np.diag(basis)
-    source = np.arange(capacity + 1)[None, :] - s[:, None]
-    fits, source = source >= 0, np.maximum(source, 0)
-    for _ in range(rounds):
-        price = np.linalg.solve(basis.T, np.ones(n))
-        best, taken = np.zeros(capacity + 1), []
-        for _ in range(most):
-            worth = np.where(fits, best[source] + price[:, None], -1.0)
-            item = worth.argmax(axis=0)
-            value = worth[item, np.arange(capacity + 1)]
-            item = np.where(value > best + 1e-12, item, -1)
-            best = np.maximum(best, value)
-            taken.append(item)
-        if best[-1] <= 1 + 1e-9:
+    inverse, x = np.linalg.inv(basis), d * (1 / (capacity // s))
+    for step in range(50 * n):
+        if step % 64 == 63:
+            inverse = np.linalg.inv(basis)
+            x = inverse @ d
+        worth, column = _worthiest(s, inverse.sum(axis=0), capacity)
+        if worth <= 1 + 1e-7:
             break
-        column, room = np.zeros(n), capacity
-        for item in reversed(taken):
-            if item[room] >= 0:
-                column[item[room]] += 1
-                room -= s[item[room]]
-        step = np.linalg.solve(basis, column)
+        change = inverse @ column
         ratio = np.full(n, np.inf)
-        ratio[step > 1e-9] = np.maximum(x[step > 1e-9], 0) / step[step > 1e-9]
+        ratio[change > 1e-9] = np.maximum(x[change > 1e-9], 0) / change[change > 1e-9]
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = column
-        x = np.linalg.solve(basis, d)
+        row = inverse[out] / change[out]
+        inverse -= np.outer(change, row)
+        inverse[out] = row
+        x = x - change * ratio[out]
+        x[out] = ratio[out]
+    x = np.linalg.solve(basis, d)
     return [(basis[:, j].astype(int), int(np.floor(x[j] + 1e-9))) for j in range(n) if x[j] >= 1 - 1e-9]
 
 
@@ -96,76 +127,83 @@ class Bins:
             count -= full * each
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, schemes: tuple[tuple[int, int], ...] = SCHEMES) -> list[Run]:
-    """The plan with the fewest sequences of those that group_and_fit() makes with each (share, groups)."""
-    plans = [group_and_fit(counts, capacity, groups, capacity // share) for share, groups in schemes]
-    return min(plans, key=lambda plan: sum(copies for _, copies in plan))
-
-
-def group_and_fit(counts: dict[int, int], capacity: int, groups: int, small: int) -> list[Run]:
+def plan_sequences(counts: dict[int, int], capacity: int, groups: int = GROUPS, share: int = SHARE) -> list[Run]:
     """Runs of sequences that hold counts[length] pieces of each length (1 to capacity).
 
-    Linear grouping: the pieces longer than `small` are sorted by length and cut into groups of equal
-    numbers, and each is rounded up to its group's longest. best_configurations() packs the few rounded lengths;
-    the actual pieces of a group then take its places, longest first, so that nothing overflows. Pieces that the
-    rounding down of the configurations left, and then the small ones, go in by best fit, longest first. All of
-    it works on runs of equal lengths, so its cost depends on the capacity, not on the number of pieces.
+    Linear grouping, see grouped_sequences(), packs the pieces longer than capacity / share. What is left of them is
+    grouped again, ever more finely as it shrinks, until no whole configuration comes out; that rest, and then the
+    small pieces, go in by best fit, longest first. All of it works on runs of equal lengths, so its cost depends on
+    the capacity, not on the number of pieces.
     """
     bins = Bins(capacity)
     bins.add([capacity], counts.get(capacity, 0))
-    large = sorted(((n, c) for n, c in counts.items() if small < n < capacity), reverse=True)
-    total = sum(c for _, c in large)
-    left: list[deque] = []
-    if total:
-        k = min(groups, total)
-        edges = deque(total * (i + 1) // k for i in range(k))
-        left, at = [deque()], 0
-        for n, c in large:
-            while c:
-                part = min(c, edges[0] - at)
-                left[-1].append([n, part])
-                at, c = at + part, c - part
-                if at == edges[0] and len(edges) > 1:
-                    edges.popleft()
-                    left.append(deque())
-        merged: dict[int, deque] = defaultdict(deque)  # groups that are rounded to the same length are one
-        for g in left:
-            merged[g[0][0]].extend(g)
-        sizes = sorted(merged, reverse=True)
-        left = [merged[n] for n in sizes]
-        for column, copies in best_configurations(sizes, [sum(c for _, c in g) for g in left], capacity):
-            slots = [g for g in np.nonzero(column)[0] for _ in range(column[g])]
-            free = [sum(c for _, c in left[g]) // column[g] for g in set(slots)]
-            copies = min([copies, *free])
-            filled = []
-            for g in slots:
-                need, runs = copies, []
-                while need:
-                    part = min(need, left[g][0][1])
-                    runs.append((left[g][0][0], part))
-                    need -= part
-                    left[g][0][1] -= part
-                    if not left[g][0][1]:
-                        left[g].popleft()
-                filled.append(runs)
-            cuts = sorted({e for runs in filled for e in np.cumsum([c for _, c in runs]).tolist()})
-            of = [np.repeat([n for n, _ in runs], [c for _, c in runs]) if copies < 1 << 16 else None for runs in filled]
-            start = 0
-            for cut in cuts:
-                bins.add([int(a[start]) if a is not None else _at(runs, start) for a, runs in zip(of, filled, strict=True)], cut - start)
-                start = cut
-    rest: dict[int, int] = defaultdict(int)
-    for g in left:
-        for n, c in g:
-            rest[n] += c
+    rest = {n: c for n, c in counts.items() if capacity // share < n < capacity and c}
+    while rest:
+        runs, after = grouped_sequences(rest, capacity, groups)
+        for lengths, copies in runs:
+            bins.add(lengths, copies)
+        if not runs:
+            break
+        rest = after
     for n, c in counts.items():
-        if n <= small and n < capacity:
-            rest[n] += c
+        if n <= capacity // share and n < capacity:
+            rest[n] = c
     for n in sorted(rest, reverse=True):
         bins.place(n, rest[n])
     return [run for room in sorted(bins.runs) for run in bins.runs[room]]
 
 
+def grouped_sequences(counts: dict[int, int], capacity: int, groups: int) -> tuple[list[Run], dict[int, int]]:
+    """Sequences of the pieces in counts by linear grouping, and the pieces that they leave.
+
+    The pieces are sorted by length and cut into groups of equal numbers, and each is rounded up to its group's
+    longest. best_configurations() packs the few rounded lengths; the actual pieces of a group then take its places,
+    longest first, so that nothing overflows.
+    """
+    total = sum(counts.values())
+    k = min(groups, total)
+    edges = deque(total * (i + 1) // k for i in range(k))
+    parts, at = [deque()], 0
+    for n in sorted(counts, reverse=True):
+        c = counts[n]
+        while c:
+            part = min(c, edges[0] - at)
+            parts[-1].append([n, part])
+            at, c = at + part, c - part
+            if at == edges[0] and len(edges) > 1:
+                edges.popleft()
+                parts.append(deque())
+    merged: dict[int, deque] = defaultdict(deque)  # groups that are rounded to the same length are one
+    for g in parts:
+        merged[g[0][0]].extend(g)
+    sizes = sorted(merged, reverse=True)
+    left, out = [merged[n] for n in sizes], []
+    for column, copies in best_configurations(sizes, [sum(c for _, c in g) for g in left], capacity):
+        slots = [g for g in np.nonzero(column)[0] for _ in range(column[g])]
+        free = [sum(c for _, c in left[g]) // column[g] for g in set(slots)]
+        copies = min([copies, *free])
+        filled = []
+        for g in slots:
+            need, runs = copies, []
+            while need:
+                part = min(need, left[g][0][1])
+                runs.append((left[g][0][0], part))
+                need -= part
+                left[g][0][1] -= part
+                if not left[g][0][1]:
+                    left[g].popleft()
+            filled.append(runs)
+        start = 0
+        for cut in sorted({e for runs in filled for e in np.cumsum([c for _, c in runs]).tolist()}):
+            out.append(([_at(runs, start) for runs in filled], cut - start))
+            start = cut
+    rest: dict[int, int] = defaultdict(int)
+    for g in left:
+        for n, c in g:
+            rest[n] += c
+    return out, dict(rest)
+
+
 def _at(runs: list[tuple[int, int]], place: int) -> int:
     for n, c in runs:
         if place < c:

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, copies, clashing names and odd texts."""
 
 import hashlib
+import io
 import random
 import re
 import unicodedata
@@ -20,7 +21,7 @@ from ragspark.llm.fingerprints import fingerprint_documents, fingerprint_edits,
 from ragspark.llm.language import infer_languages, select_languages, train_languages
 from ragspark.llm.line_dedup import dedup_lines
 from ragspark.llm.mixing import mix_sources, take_mix
-from ragspark.llm.packing import SCHEMES, group_and_fit, pack_documents, plan_sequences
+from ragspark.llm.packing import GROUPS, SHARE, grouped_sequences, pack_documents, plan_sequences
 from ragspark.llm.quality import filter_quality, score_quality
 from ragspark.llm.sharding import assign_shards
 from ragspark.llm.simhash import drop_near_duplicates, simhash_components
@@ -347,20 +348,41 @@ def test_token_files_round_trip(spark, rows, tokenizer, tmp_path, monkeypatch):
 def test_directly_addressable_codes(top):
     rng = np.random.default_rng(top)
     ids = np.where(rng.random(3000) < 0.5, rng.integers(0, min(256, top), 3000), rng.integers(0, top, 3000)).astype(np.uint32)
-    reader = dac.Reader(dac.encode(ids, np.array([0, 0, 700, 700, 3000])))
+    reader = dac.Reader(io.BytesIO(dac.encode(ids, np.array([0, 0, 700, 700, 3000]))))
     assert [reader.token(i) for i in range(0, 3000, 7)] == ids[::7].tolist()
     for a, b in ((0, 3000), (5, 6), (1023, 2049), (700, 700), (511, 513)):
         assert reader.slice(a, b).tolist() == ids[a:b].tolist()
     assert [len(reader.document(k)) for k in range(4)] == [0, 700, 0, 2300]
     with pytest.raises(ValueError):
-        dac.Reader(b"x" * 40)
+        dac.Reader(io.BytesIO(b"x" * 40))
+
+
+def test_one_token_reads_few_bytes():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50_000, 1_000_000).astype(np.uint32)
+
+    class Counted(io.BytesIO):
+        seen = 0
+
+        def read(self, n=-1):
+            self.seen += n
+            return super().read(n)
+
+    file = Counted(dac.encode(ids, np.arange(0, 1_000_001, 1000)))
+    reader, opened = dac.Reader(file), file.seen
+    assert opened <= 100
+    for place in [0, 999_999, *rng.integers(0, 1_000_000, 50).tolist()]:
+        before = file.seen
+        assert reader.token(place) == ids[place] and file.seen - before <= 160
+    before = file.seen
+    assert reader.document(500).tolist() == ids[500_000:501_000].tolist() and file.seen - before < 4000
 
 
 def test_packing_plan():
     rng = np.random.default_rng(0)
     for lengths in (rng.integers(1, 101, 500), rng.integers(30, 38, 4000), np.array([100] * 7 + [1]), rng.integers(1, 12, 900)):
         counts = Counter(lengths.tolist())
-        plans = [group_and_fit(dict(counts), 100, groups, 100 // share) for share, groups in (*SCHEMES, (8, 16))]
+        plans = [plan_sequences(dict(counts), 100, groups, share) for share, groups in ((SHARE, GROUPS), (4, 128), (2, 64), (8, 16))]
         for plan in plans:
             placed = Counter()
             for run, copies in plan:
@@ -378,6 +400,24 @@ def test_packing_plan():
     assert plan_sequences({}, 100) == []
 
 
+def test_configurations_hold_several_pieces():
+    """The grouped pieces come out in whole configurations, two or more of them where two fit."""
+    rng = np.random.default_rng(1)
+    counts = Counter(rng.integers(690, 1340, 3000).tolist())
+    runs, rest = grouped_sequences(dict(counts), 2048, GROUPS)
+    placed = Counter(rest)
+    for lengths, copies in runs:
+        assert sum(lengths) <= 2048
+        for n in lengths:
+            placed[n] += copies
+    assert placed == counts and sum(rest.values()) < 0.2 * 3000
+    assert np.average([len(lengths) for lengths, _ in runs], weights=[c for _, c in runs]) > 1.9
+    total = sum(c for _, c in plan_sequences(dict(counts), 2048))
+    assert total <= 1.01 * max(1500, sum(n * c for n, c in counts.items()) / 2048)
+    mixed = Counter(np.minimum(2048, rng.lognormal(5.5, 1.2, 20_000).astype(int) + 1).tolist())
+    assert sum(c for _, c in plan_sequences(dict(mixed), 2048)) <= 1.001 * sum(n * c for n, c in mixed.items()) / 2048 + 1
+
+
 def test_packing(spark, rows, tokenizer):
     more = rows + [rows[0], rows[0]]
     got = pack_documents(frame(spark, more), default_tokenizer(), capacity=64).collect()
