@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions.text import words
 from ragspark.operators.vector import DIGITS, ranked
+from ragspark.sources.tables import exists, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -45,10 +46,13 @@ def term_weights(posts: DataFrame, statistics: DataFrame, epsilon: float = EPSIL
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", epsilon: float = EPSILON) -> Index:
-    posts = postings(chunks, id_col, text_col)
-    statistics = corpus_statistics(chunks, text_col)
-    return Index(posts, term_weights(posts, statistics, epsilon), statistics)
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", epsilon: float = EPSILON, path: str | None = None) -> Index:
+    """The three tables. With a path they are stored there, postings first, so that nothing is tokenised twice but for
+    the statistics; without one they are plans over the chunks."""
+    keep = (lambda df, name: stored(df, f"{path}/{name}")) if path else lambda df, name: df
+    posts = keep(postings(chunks, id_col, text_col), "postings")
+    statistics = keep(corpus_statistics(chunks, text_col), "statistics")
+    return Index(posts, keep(term_weights(posts, statistics, epsilon), "terms"), statistics)
 
 
 def search(index: Index, queries: DataFrame, k: int, query_id: str = "query_id", query_col: str = "query", k1: float = K1, b: float = B, digits: int = DIGITS) -> DataFrame:
@@ -70,18 +74,10 @@ def rank_texts(queries: DataFrame, texts: DataFrame, k: int, id_col: str = "chun
     return search(build_index(texts, id_col, text_col), queries, k)
 
 
-def write_index(index: Index, path: str, version: str) -> None:
-    """The three tables under path/version, complete once the last, statistics, is there."""
-    index.postings.write.mode("overwrite").parquet(f"{path}/{version}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/{version}/terms")
-    index.statistics.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/{version}/statistics")
-
-
 def fresh_index(chunks: DataFrame, path: str, version: str) -> Index:
-    """The stored tables of this version of the chunks; written first if they are not there."""
+    """The stored tables of this version of the chunks; written first if the last of them, the terms, is not there."""
     spark = chunks.sparkSession
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/statistics/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        write_index(build_index(chunks), path, version)
+    if not exists(spark, f"{path}/{version}/terms/_SUCCESS"):
+        return build_index(chunks, path=f"{path}/{version}")
     read = lambda name: spark.read.parquet(f"{path}/{version}/{name}")
-    return Index(read("postings"), read("terms"), read("statistics").drop("version"))
+    return Index(read("postings"), read("terms"), read("statistics"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragspark.functions.text import SPACE, collapse
+from ragspark.functions.text import SPACE, collapse, strip
 from ragspark.operators.vector import ranked
 
 TURNS = "array<struct<role:string,content:string>>"
@@ -44,13 +44,14 @@ def recent_messages(messages: DataFrame, limit: int = 6) -> DataFrame:
 def limit_history(turns: Column, max_chars: int = 6000) -> Column:
     """The newest turns that fit into max_chars, oldest first; the one that overflows is cut to what is left.
 
-    turns: array of (role, content), oldest first. A cut text loses white space at its end, and what that frees is
-    still left for the next older turn. A turn with nothing left is not there.
+    turns: array of (role, content), oldest first. Texts count without white space at their ends, and blank ones are
+    left out. A cut text loses white space at its end, and what that frees is still left for the next older turn. A
+    turn with nothing left is not there.
     """
     start = F.struct(F.lit(max_chars).alias("left"), F.array().cast(TURNS).alias("out"))
 
     def step(state: Column, m: Column) -> Column:
-        text = F.coalesce(m["content"], F.lit(""))
+        text = strip(F.coalesce(m["content"], F.lit("")))
         cut = F.when(F.length(text) > state["left"], F.regexp_replace(F.substring(text, F.lit(1), state["left"]), f"[{SPACE}]+$", "")).otherwise(text)
         one = F.array(F.struct(m["role"].alias("role"), cut.alias("content"))).cast(TURNS)
         put = F.when((state["left"] > 0) & (cut != ""), F.concat(one, state["out"])).otherwise(state["out"])

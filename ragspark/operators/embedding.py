@@ -26,12 +26,9 @@ def hash_places(text: Column, dimensions: int = 384) -> Column:
 def hash_embed_sparse(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 384) -> DataFrame:
     """(id, dim, weight): the unit-length sums of the signs by dimension; dimensions that cancel out have no row.
 
-    Texts without tokens give no row. Tokens meet by (id, dim) with map-side combination.
+    Texts without tokens give no row. Made within each row, so nothing is shuffled.
     """
-    placed = docs.select(id_col, F.explode(hash_places(F.col(text_col), dimensions)).alias("p"))
-    sums = placed.groupBy(id_col, F.col("p.dim").alias("dim")).agg(F.sum("p.sign").alias("w")).where("w <> 0")
-    norms = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return sums.join(norms, id_col).select(id_col, "dim", (F.col("w") / F.col("norm")).alias("weight"))
+    return hash_embed(docs, id_col, text_col, dimensions).select(id_col, F.posexplode("vector").alias("dim", "weight")).where("weight <> 0")
 
 
 def hash_embed(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 384) -> DataFrame:

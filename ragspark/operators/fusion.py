@@ -25,12 +25,24 @@ def fusion_key(parent_id: Column, chunk_id: Column, document_id: Column, chunk_i
     return F.when(F.coalesce(parent_id.cast("string"), F.lit("")) != "", parent_id.cast("string")).otherwise(result_key(chunk_id, document_id, chunk_index))
 
 
+def with_result_key(hits: DataFrame) -> DataFrame:
+    """The hits with chunk_id as result_key() gives it, from chunk_id, document_id and chunk_index as far as they are there."""
+    there = lambda n: F.col(n) if n in hits.columns else F.lit(None).cast("string")
+    return hits.withColumn("chunk_id", result_key(there("chunk_id"), there("document_id"), there("chunk_index")))
+
+
+def with_fusion_key(hits: DataFrame, name: str = "parent_id") -> DataFrame:
+    """The hits with `name` as fusion_key() gives it, so that one without a parent is its own."""
+    there = lambda n: F.col(n) if n in hits.columns else F.lit(None).cast("string")
+    return hits.withColumn(name, fusion_key(there("parent_id"), there("chunk_id"), there("document_id"), there("chunk_index")))
+
+
 def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, k: int, by: list[str], vector_weight: float = 0.65, constant: int = 60, digits: int = 9) -> DataFrame:
     """by, chunk_id, score, vector_score, bm25_score, rank: the k best of two rankings by weight / (constant + rank).
 
     Ties go to the better vector rank, then the better keyword rank. A full outer join by (query, chunk).
     """
-    side = lambda df, name: df.select(*by, "chunk_id", F.col("rank").alias(f"{name}_rank"), F.col("score").alias(f"{name}_score"))
+    side = lambda df, name: with_result_key(df).select(*by, "chunk_id", F.col("rank").alias(f"{name}_rank"), F.col("score").alias(f"{name}_score"))
     both = side(vector, "vector").join(side(keyword, "bm25"), [*by, "chunk_id"], "full_outer")
     part = lambda name, w: F.coalesce(F.lit(w) / (constant + F.col(f"{name}_rank")), F.lit(0.0))
     scored = both.withColumn("score", F.round(part("vector", vector_weight) + part("bm25", 1.0 - vector_weight), digits))
@@ -39,14 +51,15 @@ def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, k: int, by: li
 
 
 def collapse_parents(hits: DataFrame, k: int, by: list[str]) -> DataFrame:
-    """One row a parent: hits (by, chunk_id, parent_id, score, vector_score, bm25_score, rank) grouped by parent.
+    """One row a parent: hits (by, chunk_id, parent_id, score, vector_score, bm25_score, rank) grouped by parent; see
+    with_fusion_key() for hits without one.
 
     score, vector_score and bm25_score are the largest, chunk_id is the best child (the first of equal ones),
     first_chunk_id the first one, whose heading counts; matched_child_ids are in order of rank, and
     matched_child_count counts hits. Order: score, count, first appearance.
     """
     first = F.struct("rank", "chunk_id")
-    grouped = hits.groupBy(*by, "parent_id").agg(
+    grouped = with_fusion_key(with_result_key(hits)).groupBy(*by, "parent_id").agg(
         F.max("score").alias("score"), F.max("vector_score").alias("vector_score"), F.max("bm25_score").alias("bm25_score"),
         F.max_by("chunk_id", F.struct("score", -F.col("rank"))).alias("chunk_id"), F.min(first).alias("first"), F.count("*").alias("matched_child_count"),
         F.array_distinct(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["chunk_id"])).alias("matched_child_ids"))
@@ -62,6 +75,7 @@ def fuse_variants(hits: DataFrame, k: int, by: list[str], key: str = "parent_id"
     the strictly largest score, as hybrid_score does; query_hits counts variants, vector_score and bm25_score are
     the largest. Order: score, query_hits, first appearance.
     """
+    hits = with_fusion_key(hits, key) if key == "parent_id" else hits
     others = [c for c in hits.columns if c not in {*by, key, "variant", "rank", "score", "vector_score", "bm25_score"}]
     appears = F.struct("variant", "rank")
     best = F.struct(F.coalesce("score", F.lit(0.0)), -F.col("variant"), -F.col("rank"))

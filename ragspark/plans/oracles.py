@@ -1,5 +1,7 @@
 """DuckDB SQL of the registered queries."""
 
+import re
+
 from ragspark.packs import STOP_WORDS
 
 #: Domain words of the test tables' invented languages.
@@ -81,7 +83,15 @@ variant_once AS (SELECT query_id, pos, v FROM (SELECT query_id, pos, trim({colla
 variants AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS variant, substr(v, 1, 500) AS query FROM variant_once),
 qv AS (SELECT query_id || '#' || variant AS query_id, query FROM variants)"""
 
-RANKINGS = f"""{CHUNKS}, {QUESTIONS}, {index("children", "chunk_id")}, {bm25("qv", 48)}, {embedded("ce", "children", "chunk_id", "text")}, {embedded("qe", "qv", "query_id", "query")},
+SEARCHED = QUESTIONS.replace("WHERE role = 'user'", "WHERE role = 'user' AND conv_id % 50 = 0")
+
+
+def once(ctes: str) -> str:
+    """The tables of a WITH clause, each made once however often it is read."""
+    return re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", ctes)
+
+
+RANKINGS = f"""{CHUNKS}, {SEARCHED}, {index("children", "chunk_id")}, {bm25("qv", 48)}, {embedded("ce", "children", "chunk_id", "text")}, {embedded("qe", "qv", "query_id", "query")},
 dots AS (SELECT query_id, chunk_id, sum(qe.weight * ce.weight) AS dot FROM qe JOIN ce USING (dim) GROUP BY query_id, chunk_id),
 near AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT q.query_id, c.chunk_id, round(coalesce(dot, 0), 6) + 0 AS score FROM (SELECT DISTINCT query_id FROM qe) q CROSS JOIN (SELECT DISTINCT chunk_id FROM ce) c LEFT JOIN dots d ON d.query_id = q.query_id AND d.chunk_id = c.chunk_id)
@@ -128,4 +138,15 @@ SELECT b.doc_id, row_number() OVER (PARTITION BY b.doc_id ORDER BY b.no) - 1 AS
 FROM bodies b LEFT JOIN tops t ON b.doc_id = t.doc_id AND b.no = t.no WHERE b.text <> ''"""
 
 KNOWN = """
-known AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS query FROM benchmark)"""
+known AS (SELECT item_id, text AS query FROM benchmark)"""
+
+#: The budget walk over the newest six turns of each conversation, newest first.
+HISTORIES = f"""WITH RECURSIVE recent AS (SELECT conv_id, turn, role, {trimmed("coalesce(text, '')")} AS said FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 6 AND role IN ('user', 'assistant')),
+said AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM recent WHERE said <> ''),
+walk AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS k, 1200::BIGINT AS room, '' AS role, '' AS content FROM said
+  UNION ALL SELECT conv_id, k, room - length(cut), role, cut FROM (
+    SELECT s.conv_id, s.k, w.room, s.role, CASE WHEN length(s.said) <= w.room THEN s.said ELSE regexp_replace(substr(s.said, 1, w.room), '[\\s\\p{{Z}}]+$', '') END AS cut
+    FROM walk w JOIN said s ON s.conv_id = w.conv_id AND s.k = w.k + 1))
+SELECT conv_id, count(*) AS turns, sum(length(content))::BIGINT AS chars, string_agg(role || ':' || md5(content), ',' ORDER BY k DESC) AS digest FROM walk WHERE content <> '' GROUP BY conv_id"""

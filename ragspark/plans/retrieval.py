@@ -7,8 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.operators import answers, bm25, chunking, embedding, fusion, guard, rerank, rewrite, vector
+from ragspark.operators import answers, bm25, chunking, conversations, embedding, fusion, guard, rerank, rewrite, vector
 from ragspark.packs import Pack, Settings
+from ragspark.sources.tables import stored
 
 
 class Knowledge(NamedTuple):
@@ -20,11 +21,15 @@ class Knowledge(NamedTuple):
     index: bm25.Index
 
 
-def build_knowledge(docs: DataFrame, settings: Settings = Settings(), path_col: str = "path", text_col: str = "text") -> Knowledge:
-    """All tables of the documents. Children and postings are read several times: the caller may persist or store them."""
+def build_knowledge(docs: DataFrame, settings: Settings = Settings(), path_col: str = "path", text_col: str = "text", path: str | None = None) -> Knowledge:
+    """All tables of the documents. With a path each is stored there once and read by what follows; without one they are
+    plans over the documents, for small tables."""
     s = settings
-    parents, children = chunking.chunk_records(docs, path_col, text_col, True, (s.parent_size, s.parent_overlap), (s.child_size, s.child_overlap))
-    return Knowledge(parents, children, embedding.hash_embed(children, "chunk_id", "text"), bm25.build_index(children))
+    keep = (lambda df, name: stored(df, f"{path}/{name}")) if path else lambda df, name: df
+    parents, children = (keep(df, name) for df, name in zip(
+        chunking.chunk_records(docs, path_col, text_col, True, (s.parent_size, s.parent_overlap), (s.child_size, s.child_overlap)), ("parents", "children"), strict=True))
+    vectors = keep(embedding.hash_embed(children, "chunk_id", "text"), "vectors")
+    return Knowledge(parents, children, vectors, bm25.build_index(children, path=path and f"{path}/index"))
 
 
 class Retrieval(NamedTuple):
@@ -48,7 +53,7 @@ def hybrid(queries: DataFrame, base: Knowledge, k: int, by: str = "qv", settings
 def retrieve(questions: DataFrame, base: Knowledge, settings: Settings = Settings(), pack: Pack = Pack(), top_k: int | None = None) -> Retrieval:
     """Contexts of every question (query_id string, question, history): screened, rewritten, expanded, retrieved for each
     variant, fused, screened again, reranked and gated. Refused questions go no further than the scope decision."""
-    k = top_k or settings.top_k
+    k = conversations.checked_top_k(settings.top_k if top_k is None else top_k)
     many = k * settings.candidates
     scoped = questions.withColumn("history", guard.safe_history(F.col("history"), pack)).withColumn("scope", guard.scope_decision(F.col("question"), F.col("history"), pack))
     query = rewrite.resolve_follow_up(rewrite.rule_rewrite(F.col("question"), pack), F.col("history"), pack)

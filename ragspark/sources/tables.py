@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import file_name
@@ -50,6 +50,41 @@ def replace_tables(path: str, **tables: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """The table, written under path and read again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def rebuild_vectors(chunks: DataFrame, vectors: DataFrame, path: str) -> DataFrame:
+    """The table of embeddings, written anew under path: chunk_id, vector and the chunk's other columns, a row for each
+    chunk that is there and has a vector. Vectors of chunks that are gone go, and so does what was under path."""
+    return stored(chunks.join(vectors.select("chunk_id", "vector"), "chunk_id"), path)
+
+
+#: Columns of a hit and what stands for a missing one; null stays null.
+HIT = {
+    "source": ("string", ""), "source_name": ("string", ""), "document_id": ("string", ""), "chunk_id": ("string", ""), "heading": ("string", ""),
+    "heading_level": ("int", None), "section_path": ("string", ""), "chunk_index": ("int", 0), "text": ("string", ""),
+}
+CHILD_HIT = {"parent_index": ("int", 0), "child_index": ("int", 0), "chunk_type": ("string", "child")}
+
+
+def project_hits(hits: DataFrame, by: list[str]) -> DataFrame:
+    """Hits (by, score, rank and any columns of a chunk) with all the columns of HIT and CHILD_HIT, typed, and defaults for
+    what is missing; parent_text is the text where a child has none. Hits without a parent have null in its columns."""
+    def one(name: str, kind: str, default: object) -> Column:
+        c = F.col(name).cast(kind) if name in hits.columns else F.lit(None).cast(kind)
+        return c if default is None else F.coalesce(c, F.lit(default).cast(kind))
+
+    parent = F.nullif(F.col("parent_id").cast("string"), F.lit("")) if "parent_id" in hits.columns else F.lit(None).cast("string")
+    whole = one("parent_text", "string", None)
+    child = {n: F.when(parent.isNotNull(), one(n, *v)).alias(n) for n, v in CHILD_HIT.items()}
+    return hits.select(
+        *by, *[one(n, *v).alias(n) for n, v in HIT.items()], F.col("score").cast("double").alias("score"), "rank", parent.alias("parent_id"), *child.values(),
+        F.when(parent.isNotNull(), F.coalesce(whole, one("text", "string", ""))).alias("parent_text"))
+
+
 def chunk_snapshot(chunks: DataFrame) -> DataFrame:
     """The chunks' columns with what is missing filled in: a chunk without a parent is its own."""
     there = lambda name, default: F.coalesce(F.col(name), default) if name in chunks.columns else default

@@ -62,7 +62,8 @@ def stream_memory(turns: DataFrame, limit: int = 6, max_chars: int = 6000) -> Da
                 for _, r, t in reversed([h for h in held if h[0] < turn][-limit:]):
                     if r not in ("user", "assistant"):
                         continue
-                    t = (t or "") if len(t or "") <= left else t[:left].rstrip()
+                    t = (t or "").strip()
+                    t = t if len(t) <= left else t[:left].rstrip()
                     if left and t:
                         kept.insert(0, {"role": r, "content": t})
                         left -= len(t)
