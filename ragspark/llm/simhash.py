@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,6 @@ from ragspark.llm.common import connected_components, discard, materialize, smal
 SEED = 42
 #: Planes between two looks for dead cells, and query fingerprints compared at once.
 STRIDE, QUERIES = 8, 128
-#: Most rows of a table that is sent to every task.
-BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str | None, width: int = 3, bits: int = 64, chunk: int = 1 << 15) -> bytes:
@@ -125,11 +124,16 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
 def exact_bands(bits: int, radius: int, n: int) -> list[list[int]]:
     """Bit positions such that fingerprints which differ in at most radius bits agree in all of one band.
 
-    Of radius + 1 blocks of bits such a pair agrees in one; its leading bits, more for more fingerprints, are a band.
+    Of k blocks of bits such a pair agrees in k - radius at least, so a band is one choice of as many blocks, of which
+    the leading bits count: more for more fingerprints, so that a bucket stays near 1024 of them. There are no more
+    blocks than that takes: radius + 1 up to some ten million fingerprints, and more, in longer bands, beyond.
     """
-    width = bits // (radius + 1)
-    lead = min(width, max(1, (n // 1024).bit_length()))
-    return [list(range(width * i, width * i + lead)) for i in range(radius + 1)]
+    need, blocks = max(1, (n // 1024).bit_length()), radius + 1
+    while need > bits // blocks * (blocks - radius) and 2 * blocks < bits:
+        blocks += 1
+    width, agree = bits // blocks, blocks - radius
+    lead = min(width, -(-need // agree))
+    return [[width * i + j for i in chosen for j in range(lead)] for chosen in combinations(range(blocks), agree)]
 
 
 def likely_bands(bits: int, share: float, n: int, recall: float, seed: int = 11) -> list[list[int]]:
@@ -242,88 +246,96 @@ def _set_prints(width: int, bits: int):
     return run
 
 
-def _candidates(radius: int, labelled: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
-        bits, tile, node = unpacked(group["fp"].tolist()), group["_tile"].to_numpy(), group["node"].to_numpy()
-        left, right = np.nonzero(tile == group["_ti"].iloc[0])[0], np.nonzero(tile == group["_tj"].iloc[0])[0]
-        label = group["label"].to_numpy() if labelled else node
-        covered, a, b = np.zeros(len(bits), bool), [left[:0]], [left[:0]]
-        for q, v in within(bits[left], bits[right], radius):
-            apart = label[left[q]] != label[right[v]]
-            x, y = left[q[apart]], right[v[apart]]
-            if labelled:
-                a.append(x), b.append(y)
-                continue
-            ends = [*np.flatnonzero(x[1:] != x[:-1]) + 1, len(x)] if len(x) else []
-            for start, end in zip([0, *ends], ends):
-                own = y[start:end]
-                new = own[~covered[own]] if not covered[own].all() else own[:1]
-                covered[new] = covered[x[start]] = True
-                a.append(np.full(len(new), x[start])), b.append(new)
-        x, y = node[np.concatenate(a)], node[np.concatenate(b)]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in shingle_set(t, width)], np.uint64).view(np.int64)) for t in batch.column("text").to_pylist()]
+            sizes = pa.array([len(x) for x in found], pa.int64())
+            lists = pa.array(found, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), sizes, lists], ["group", "node", "size", "shingles"])
 
     return run
 
 
-def hamming_candidates(prints: DataFrame, bands: list[list[int]], radius: int, tile: int = 4096) -> DataFrame:
-    """Distinct pairs a < b of nodes whose fingerprints share a band and differ in at most radius bits.
-
-    prints: node (long), fp, and perhaps label. With label: all such pairs of unlike labels. Without: stars, so that
-    every node that is in such a pair is in one of those returned, and a task returns at most two for each value.
-    """
-    labelled = "label" in prints.columns
-    keyed = prints.select("node", "fp").mapInArrow(_keys(bands), "band int, key long, node long, fp binary")
-    if labelled:
-        keyed = keyed.join(prints.select("node", "label"), "node")
-    pairs = tiled(keyed, ["band", "key"], "node", tile)
-    return pairs.groupBy("band", "key", "_ti", "_tj").applyInPandas(_candidates(radius, labelled), "a long, b long").distinct()
-
-
-def _alike(width: int, similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                s, t = shingle_set(x, width), shingle_set(y, width)
-                common = len(s & t)
-                keep.append(common / max(1, len(s) + len(t) - common) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _verified(similarity: float):
+    """Links between the guests and the hosts of a tile, or among the hosts if there are no guests: a spanning forest of
+    the pairs of unlike labels that are similar enough, by counts over an inverted index of the hosts' shingles."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        node, guest, size = table["node"].to_numpy(), table["guest"].to_numpy(bool), table["size"].to_numpy()
+        code = np.unique(np.concatenate(table["shingles"].tolist()), return_inverse=True)[1]
+        ends, owner, host = np.cumsum(size), np.repeat(np.arange(len(node)), size), np.nonzero(~guest)[0]
+        mine = ~guest[owner]
+        order = np.argsort(code[mine], kind="stable")
+        holder, first = owner[mine][order], np.searchsorted(code[mine][order], np.arange(len(code) + 2))
+        label = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        a, b = [], []
+        for x in np.nonzero(guest)[0] if guest.any() else host:
+            other = label[host] != label[x]
+            if not other.any():
+                continue
+            own = code[ends[x] - size[x] : ends[x]]
+            n = first[own + 1] - first[own]
+            at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(holder[at], minlength=len(node))[host]
+            hits = host[other & (common / np.maximum(1, size[x] + size[host] - common) >= similarity)]
+            met, place = np.unique(label[hits], return_index=True)
+            a += [node[x]] * len(met)
+            b += node[hits[place]].tolist()
+            label[np.isin(label, met)] = label[x]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
 
 
-def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of shingles have that Jaccard similarity at least; texts: node, text."""
-    x, y = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_alike(width, similarity), "a long, b long")
+def jaccard_links(sets: DataFrame, similarity: float, tile: int = 1024, tile_shingles: int = 4_000_000) -> DataFrame:
+    """Links (a, b) that join what chains of pairs of one group join whose Jaccard similarity is at least that.
+
+    sets: group, node, size, shingles (hashes of the distinct shingles), materialized. Groups are dealt into tiles of
+    about `tile` nodes and tile_shingles hashes, and the nodes of each tile are compared with one another. In groups of
+    several tiles that this has not joined, every node outside the group's largest class then visits all tiles,
+    where it meets the nodes of other classes. So a group of copies moves twice, not once for each pair of tiles.
+    """
+    tiles = sets.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / tile_shingles)).cast("int").alias("_tiles")).where("_tiles > 1")
+    n = F.coalesce(F.col("_tiles"), F.lit(1))
+    placed = sets.join(tiles, "group", "left").withColumn("_tile", F.pmod(F.xxhash64("node"), n).cast("int"))
+    inside = placed.withColumns({"guest": F.lit(False), "label": F.col("node")})
+    columns = ["group", "_tile", "node", "size", "guest", "label", "shingles"]
+    links = materialize(inside.select(columns).groupBy("group", "_tile").applyInPandas(_verified(similarity), "a long, b long"), "links")
+    if tiles.isEmpty():
+        return links
+    wide = placed.where("_tiles > 1")
+    classes = connected_components(links).withColumnRenamed("node", "_node")
+    labelled = materialize(wide.join(classes, F.col("node") == F.col("_node"), "left").withColumn("label", F.coalesce("component", "node")).drop("_node", "component"), "classes")
+    largest = (
+        labelled.groupBy("group", "label").count().groupBy("group").agg(F.max_by("label", F.struct("count", "label")).alias("_major"), F.count("*").alias("_classes"))
+        .where("_classes > 1").drop("_classes")
+    )
+    open_ = labelled.join(largest, "group").withColumn("guest", F.lit(False))
+    guests = open_.where(F.col("label") != F.col("_major")).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumn("guest", F.lit(True))
+    across = open_.select(columns).unionByName(guests.select(columns)).groupBy("group", "_tile").applyInPandas(_verified(similarity), "a long, b long")
+    return materialize(links.unionAll(across), "links")
 
 
 def jaccard_components(docs: DataFrame, text_col: str, distinct: DataFrame, width: int, similarity: float, bits: int, recall: float) -> DataFrame:
     """distinct (node, fp, hash: MD5 of a text of docs) with root: the component over pairs that are `similarity` alike.
 
-    Fingerprints only find candidates: pairs up to three standard deviations over the distance to expect at that
-    similarity. Each is checked on the whole texts, the stars first. Then the other pairs of nodes that are in a star
-    are checked, unless the first ones have joined them, so a large group of copies costs a pair for each member.
+    The bit-sliced join of the fingerprints finds candidates: pairs up to three standard deviations over the distance to
+    expect at that similarity. Chains of them make groups, and only within a group are the sets of shingles compared,
+    by the counts of their 64-bit hashes. Texts outside groups, in practice most, are not read again.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(share * bits + 3 * math.sqrt(bits * share * (1 - share)))
     bands = threshold_bands(bits, share, radius, distinct.count(), recall)
-    stars = materialize(hamming_candidates(distinct, bands, radius), "stars")
-    met = materialize(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", "fp", "hash"), "met")
-    wanted = met.select("node", "hash")
-    if met.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(text_hash(text_col).alias("hash"), F.col(text_col).alias("text")).join(wanted, "hash").dropDuplicates(["node"]).select("node", "text")
-    texts = materialize(texts, "texts")
-    first = materialize(alike(stars, texts, width, similarity), "first")
-    joined = materialize(connected_components(first), "joined").withColumnRenamed("node", "_node")
-    labels = met.join(joined, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("component", "node").alias("label"))
-    others = materialize(hamming_candidates(labels, bands, radius, 1024).join(stars, ["a", "b"], "left_anti"), "others")
-    links = materialize(first.unionAll(alike(others, texts, width, similarity)), "links")
-    discard(texts)
+    near = materialize(hamming_links(distinct, bands, radius).distinct(), "near")
+    groups = materialize(connected_components(near).withColumnRenamed("component", "group"), "groups")
+    wanted = materialize(groups.join(distinct.select("node", "hash"), "node"), "wanted")
+    texts = docs.select(text_hash(text_col).alias("hash"), F.col(text_col).alias("text")).join(wanted, "hash").dropDuplicates(["node"]).select("group", "node", "text")
+    sets = materialize(texts.mapInArrow(_sets(width), "group long, node long, size long, shingles array<long>"), "sets")
+    links = jaccard_links(sets, similarity)
     roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "_node")
+    for done in (near, groups, wanted, sets, links):
+        discard(done)
     return distinct.join(roots, distinct["node"] == roots["_node"], "left").withColumn("root", F.coalesce("component", "node")).drop("_node", "component")
 
 
