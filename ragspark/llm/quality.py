@@ -102,13 +102,20 @@ def _look(buckets: int):
     return run
 
 
-def fit_labellers(counts: dict[str, int], rounds: int = 200, false_alarm: float = 0.002) -> tuple[dict[str, float], np.ndarray]:
+#: Believed beforehand: bad and other votes of a labeller on good documents, as a share of all votes it casts; on bad ones
+#: of its own kind, and of another kind; and a document of each class.
+FALSE_ALARMS, OWN_KIND, OTHER_KIND = (0.0002, 0.0998), (4.0, 1.0), (0.2, 0.8)
+
+
+def fit_labellers(counts: dict[str, int], rounds: int = 500) -> tuple[dict[str, float], np.ndarray]:
     """Expectation-maximisation over vote patterns: the posterior that each pattern's documents are good, and rates.
 
-    counts: documents by pattern, at most 3 ** labellers of them. Given the class, labellers are independent; each
-    has a rate of bad votes, among votes cast, for bad documents (its sensitivity) and for good ones, which is kept
-    at false_alarm at most: the labellers are made to accuse rarely. Starts from "bad if any labeller says so".
-    rates: a row a labeller, for bad and for good documents.
+    counts: documents by pattern, at most 3 ** labellers of them. A document is good or of one of several bad kinds, as
+    many as labellers, for junk comes in kinds that have little to do with one another. Given its class, labellers
+    are independent. Each class has a share of the documents, and in it each labeller a rate of bad votes among votes
+    cast; all of these are estimated and none is bounded. Votes alone can't tell what one labeller alone accuses
+    from its false alarms: the beliefs say that it is bad. Starts from "bad if any labeller says so", of their kinds.
+    rates: a row a labeller, for bad documents (its sensitivity) and for good ones (its false alarms).
     """
     patterns = sorted(counts)
     if not patterns:
@@ -116,22 +123,24 @@ def fit_labellers(counts: dict[str, int], rounds: int = 200, false_alarm: float
     cast = np.array([[c != ABSTAIN for c in p] for p in patterns], float)
     bad = np.array([[c == BAD for c in p] for p in patterns], float)
     weight = np.array([counts[p] for p in patterns], float)
-    accused = np.where(bad.any(axis=1), 0.95, 0.02)
+    kinds, votes_cast = len(LABELLERS), weight @ cast + 1
+    yes, no = (np.vstack([FALSE_ALARMS[i] * votes_cast, np.where(np.eye(kinds) > 0, OWN_KIND[i], OTHER_KIND[i])]) for i in (0, 1))
+    accused = np.where(bad.any(axis=1), 0.95, 0.02)[:, None]
+    share = np.where(bad.any(axis=1, keepdims=True), bad, 1.0)
+    member = np.hstack([1 - accused, accused * share / share.sum(axis=1, keepdims=True)])  # of good, then of each kind
     for _ in range(rounds):
-        rates = np.empty((len(LABELLERS), 2))
-        for k, share in enumerate((accused, 1 - accused)):
-            held = weight * share
-            rates[:, k] = (held @ bad + (0.2, 0.001)[k]) / (held @ cast + 1)
-        rates[:, 0] = np.clip(rates[:, 0], 0.02, 0.98)
-        rates[:, 1] = np.clip(rates[:, 1], 1e-6, false_alarm)
-        prior = np.clip((weight @ accused + 1) / (weight.sum() + 10), 0.01, 0.5)
-        log = [bad @ np.log(rates[:, k]) + (cast - bad) @ np.log1p(-rates[:, k]) for k in (0, 1)]
-        after = 1 / (1 + np.exp(np.clip(log[1] - log[0] + np.log((1 - prior) / prior), -50, 50)))
-        done = np.abs(after - accused).max() < 1e-6
-        accused = after
+        held = (weight[:, None] * member).T
+        rates = (held @ bad + yes) / (held @ cast + yes + no)
+        prior = (held.sum(axis=1) + 1) / (weight.sum() + kinds + 1)
+        log = bad @ np.log(rates).T + (cast - bad) @ np.log1p(-rates).T + np.log(prior)
+        after = np.exp(log - log.max(axis=1, keepdims=True))
+        after /= after.sum(axis=1, keepdims=True)
+        done = np.abs(after - member).max() < 1e-6
+        member = after
         if done:
             break
-    return dict(zip(patterns, (1 - accused).tolist(), strict=True)), rates
+    sensitivity = prior[1:] @ rates[1:] / prior[1:].sum()
+    return dict(zip(patterns, member[:, 0].tolist(), strict=True)), np.stack([sensitivity, rates[0]], axis=1)
 
 
 def fit_scorer(rows: list, good: dict[str, float], buckets: int, rounds: int = 25, ridge: float = 1e-3) -> np.ndarray:
