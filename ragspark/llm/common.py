@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 ASCII_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 _own_dirs: dict[str, str] = {}
+_stored: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
+    """The folder that all executors share: spark.checkpoint.dir, or the one of setCheckpointDir(); in local runs that name
+    none a temporary one. Raises RuntimeError on a cluster that names none, where executors would write to their own disks."""
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -32,19 +38,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, and a lost executor loses nothing.
+
+    The table stays until discard(), release() or the end of the process.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def _delete(path: str) -> None:
+    try:
+        fs, base = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        fs.delete_dir(base)
+    except (OSError, pa.ArrowInvalid):
+        pass  # gone already, or a file system that only Spark knows: its own clean-up has to do it
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote and that nothing reads any more."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _stored.discard(df.stored_at)
+
+
+def release() -> None:
+    """Delete all tables that materialize() wrote in this process; DataFrames over them can't be read afterwards."""
+    for path in list(_stored):
+        _delete(path)
+    _stored.clear()
+
+
+atexit.register(release)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ragspark.llm import dac, simhash
+from ragspark.llm import catalog, dac, embeddings, simhash
 from ragspark.llm.common import connected_components, gapless_rank, materialize, tiled
 from ragspark.llm.embeddings import embedding_components
 from ragspark.llm.fingerprints import fingerprint_documents, fingerprint_edits, with_next
@@ -22,7 +23,7 @@ from ragspark.llm.language import infer_languages, select_languages, train_langu
 from ragspark.llm.line_dedup import dedup_lines
 from ragspark.llm.mixing import mix_sources, take_mix
 from ragspark.llm.packing import GROUPS, SHARE, grouped_sequences, pack_documents, plan_sequences
-from ragspark.llm.quality import filter_quality, score_quality
+from ragspark.llm.quality import FALSE_ALARMS, LABELLERS, OTHER_KIND, OWN_KIND, filter_quality, fit_labellers, score_quality
 from ragspark.llm.sharding import assign_shards
 from ragspark.llm.simhash import drop_near_duplicates, simhash_components
 from ragspark.llm.tokens import Encoder, default_tokenizer
@@ -260,6 +261,34 @@ def test_near_duplicates_are_decided_by_jaccard(spark):
     assert got == want
 
 
+def test_jaccard_links_over_tiles(spark):
+    """One group of several tiles: chains around the threshold, a class of copies, and nodes that nothing joins."""
+    rng = random.Random(23)
+    base = rng.sample(range(1 << 40), 60)
+    sets = [set(base[:50]) | {rng.randrange(1 << 40)} for _ in range(40)]
+    for _ in range(60):
+        sets.append((set(rng.sample(base, 48)) | set(rng.sample(range(1 << 40), rng.randint(0, 14)))))
+    rows = [(7, i, len(s), sorted(s)) for i, s in enumerate(sets)] + [(8, 500, 2, [1, 2]), (8, 501, 2, [1, 2]), (8, 502, 2, [1, 3])]
+    df = spark.createDataFrame(rows, "group long, node long, size long, shingles array<long>")
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = brute_components(list(range(len(sets))), lambda i, j: share(i, j) >= 0.8)
+    assert 1 < len(set(want)) < 70
+    for tile, shingles in ((1000, 1 << 30), (9, 1 << 30), (1000, 400)):
+        found = {r.node: r.component for r in connected_components(simhash.jaccard_links(df, 0.8, tile, shingles)).collect()}
+        assert [found.get(i, i) for i in range(len(sets))] == want
+        assert found[501] == 500 and 502 not in found
+
+
+@pytest.mark.parametrize("n", [10, 1 << 20, 1 << 30, 1 << 40])
+def test_exact_bands_miss_nothing(n):
+    bands = simhash.exact_bands(64, 3, n)
+    assert len({len(b) for b in bands}) == 1 and min(30, (n // 1024).bit_length()) <= len(bands[0])
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        flipped = set(rng.choice(64, 3, replace=False).tolist())
+        assert any(not flipped & set(b) for b in bands)
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     rng = random.Random(22)
     words = [f"w{i}" for i in range(3000)]
@@ -469,6 +498,33 @@ def test_embedding_components(spark):
     assert embedding_components(df.limit(0)).count() == 0
 
 
+def test_range_join_prunes():
+    """The candidates of all blocks together are a small part of the pairs, and hold every pair within the budget."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((900, 64))
+    x[450:] = x[:450] + 0.03 * rng.standard_normal((450, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    turned, edges, budget = x @ embeddings.rotation(64), embeddings.block_edges(64, 8), 2 - 2 * 0.93
+    compared, held = 0, set()
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        i, j = embeddings.range_join(turned[:, lo:hi], turned[:, lo:hi], (budget / 8) ** 0.5)
+        assert (np.abs(turned[i, lo:hi] - turned[j, lo:hi]) <= (budget / 8) ** 0.5 + 1e-12).all()
+        compared += int((i < j).sum())
+    for _, i, j in embeddings.block_candidates(turned, turned, edges, budget / 8 + 1e-9):
+        held |= set(zip(i.tolist(), j.tolist(), strict=True))
+    cosine = x @ x.T
+    assert held >= set(zip(*np.nonzero(cosine >= 0.93), strict=True))
+    assert compared < 0.1 * 900 * 899 / 2
+
+
+def test_embeddings_with_odd_rows(spark):
+    v = [0.5, -0.5, 1.0]
+    rows = [(None, 1, v, "a"), (5, 1, v, "b"), (5, 1, [-x for x in v], "c"), (5, 1, [2 * x for x in v], "d"), (9, 2, v, "e")]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>, node string").withColumns({"copies": F.lit("x"), "_tile": F.lit("y"), "h1": F.lit(1)})
+    got = Counter(tuple(r) for r in embedding_components(df).collect())
+    assert got == Counter([(None, 2, 5, False), (5, 2, 5, True), (5, 0, 5, True), (5, 2, 5, True), (9, 0, 9, True)])
+
+
 def test_language(spark):
     rng = random.Random(6)
     parts = {"aa": ["ka", "ri", "to", "na"], "bb": ["sch", "ung", "ber", "ä"], "cc": ["eau", "oi", "é", "tre"]}
@@ -486,6 +542,129 @@ def test_language(spark):
         assert select_languages(np.array([[0.5, 0.1], [0.5, 0.9]]), np.array([10, 0]), 2.0).sum() == pytest.approx(1)
 
 
+def plain_em(likelihood, counts, rounds=3000):
+    share = [1 / len(likelihood)] * len(likelihood)
+    for _ in range(rounds):
+        new = [0.0] * len(share)
+        for g, n in enumerate(counts):
+            mix = sum(s * row[g] for s, row in zip(share, likelihood, strict=True))
+            for k, row in enumerate(likelihood):
+                new[k] += n * share[k] * row[g] / mix
+        share = [x / sum(counts) for x in new]
+    return share, sum(n * np.log(sum(s * row[g] for s, row in zip(share, likelihood, strict=True))) for g, n in enumerate(counts))
+
+
+def test_language_sets_against_all_subsets():
+    """The set chosen has the largest penalised likelihood of all subsets, each fitted by a plain EM."""
+    rng = np.random.default_rng(14)
+    model = rng.dirichlet(np.full(12, 0.4), 4) + 1e-3
+    model /= model.sum(axis=1, keepdims=True)
+    sizes = Counter()
+    for case in range(24):
+        mix = rng.dirichlet(np.ones(1 + case % 3))
+        who = rng.choice(4, len(mix), replace=False)
+        counts = rng.multinomial(60 + 40 * case, mix @ model[who])
+        keep = counts > 0
+        like, n = model[:, keep], counts[keep]
+        chosen = select_languages(like, n, 2.0)
+        best = {}
+        for size in (1, 2, 3, 4):
+            for own in combinations(range(4), size):
+                share, fit = plain_em(like[list(own)].tolist(), n.tolist(), 400)
+                best[own] = (fit - 2.0 * size * np.log(n.sum() + 1), share)
+        top = max(best, key=lambda own: best[own][0])
+        mine = tuple(np.nonzero(chosen)[0].tolist())
+        assert best[mine][0] >= best[top][0] - 0.5
+        assert np.abs(chosen[list(mine)] - best[mine][1]).max() < 0.03
+        sizes[len(mine)] += 1
+    assert len(sizes) == 3
+
+
+def test_language_query(spark, tmp_path):
+    """The query's split: nothing is learned from held-out rows or rows without a language, and every row is predicted."""
+    rng = random.Random(16)
+    parts = {"aa": ["ka", "ri", "to", "na"], "bb": ["sch", "ung", "ber", "ä"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    rows = [(i, text(lang, 30), lang if not held(i) else "zz", "a") for i, lang in enumerate(["aa", "bb"] * 50)]
+    rows += [(200, text("aa", 30), None, "a"), (201, "12 %% 😀😀😀 😎", "aa", "a"), (202, None, "bb", "a"), (203, "𐐨𐐩𐐪 𐐫𐐬", None, "a"), (204, text("bb", 40_000), "bb", "a"), (None, rows[0][1], "aa", None), rows[3], rows[3]]
+    frame(spark, rows).withColumns({"_row": F.lit(1), "_text": F.lit("x"), "lang_pred": F.lit("q")}).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.op2_language(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    by = {r.doc_id: r for r in got}
+    assert all(r.held_out == held("" if r.doc_id is None else r.doc_id) for r in got) and {r.lang_pred for r in got} == {"aa", "bb", "und"}
+    assert all(by[i].lang_pred == ["aa", "bb"][i % 2] for i in range(100)) and by[204].lang_pred == "bb"
+    assert (by[200].lang_pred, by[201].lang_pred, by[202].lang_pred, by[203].lang_pred != "und") == ("aa", "und", "und", True)
+    assert all(0 <= r.score <= 1 for r in got)
+    frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert catalog.op2_language(spark, str(tmp_path / "none")).count() == 0
+
+
+def plain_labeller_em(patterns, rounds=500):
+    """The same model, a document and a labeller at a time."""
+    k = len(LABELLERS)
+    cast_votes = [1 + sum(p[j] != "-" for p in patterns) for j in range(k)]
+    member = []
+    for p in patterns:
+        accusers = [j for j in range(k) if p[j] == "0"] or list(range(k))
+        bad = 0.95 if "0" in p else 0.02
+        member.append([1 - bad] + [bad / len(accusers) if j in accusers else 0.0 for j in range(k)])
+    for _ in range(rounds):
+        share = [(1 + sum(m[c] for m in member)) / (len(patterns) + k + 1) for c in range(k + 1)]
+        rate = []
+        for c in range(k + 1):
+            row = []
+            for j in range(k):
+                yes, no = [x * cast_votes[j] for x in FALSE_ALARMS] if c == 0 else OWN_KIND if c == j + 1 else OTHER_KIND
+                said = sum(m[c] for m, p in zip(member, patterns, strict=True) if p[j] == "0")
+                voted = sum(m[c] for m, p in zip(member, patterns, strict=True) if p[j] != "-")
+                row.append((said + yes) / (voted + yes + no))
+            rate.append(row)
+        member = []
+        for p in patterns:
+            like = [share[c] * np.prod([rate[c][j] if p[j] == "0" else 1 - rate[c][j] for j in range(k) if p[j] != "-"]) for c in range(k + 1)]
+            member.append([x / sum(like) for x in like])
+    return {p: m[0] for p, m in zip(patterns, member, strict=True)}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.7])
+def test_labellers_against_plain_em(share):
+    """Few and most documents bad; labellers that overlap and abstain."""
+    rng = np.random.default_rng(15)
+    bad = rng.random(300) < share
+    kind = rng.integers(0, 3, 300)
+    fires = np.where(bad[:, None], rng.random((300, 8)) < np.where(np.arange(8)[None, :] // 2 == kind[:, None], 0.8, 0.02), rng.random((300, 8)) < 0.004)
+    quiet = rng.random((300, 8)) < 0.1
+    patterns = ["".join("-" if q else "0" if f else "1" for f, q in zip(a, b, strict=True)) for a, b in zip(fires, quiet, strict=True)]
+    got, rates = fit_labellers(dict(Counter(patterns)), 40)
+    want = plain_labeller_em(patterns, 40)
+    assert all(abs(got[p] - want[p]) < 1e-6 for p in want)
+    assert np.mean([(got[p] < 0.5) == b for p, b in zip(patterns, bad, strict=True)]) > 0.93
+    votes = lambda rows: np.array([[c == "0" for c in p] for p in rows]).sum(axis=0) / np.array([[c != "-" for c in p] for p in rows]).sum(axis=0)
+    for side, column in ((bad, 0), (~bad, 1)):
+        assert np.abs(rates[:, column] - votes([p for p, b in zip(patterns, side, strict=True) if b])).max() < 0.12
+
+
+def test_quality_with_odd_rows(spark):
+    rows = [(None, "A plain line of text that says little.", "en", "a"), (None, None, "en", "a"), (4, "!!! " * 50_000, "en", "a"), (5, "Some other words in a row.", "en", "a"), (5, "Some other words in a row.", "en", "a"), (6, "word " * 60_000, "en", "a")]
+    rows += [(10 + i, prose(random.Random(i), 30).capitalize() + ".", "en", "a") for i in range(60)]
+    df = frame(spark, rows).withColumns({"doc": F.lit(1), "hash": F.lit(2), "votes": F.lit("v"), "index": F.lit(3), "_row": F.lit(4), "_text": F.lit("t")})
+    got = score_quality(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert sorted(r.keep for r in got if r.doc_id is None) == [False, True] and {r.keep for r in got if r.doc_id == 5} == {True}
+    assert not any(r.keep for r in got if r.doc_id in (4, 6))
+    kept = filter_quality(df)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.keep)
+
+
+def test_quality_against_labels(spark):
+    """The labels of the test data, which the classifier does not see."""
+    sf = "/root/testdata/sf0.01"
+    got = catalog.op8_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in got}
+    assert kept[1] >= 0.99 and kept[0] <= 0.05
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, bad = [], set()
