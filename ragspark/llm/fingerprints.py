@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragspark.llm.common import materialize
+from ragspark.llm.common import key_hash, materialize
 
 #: Hashes that are broadcast at most; more of them meet the texts in a shuffled join.
 BROADCAST_ROWS = 200_000
@@ -101,23 +101,29 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of every text, of its edited text and of the next one; see with_next() and edited().
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint. To compare texts of equal
-    hashes, originals are read from docs, unmoved, and edited texts are made again from the few documents they need.
+    hashes, originals are read from docs, unmoved, and edited texts are made again from the few texts they need, which
+    are told by their MD5: repeated and null ids multiply nothing.
     """
     names = {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"}
     rows = with_next(docs, id_col, text_col, rows_per_range).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
 
     def texts(repeated: DataFrame, hashed: DataFrame) -> DataFrame:
-        own = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        pairs = materialize(hashed.join(repeated, F.col("_hash_edited") == F.col("hash"), "left_semi").select("doc_id", "next_id"), "pairs")
-        ids = bounded_broadcast(materialize(pairs.select("doc_id").union(pairs.select("next_id")).distinct().toDF("_one"), "ids"))
-        some = own.join(ids, F.col("_id").eqNullSafe(F.col("_one")), "left_semi")
-        first = pairs.join(some.toDF("_a", "_first"), F.col("doc_id").eqNullSafe(F.col("_a")))
-        both = first.join(some.toDF("_b", "_second"), F.col("next_id").eqNullSafe(F.col("_b")))
+        own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+        pairs = materialize(hashed.join(repeated, F.col("_hash_edited") == F.col("hash"), "left_semi").select("key", "next_key").distinct(), "pairs")
+        keys = bounded_broadcast(materialize(pairs.select("key").union(pairs.select("next_key")).distinct().toDF("_one"), "keys"))
+        some = own.withColumn("_key", text_key(F.col("_text"))).join(keys, F.col("_key") == F.col("_one"), "left_semi").groupBy("_key").agg(F.first("_text").alias("_text"))
+        first = pairs.join(some.toDF("_a", "_first"), F.col("key") == F.col("_a"))
+        both = first.join(some.toDF("_b", "_second"), F.col("next_key") == F.col("_b"))
         return own.select(F.col("_text").alias("text")).unionAll(both.select(edited(F.col("_first"), F.col("_second")).alias("text")))
 
-    marked = fingerprint_columns(rows, names, ["doc_id", "next_id", "n_chars", "edited_sha256"], texts, ("next_text",), bits)
-    return marked.drop("next_id")
+    rows = rows.withColumns({"key": text_key(F.col("text")), "next_key": text_key(F.col("next_text"))})
+    marked = fingerprint_columns(rows, names, ["doc_id", "key", "next_key", "n_chars", "edited_sha256"], texts, ("next_text",), bits)
+    return marked.drop("key", "next_key")
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _range_number(value: Column, bounds: list[int]) -> Column:
@@ -134,15 +140,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """doc_id, text, next_id, next_text of every row: the row with the next smaller id; after the last, the first.
 
     The ids alone give range bounds: quantiles, one for each rows_per_range rows, or max_ranges bounds of larger
-    ranges. Each range is sorted by itself, and its last row meets the next range's first one, of which there is
-    one a range: max_ranges rows of two numbers are what is broadcast at most. Rows of equal ids are in one range and follow each other in the order of their texts; null ids
-    come last. A single row is its own next one.
+    ranges. Each range is sorted by itself, and its last row meets the next range's first one, of which there is one a
+    range; what follows what is found on range numbers alone. Rows of equal ids are in one range and follow each other
+    in the order of their texts. Null ids come last, in as many ranges of their texts' hashes as their number takes,
+    by text within each. A single row is its own next one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = min(max_ranges, max(1, -(-rows.count() // rows_per_range)))
+    counts = rows.agg(F.count("doc_id").alias("n"), F.count("*").alias("all")).first()
+    ranges = min(max_ranges, max(1, -(-counts["n"] // rows_per_range)))
+    bare = max(1, -(-(counts["all"] - counts["n"]) // rows_per_range))
     steps = [i / ranges for i in range(1, ranges)]
     bounds = rows.agg(F.percentile_approx("doc_id", steps, 100 * ranges).alias("b")).first()["b"] if steps else None
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(_range_number(F.col("doc_id"), sorted(set(bounds or []))))
+    by_hash = -1 - F.floor(key_hash(F.col("text")) / F.lit(float(1 << 60)) * F.lit(bare)).cast("int")
+    part = F.when(F.col("doc_id").isNull(), by_hash if bare > 1 else F.lit(-1)).otherwise(_range_number(F.col("doc_id"), sorted(set(bounds or []))))
     placed = rows.withColumn("part", part)
     inside = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "text")
     follow = placed.select("*", F.lead(F.struct("doc_id", "text")).over(inside).alias("next"))
@@ -151,8 +161,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         placed.withColumnRenamed("part", "_part").join(F.broadcast(first), (F.col("_part") == F.col("part")) & F.col("doc_id").eqNullSafe(F.col("_first")))
         .groupBy("part", "doc_id").agg(F.min("text").alias("text"))
     )
-    order = Window.orderBy(F.desc("part"))  # a row a range
-    heads = heads.select("part", F.struct("doc_id", "text").alias("head"))
-    heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
-    after = F.coalesce("next", "head")
-    return follow.join(heads, "part", "left").select("doc_id", "text", after["doc_id"].alias("next_id"), after["text"].alias("next_text"))
+    order = Window.orderBy(F.desc("part"))  # a row a range, without its text
+    after = first.select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("_part"))
+    heads = after.join(heads.select(F.col("part").alias("_part"), F.struct("doc_id", "text").alias("head")), "_part").drop("_part")
+    following = F.coalesce("next", "head")
+    return follow.join(heads, "part", "left").select("doc_id", "text", following["doc_id"].alias("next_id"), following["text"].alias("next_text"))

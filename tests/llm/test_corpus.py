@@ -343,6 +343,27 @@ def test_next_documents(spark, rows):
     assert with_next(frame(spark, [])).count() == 0
 
 
+def test_edits_with_null_and_repeated_ids(spark):
+    """Each row's next one is one row, whatever the ids are; null ids are split by hash."""
+    rng = random.Random(41)
+    rows = [(None, prose(rng, 5 + i % 7), "en", "a") for i in range(40)] + [(9, prose(rng, 6), "en", "a") for _ in range(12)] + [(i, prose(rng, 8), "en", "a") for i in range(20)] + [(None, None, "en", "a")] * 3
+    df = frame(spark, rows).withColumns({"key": F.lit(1), "next_key": F.lit(2), "part": F.lit(3), "next": F.lit(4)})
+    chained = with_next(df, rows_per_range=10).collect()
+    text = lambda r: r[1] or ""
+    assert Counter((r.doc_id, r.text) for r in chained) == Counter((r[0], text(r)) for r in rows) == Counter((r.next_id, r.next_text) for r in chained)
+    ids = sorted((r.doc_id for r in chained if r.doc_id is not None), reverse=True)
+    assert Counter((r.doc_id, r.next_id) for r in chained if r.doc_id is not None) == Counter(zip(ids, [*ids[1:], None], strict=True))
+    got = fingerprint_edits(df, rows_per_range=10).collect()
+    edits = lambda a, b: a[: len(a) - len(a) // 3] + b[: len(a) // 3]
+    want = Counter((r.doc_id, len(r.text), hashlib.sha256(edits(r.text, r.next_text).encode()).hexdigest()) for r in chained)
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    collide = fingerprint_edits(df, rows_per_range=10, bits=4).collect()
+    by = defaultdict(set)
+    for r in collide:
+        by[r.edited_fingerprint].add(r.edited_sha256)
+    assert len(collide) == len(rows) and len(by) > 16
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(default_tokenizer())
