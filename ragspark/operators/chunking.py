@@ -157,14 +157,14 @@ def section_pieces(text: str, titled: bool, size: int, overlap: int) -> list[str
     return [(head + p).strip() for p in pack_body(LINES.split(body), size - len(head), overlap)]
 
 
-def chunk_sections(parts: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Chunks of sections: doc_id, section, piece, heading, heading_level, section_path, text.
+def section_chunks(parts: DataFrame, size: int, overlap: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, pieces): the chunks of each section as an array; row is a struct of the section's columns and those in carry.
 
     The heading line is put before every piece, which has so much less room; if there is none left, it goes. A body
     that fits is one chunk as it is; others go to pack_body(). Sections of a heading only give nothing. In Arrow
     batches, as packing depends on the order of the blocks; nothing is shuffled.
     """
-    row = F.struct("doc_id", "section", "heading", "heading_level", "section_path").alias("row")
+    row = F.struct("doc_id", "section", "heading", "heading_level", "section_path", *carry).alias("row")
     rows = parts.select(row, F.col("heading_level").isNotNull().alias("titled"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,8 +172,12 @@ def chunk_sections(parts: DataFrame, size: int, overlap: int) -> DataFrame:
             cut = [section_pieces(text, titled, size, overlap) for text, titled in zip(pdf["text"], pdf["titled"], strict=True)]
             yield pdf[["row"]].assign(pieces=cut)
 
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, pieces array<string>"
-    return rows.mapInPandas(run, schema).select("row", F.posexplode("pieces").alias("piece", "text")).select("row.*", "piece", "text")
+    return rows.mapInPandas(run, f"row {rows.schema['row'].dataType.simpleString()}, pieces array<string>")
+
+
+def chunk_sections(parts: DataFrame, size: int, overlap: int) -> DataFrame:
+    """Chunks of sections, a row each: doc_id, section, piece, heading, heading_level, section_path, text."""
+    return section_chunks(parts, size, overlap).select("row", F.posexplode("pieces").alias("piece", "text")).select("row.*", "piece", "text")
 
 
 def _numbered(chunks: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
@@ -191,20 +195,28 @@ def child_chunks(parents: DataFrame, size: int = 450, overlap: int = 75) -> Data
 
     Each parent's text is chunked again; chunks over the size are cut into windows, and a parent without any is its own
     child. section_path is what the parent's text shows, or the parent's where that shows none; full_section_path is
-    always the parent's.
+    always the parent's. Parents that show no heading, in practice most, are cut within their row; the others go through
+    sections() and meet their row again.
     """
-    p = parents.select(F.struct("doc_id", "parent_index").alias("key"), "text", "heading", "heading_level", F.col("section_path").alias("full_section_path"))
-    cut = chunk_sections(sections(p, "key", "text"), size, overlap)
-    wide = cut.select(F.col("doc_id").alias("key"), "section", "piece", "heading", "heading_level", "section_path", F.posexplode(
-        F.when(F.length("text") <= size, F.array("text")).otherwise(windows(F.col("text"), size, overlap))).alias("sub", "piece_text"))
-    joined = p.select("key", F.col("text").alias("parent_text"), F.col("heading").alias("_h"), F.col("heading_level").alias("_l"), "full_section_path").join(wide, "key", "left")
+    above = F.struct("heading", "heading_level", "section_path").alias("above")
+    p = parents.select(F.struct("doc_id", "parent_index").alias("key"), above, "text", F.col("text").rlike(MARKED).alias("marked"))
+    fitted = lambda c: F.when(F.length(c) <= size, F.array(c)).otherwise(windows(c, size, overlap))
+    whole = p.where("not marked").select(
+        F.col("key").alias("doc_id"), F.lit(0).cast("long").alias("section"), F.lit("").alias("heading"), F.lit(None).cast("int").alias("heading_level"), F.lit("").alias("section_path"), "above",
+        strip(F.when(has_odd_breaks(F.col("text")), F.array_join(lines(F.col("text")), "\n")).otherwise(F.col("text"))).alias("text"))
+    plain = section_chunks(whole, size, overlap, ("above",)).select(
+        "row.doc_id.*", "row.above.*", F.posexplode(F.flatten(F.transform("pieces", fitted))).alias("child_index", "text")).withColumn("full_section_path", F.col("section_path"))
+    cut = chunk_sections(sections(p.where("marked"), "key", "text"), size, overlap)
+    wide = cut.select(F.col("doc_id").alias("key"), "section", "piece", "heading", "heading_level", "section_path", F.posexplode(fitted(F.col("text"))).alias("sub", "piece_text"))
+    joined = p.where("marked").select("key", "above", F.col("text").alias("parent_text")).join(wide, "key", "left")
     shown = F.coalesce(F.col("heading"), F.lit("")) != ""
     out = joined.select(
-        "key.doc_id", "key.parent_index", "section", "piece", "sub", F.coalesce("piece_text", "parent_text").alias("text"),
-        F.when(shown, F.col("heading")).otherwise(F.col("_h")).alias("heading"), F.when(shown, F.col("heading_level")).otherwise(F.col("_l")).alias("heading_level"),
-        F.when(F.coalesce("section_path", F.lit("")) != "", F.col("section_path")).otherwise(F.col("full_section_path")).alias("section_path"), "full_section_path")
+        "key.*", F.when(shown, F.col("heading")).otherwise(F.col("above.heading")).alias("heading"), F.when(shown, F.col("heading_level")).otherwise(F.col("above.heading_level")).alias("heading_level"),
+        F.when(F.coalesce("section_path", F.lit("")) != "", F.col("section_path")).otherwise(F.col("above.section_path")).alias("section_path"),
+        F.col("above.section_path").alias("full_section_path"), F.coalesce("piece_text", "parent_text").alias("text"), "section", "piece", "sub")
     order = ["section", "piece", "sub"]
-    return _numbered(_numbered(out, ["doc_id", "parent_index"], order, "child_index"), ["doc_id"], ["parent_index", "child_index"], "chunk_index").drop(*order)
+    headed = _numbered(out, ["doc_id", "parent_index"], order, "child_index").drop(*order)
+    return _numbered(plain.unionByName(headed), ["doc_id"], ["parent_index", "child_index"], "chunk_index")
 
 
 def chunk_records(docs: DataFrame, path_col: str = "path", text_col: str = "text", children: bool = True, parent: tuple[int, int] = (900, 150), child: tuple[int, int] = (450, 75)) -> tuple[DataFrame, DataFrame]:

@@ -46,9 +46,8 @@ def scratch(spark: SparkSession) -> str:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files. Number signs, which could open a heading where a window starts, are plus signs, so that the
-    closed form of the windows in SQL holds; the tests cover headings."""
-    return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.replace(F.col("text"), F.lit("#"), F.lit("+")).alias("text"), "doc_id")
+    """Documents as files."""
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), "text", "doc_id")
 
 
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,18 +113,18 @@ def b7_clean_markup(spark, sf_dir):
 # --- documents and chunks
 
 
-@query("SELECT sha256('doc-' || doc_id || '.txt') AS document_id, 'doc-' || doc_id || '.txt' AS source_path, 'doc-' || doc_id AS title, 'txt' AS file_type, sha256(replace(coalesce(text, ''), '#', '+')) AS content_hash, 'active' AS status FROM documents")
+@query("SELECT sha256('doc-' || doc_id || '.txt') AS document_id, 'doc-' || doc_id || '.txt' AS source_path, 'doc-' || doc_id AS title, 'txt' AS file_type, sha256(coalesce(text, '')) AS content_hash, 'active' AS status FROM documents")
 def a2_document_records(spark, sf_dir):
     return tables.document_records(files(spark, sf_dir))
 
 
-@query(f"WITH {o.CHUNKS} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM parents) AS parents, (SELECT count(*) FROM children) AS children")
+@query(f"WITH RECURSIVE {o.once(o.CHUNKS)} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM parents) AS parents, (SELECT count(*) FROM children) AS children")
 def a9_ingest_counts(spark, sf_dir):
     docs = files(spark, sf_dir)
     return tables.ingest_counts(docs, *chunking.chunk_records(docs))
 
 
-@query(f"WITH {o.CHUNKS} SELECT c.chunk_id, c.text, '' AS heading, c.parent_id, p.text AS parent_text, c.child_index, 'child' AS chunk_type FROM children c JOIN parents p USING (parent_id)")
+@query(f"WITH RECURSIVE {o.once(o.CHUNKS)} SELECT c.chunk_id, c.text, c.heading, c.parent_id, p.text AS parent_text, c.child_index, 'child' AS chunk_type FROM children c JOIN parents p USING (parent_id)")
 def a7_chunk_snapshot(spark, sf_dir):
     parents, kids = chunking.chunk_records(files(spark, sf_dir))
     full = kids.join(parents.select("parent_id", F.col("text").alias("parent_text")), "parent_id").drop("chunk_type")
@@ -141,19 +140,20 @@ def c1_sections(spark, sf_dir):
     return cut.select("doc_id", dense.cast("long").alias("section"), "heading", "heading_level", "section_path", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"WITH RECURSIVE {o.once(o.MARKDOWN_CHUNKS)} SELECT chunk_id, parent_id, heading, section_path, child_index, text, greatest(1, len({o.spaced('text')}))::BIGINT AS token_count FROM children")
 def c7_markdown_chunks(spark, sf_dir):
-    """Sections, tables, greedy packing and children on Markdown; checked against brute force in the tests."""
+    """Sections, tables, greedy packing and children on Markdown."""
     docs = markdown(spark, sf_dir).withColumn("path", F.concat(F.lit("doc-"), "doc_id", F.lit(".md")))
-    return chunking.chunk_records(docs)[1]
+    kids = chunking.chunk_records(docs)[1]
+    return kids.select("chunk_id", "parent_id", "heading", "section_path", F.col("child_index").cast("long").alias("child_index"), "text", F.col("token_count").cast("long").alias("token_count"))
 
 
-@query(f"WITH {o.CHUNKS} SELECT doc_id, parent_index, text FROM parents")
+@query(f"WITH RECURSIVE {o.once(o.CHUNKS)} SELECT regexp_extract(doc_key, '[0-9]+')::BIGINT AS doc_id, parent_index, text FROM parents")
 def c10_parent_chunks(spark, sf_dir):
     return chunking.parent_chunks(files(spark, sf_dir)).select("doc_id", F.col("parent_index").cast("long").alias("parent_index"), "text")
 
 
-@query(f"WITH {o.CHUNKS} SELECT chunk_id, parent_id, child_index, text, greatest(1, len({o.spaced('text')}))::BIGINT AS token_count FROM children")
+@query(f"WITH RECURSIVE {o.once(o.CHUNKS)} SELECT chunk_id, parent_id, child_index, text, greatest(1, len({o.spaced('text')}))::BIGINT AS token_count FROM children")
 def c11_child_chunks(spark, sf_dir):
     kids = chunking.chunk_records(files(spark, sf_dir))[1]
     return kids.select("chunk_id", "parent_id", F.col("child_index").cast("long").alias("child_index"), "text", F.col("token_count").cast("long").alias("token_count"))
@@ -242,7 +242,7 @@ def _qv(spark, sf_dir):
     return base, found.variants.select("qv", "query")
 
 
-@query(f"WITH {o.once(o.RANKINGS)} SELECT query_id AS qv, chunk_id, score, vector_score, bm25_score, rank::INT AS rank FROM fused")
+@query(f"WITH RECURSIVE {o.once(o.RANKINGS)} SELECT query_id AS qv, chunk_id, score, vector_score, bm25_score, rank::INT AS rank FROM fused")
 def g1_rank_fusion(spark, sf_dir):
     base, qv = _qv(spark, sf_dir)
     near = vector.exact_top_k(embedding.hash_embed(qv, "qv", "query"), base.vectors, 48, query_id="qv").withColumnRenamed("query_id", "qv")
@@ -250,23 +250,23 @@ def g1_rank_fusion(spark, sf_dir):
     return fusion.reciprocal_rank_fusion(near, worded, 48, ["qv"])
 
 
-@query(f"WITH {o.once(o.COLLAPSED)} SELECT query_id AS qv, parent_id, chunk_id, score, vector_score, bm25_score, matched_child_count, matched_child_ids, rank::INT AS rank FROM collapsed")
+@query(f"WITH RECURSIVE {o.once(o.COLLAPSED)} SELECT query_id AS qv, parent_id, chunk_id, score, vector_score, bm25_score, matched_child_count, matched_child_ids, rank::INT AS rank FROM collapsed")
 def g3_collapse_parents(spark, sf_dir):
     base, qv = _qv(spark, sf_dir)
     return retrieval.hybrid(qv, base, 12).select("qv", "parent_id", "chunk_id", "score", "vector_score", "bm25_score", "matched_child_count", F.array_join("matched_child_ids", ",").alias("matched_child_ids"), "rank")
 
 
-@query(f"WITH {o.once(o.FUSED)} SELECT query_id, parent_id, chunk_id, score, query_hits, vector_score, bm25_score, rank::INT AS rank FROM candidates")
+@query(f"WITH RECURSIVE {o.once(o.FUSED)} SELECT query_id, parent_id, chunk_id, score, query_hits, vector_score, bm25_score, rank::INT AS rank FROM candidates")
 def g4_fuse_variants(spark, sf_dir):
     return _stages(spark, sf_dir)[1].candidates.select("query_id", "parent_id", "chunk_id", "score", "query_hits", "vector_score", "bm25_score", "rank")
 
 
-@query(f"WITH {o.once(o.RERANKED)} SELECT query_id, parent_id, chunk_id, rrf_score, rerank_score, vector_score, bm25_score, rank::INT AS rank FROM contexts")
+@query(f"WITH RECURSIVE {o.once(o.RERANKED)} SELECT query_id, parent_id, chunk_id, rrf_score, rerank_score, vector_score, bm25_score, rank::INT AS rank FROM contexts")
 def g8_rerank(spark, sf_dir):
     return _stages(spark, sf_dir)[1].contexts.select("query_id", "parent_id", "chunk_id", "rrf_score", "rerank_score", "vector_score", "bm25_score", "rank")
 
 
-@query(f"WITH {o.once(o.RERANKED)} SELECT query_id, allowed, strong_context FROM gates")
+@query(f"WITH RECURSIVE {o.once(o.RERANKED)} SELECT query_id, allowed, strong_context FROM gates")
 def g10_gate(spark, sf_dir):
     return _stages(spark, sf_dir)[1].questions.select("query_id", "allowed", "strong_context")
 
@@ -287,7 +287,7 @@ cited AS (SELECT c.*, dense_rank() OVER (PARTITION BY query_id ORDER BY first) A
 extracts AS (SELECT query_id, '{TEST_PACK.extract_head}' || chr(10) || string_agg('- ' || substr({o.collapsed('text')}, 1, 700) || ' [' || citation_id || ']', chr(10) ORDER BY rank) FILTER (WHERE rank <= 3) AS answer FROM cited GROUP BY query_id)"""
 
 
-@query(f"""WITH {o.once(o.RERANKED)}, {EXTRACT} SELECT g.query_id, CASE WHEN NOT allowed THEN 'refusal' WHEN NOT strong_context THEN 'no_context' ELSE 'answer' END AS route,
+@query(f"""WITH RECURSIVE {o.once(o.RERANKED)}, {EXTRACT} SELECT g.query_id, CASE WHEN NOT allowed THEN 'refusal' WHEN NOT strong_context THEN 'no_context' ELSE 'answer' END AS route,
 CASE WHEN NOT allowed THEN '{TEST_PACK.refusal.replace("'", "''")}' WHEN NOT strong_context THEN '{TEST_PACK.no_context}' ELSE x.answer END AS answer FROM gates g LEFT JOIN extracts x USING (query_id)""")
 def k11_answers(spark, sf_dir):
     return flagship(spark, sf_dir, True).select("query_id", "route", "answer")
@@ -383,7 +383,7 @@ def j5_answer_lineage(spark, sf_dir):
     return conversations.answer_lineage(sources, chunks)
 
 
-@query(f"WITH {o.CHUNKS} SELECT chunk_id FROM children WHERE split_part(parent_id, '.', 1) IN (SELECT 'doc-' || doc_id FROM documents WHERE lang = 'en')")
+@query(f"WITH RECURSIVE {o.once(o.CHUNKS)} SELECT chunk_id FROM children WHERE doc_key IN (SELECT 'doc-' || doc_id || '.txt' FROM documents WHERE lang = 'en')")
 def j6_current_chunks(spark, sf_dir):
     kept = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.sha2(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")), 256).alias("document_id"))
     return conversations.current_chunks(chunking.chunk_records(files(spark, sf_dir))[1], kept).select("chunk_id")
@@ -492,11 +492,11 @@ def l9_judge_means(spark, sf_dir):
 # --- streams
 
 
-@query(f"WITH {o.CHUNKS} SELECT chunk_id, md5(text) AS text_md5 FROM children")
+@query(f"WITH RECURSIVE {o.once(o.CHUNKS)} SELECT chunk_id, md5(text) AS text_md5 FROM children")
 def m1_stream_ingest(spark, sf_dir):
     out = scratch(spark)
     kind = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.replace(F.col("text"), F.lit("#"), F.lit("+")).alias("text"))
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     jobs.stream_ingest(stream, f"{out}/base", f"{out}/checkpoint").awaitTermination()
     return jobs.latest(spark.read.parquet(f"{out}/base/children")).select("chunk_id", F.md5("text").alias("text_md5"))
 

@@ -30,18 +30,77 @@ def spaced(x: str) -> str:
     return rf"list_filter(regexp_split_to_array({x}, '[\s\p{{Z}}]+'), lambda t: t <> '')"
 
 
-def cut(source: str, key: str, text: str, size: int, overlap: int, index: str) -> str:
-    """The windows of a text column, numbered."""
-    step = size - overlap
-    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY begin_at) - 1 AS {index}, piece AS text FROM (
-      SELECT {key}, begin_at, {trimmed(f"substr({text}, begin_at + 1, {size})")} AS piece FROM (
-        SELECT {key}, {text}, unnest(range(0, greatest(0, ceil((length({text}) - {size}) / {step}.0))::BIGINT * {step} + 1, {step})) AS begin_at FROM {source} WHERE {text} <> '')) WHERE piece <> ''"""
+HEADING = r"^[\s\p{Z}]{0,3}(#{1,6})[\s\p{Z}]+(.+?)[\s\p{Z}]*$"
+RULE_ROW = r"\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)*"
+
+
+def spans(text: str, size: str, overlap: int) -> str:
+    """Where the windows of a text begin, from 0."""
+    step = f"greatest(1, {size} - {overlap})"
+    return f"range(0, greatest(0, ceil((length({text}) - {size}) / ({step})::DOUBLE))::BIGINT * ({step}) + 1, {step})"
+
+
+def chunked(n: str, source: str, size: int, overlap: int) -> str:
+    """The tables of a chunker over source (key, text); {n} (key, no, b, sub, text, title, level, path) are its chunks.
+
+    Sections by headings; of those over the size, blocks (tables, paragraphs), a greedy fold of the blocks and one of
+    the rows of long tables, windows of long paragraphs; the heading line before each piece. For WITH RECURSIVE.
+    """
+    return rf"""
+{n}_ls AS (SELECT key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {source} WHERE text <> ''),
+{n}_heads AS (SELECT *, CASE WHEN title <> '' THEN length(regexp_extract(line, '{HEADING}', 1)) END AS level FROM (
+  SELECT *, CASE WHEN contains(line, '#') THEN trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(line, '{HEADING}', 2), '<[^>]+>', ' ', 'g'), '[*_`]+', '', 'g'), '\s+', ' ', 'g'), ' #') ELSE '' END AS title FROM {n}_ls)),
+{n}_numbered AS (SELECT *, count(level) OVER (PARTITION BY key ORDER BY pos) AS no FROM {n}_heads),
+{n}_tops AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) AS h FROM {n}_numbered WHERE level IS NOT NULL),
+{n}_paths AS (SELECT t.key, t.no, any_value(t.title) AS title, any_value(t.level) AS level, any_value(t.line) AS line, string_agg(a.title, ' > ' ORDER BY a.pos) AS path FROM {n}_tops t JOIN {n}_tops a ON a.key = t.key AND a.pos <= t.pos
+  WHERE NOT EXISTS (SELECT 1 FROM {n}_tops b WHERE b.key = t.key AND b.pos > a.pos AND b.pos <= t.pos AND b.level <= a.level) GROUP BY t.key, t.no),
+{n}_bodies AS (SELECT key, no, {trimmed("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE level IS NULL), '')")} AS body FROM {n}_numbered GROUP BY key, no),
+{n}_sections AS (SELECT *, {size} - length(head) AS room FROM (
+  SELECT b.key, b.no, b.body, coalesce(p.title, '') AS title, p.level, coalesce(p.path, '') AS path, CASE WHEN p.line IS NULL OR length({trimmed("p.line")}) + 2 >= {size} THEN '' ELSE {trimmed("p.line")} || chr(10) || chr(10) END AS head
+  FROM {n}_bodies b LEFT JOIN {n}_paths p ON p.key = b.key AND p.no = b.no) WHERE body <> ''),
+{n}_big AS (SELECT * FROM {n}_sections WHERE length(body) > room),
+{n}_rows AS (SELECT *, {trimmed("line")} AS s FROM (SELECT key, no, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM {n}_big)),
+{n}_barred AS (SELECT *, length(s) >= 2 AND starts_with(s, '|') AND ends_with(s, '|') AS barred, coalesce(regexp_full_match(trim(lead(s) OVER line, '|'), '{RULE_ROW}'), false) AS ruled FROM {n}_rows WINDOW line AS (PARTITION BY key, no ORDER BY i)),
+{n}_runs AS (SELECT *, sum((NOT goes_on)::INT) OVER (PARTITION BY key, no ORDER BY i) AS run FROM (
+  SELECT *, barred AND ruled AS opens, barred OR coalesce(lag(barred AND ruled) OVER (PARTITION BY key, no ORDER BY i), false) AS goes_on FROM {n}_barred)),
+{n}_kinds AS (SELECT *, CASE WHEN goes_on AND i >= first_open THEN 'table' WHEN s = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM (
+  SELECT *, min(CASE WHEN opens AND goes_on THEN i END) OVER (PARTITION BY key, no, run, goes_on) AS first_open FROM {n}_runs)),
+{n}_marked AS (SELECT *, sum(starts) OVER (PARTITION BY key, no ORDER BY i) AS b FROM (
+  SELECT *, (kind <> 'blank' AND kind <> coalesce(lag(kind) OVER (PARTITION BY key, no ORDER BY i), ''))::INT AS starts FROM {n}_kinds) WHERE kind <> 'blank'),
+{n}_blocks AS (SELECT m.key, m.no, m.b::BIGINT AS b, any_value(kind) AS kind, any_value(g.room) AS room, {trimmed("string_agg(CASE WHEN kind = 'table' THEN s ELSE line END, chr(10) ORDER BY i)")} AS text, list(s ORDER BY i) AS lines
+  FROM {n}_marked m JOIN {n}_big g ON g.key = m.key AND g.no = m.no GROUP BY m.key, m.no, m.b),
+{n}_fold AS (
+  SELECT key, no, b, CASE WHEN length(text) <= room THEN b END AS start, length(text) AS filled FROM {n}_blocks WHERE b = 1
+  UNION ALL SELECT k.key, k.no, k.b, CASE WHEN length(k.text) > k.room THEN NULL WHEN f.start IS NOT NULL AND f.filled + 2 + length(k.text) <= k.room THEN f.start ELSE k.b END,
+    CASE WHEN f.start IS NOT NULL AND f.filled + 2 + length(k.text) <= k.room THEN f.filled + 2 + length(k.text) ELSE length(k.text) END
+  FROM {n}_fold f JOIN {n}_blocks k ON k.key = f.key AND k.no = f.no AND k.b = f.b + 1),
+{n}_tables AS (SELECT key, no, b, room, lines, length(lines[1]) + 1 + length(lines[2]) AS base FROM {n}_blocks WHERE kind = 'table' AND length(text) > room),
+{n}_table_fold AS (
+  SELECT key, no, b, 2::BIGINT AS i, 1::BIGINT AS part, 0::BIGINT AS filled, room, base, lines FROM {n}_tables
+  UNION ALL SELECT key, no, b, i + 1, CASE WHEN filled > 0 AND base + filled + 1 + length(lines[i + 1]) > room THEN part + 1 ELSE part END,
+    CASE WHEN filled > 0 AND base + filled + 1 + length(lines[i + 1]) > room THEN 0 ELSE filled END + 1 + length(lines[i + 1]), room, base, lines FROM {n}_table_fold WHERE i < len(lines)),
+{n}_pieces AS (
+  SELECT key, no, 1::BIGINT AS b, 0::BIGINT AS sub, body AS piece FROM {n}_sections WHERE length(body) <= room
+  UNION ALL SELECT f.key, f.no, f.start, 0, string_agg(k.text, chr(10) || chr(10) ORDER BY k.b) FROM {n}_fold f JOIN {n}_blocks k ON k.key = f.key AND k.no = f.no AND k.b = f.b WHERE f.start IS NOT NULL GROUP BY f.key, f.no, f.start
+  UNION ALL SELECT key, no, b, spot, {trimmed("substr(text, spot + 1, room)")} FROM (SELECT *, unnest({spans("text", "room", overlap)}) AS spot FROM {n}_blocks WHERE kind = 'paragraph' AND length(text) > room)
+  UNION ALL SELECT key, no, b, part, any_value(lines[1]) || chr(10) || any_value(lines[2]) || coalesce(string_agg(chr(10) || lines[i], '' ORDER BY i) FILTER (WHERE i > 2), '') FROM {n}_table_fold GROUP BY key, no, b, part),
+{n} AS (SELECT * FROM (SELECT p.key, p.no, p.b, p.sub, {trimmed("s.head || p.piece")} AS text, s.title, s.level, s.path FROM {n}_pieces p JOIN {n}_sections s ON s.key = p.key AND s.no = p.no WHERE p.piece <> '') WHERE text <> '')"""
+
+
+def chunks(bodies: str) -> str:
+    """Parents and children of documents, a table (key, text)."""
+    return f"""{chunked("pc", bodies, 900, 150)},
+parents AS (SELECT *, doc_key || '::parent-' || parent_index AS parent_id FROM (SELECT key AS doc_key, title, level, path, text, row_number() OVER (PARTITION BY key ORDER BY no, b, sub) - 1 AS parent_index FROM pc)),
+shown AS (SELECT parent_id AS key, text FROM parents),{chunked("cc", "shown", 450, 75)},
+fitted AS (SELECT key, no, b, sub, spot, title, level, path, {trimmed("substr(text, spot + 1, 450)")} AS text FROM (SELECT *, unnest(CASE WHEN length(text) <= 450 THEN [0] ELSE {spans("text", "450", 75)} END) AS spot FROM cc)),
+children AS (SELECT *, parent_id || '::child-' || child_index AS chunk_id FROM (
+  SELECT p.doc_key, p.parent_id, p.parent_index, row_number() OVER (PARTITION BY p.parent_id ORDER BY f.no, f.b, f.sub, f.spot) - 1 AS child_index, coalesce(f.text, p.text) AS text,
+    CASE WHEN coalesce(f.title, '') <> '' THEN f.title ELSE p.title END AS heading, CASE WHEN coalesce(f.path, '') <> '' THEN f.path ELSE p.path END AS section_path
+  FROM parents p LEFT JOIN (SELECT * FROM fitted WHERE text <> '') f ON f.key = p.parent_id))"""
 
 
 CHUNKS = f"""
-bodies AS (SELECT doc_id, {trimmed("replace(coalesce(text, ''), '#', '+')")} AS body FROM documents),
-parents AS (SELECT *, 'doc-' || doc_id || '.txt::parent-' || parent_index AS parent_id FROM ({cut("bodies", "doc_id", "body", 900, 150, "parent_index")})),
-children AS (SELECT *, parent_id || '::child-' || child_index AS chunk_id FROM ({cut("(SELECT parent_id, text AS ptext FROM parents)", "parent_id", "ptext", 450, 75, "child_index")}))"""
+bodies AS (SELECT 'doc-' || doc_id || '.txt' AS key, coalesce(text, '') AS text FROM documents),{chunks("bodies")}"""
 
 
 def index(chunks: str, key: str) -> str:
@@ -126,6 +185,9 @@ marked AS (SELECT doc_id, list_aggregate(list_transform(string_split(text, chr(1
   WHEN (i - 1) % 7 = 0 THEN repeat('#', ((i - 1) % 3 + 1)::INT) || ' ' || substr(x, 1, 24) || chr(10) || chr(10) || x || chr(10)
   WHEN (i - 1) % 11 = 5 THEN '| a | b |' || chr(10) || '|---|:--|' || chr(10) || '| ' || x || ' | ' || i || ' |' ELSE x END), 'string_agg', chr(10)) AS text FROM documents)"""
 
+MARKDOWN_CHUNKS = MARKDOWN + f""",
+bodies AS (SELECT 'doc-' || doc_id || '.md' AS key, text FROM marked),{chunks("bodies")}"""
+
 SECTIONS = "WITH " + MARKDOWN + rf""",
 ls AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) - 1 AS pos FROM marked),
 heads AS (SELECT *, CASE WHEN title <> '' THEN length(regexp_extract(line, '^[\s\p{{Z}}]{{0,3}}(#{{1,6}})[\s\p{{Z}}]+(.+?)[\s\p{{Z}}]*$', 1)) END AS level FROM (
