@@ -36,9 +36,9 @@ def _occurrences(min_chars: int):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [{h for x in _lines(t) if (h := line_hash(x, min_chars))} for t in texts]
-            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
             both = np.frombuffer(b"".join(h for x in found for h in x), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("bare").take(at), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "bare", "h1", "h2"])
 
     return run
 
@@ -66,28 +66,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     case, and keys of fewer than min_chars code points are left alone. Returns _row (a struct of all input
     columns, so no name clashes), kept_text (the remaining lines in their order), n_lines and n_dropped (before
     and dropped). A null or empty text is one empty line. Rows of equal ids are one document: a key counts once
-    for them and stays or goes in all of them. A row without id counts for no key and loses every shared one.
+    for them and stays or goes in all of them. A row without id counts for no key and loses every shared one; such rows are told by their texts.
 
     Only 128-bit hashes of distinct lines are shuffled to find the shared keys, first by (hash, id), then with
     map-side combination by hash, so a line that a third of all documents hold is no hot group. The texts move
     once, by id, to meet the list of what they lose.
     """
     small_batches(docs.sparkSession)
-    pair = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    bare = F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    pair = docs.select(F.col(id_col).alias("doc_id"), bare.alias("bare"), F.col(text_col).alias("text"))
     kind = pair.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
-    found = materialize(pair.mapInArrow(_occurrences(min_chars), schema), "lines").where("doc_id is not null or h1 is not null")
-    distinct = found.distinct()
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("bare", T.StringType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    distinct = materialize(pair.mapInArrow(_occurrences(min_chars), schema), "lines").distinct()
     shared = (
         distinct.where("doc_id is not null").groupBy("h1", "h2").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keep"))
         .where(F.col("_n") >= min_docs).drop("_n")
     )
     lost = (
         distinct.join(shared, ["h1", "h2"]).where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("_keep")))
-        .select(F.col("doc_id").alias("_id"), F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))).alias("_h"))
-        .groupBy("_id").agg(F.collect_list("_h").alias("_drop"))
+        .select(F.col("doc_id").alias("_id"), F.col("bare").alias("_none"), F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))).alias("_h"))
+        .groupBy("_id", "_none").agg(F.collect_list("_h").alias("_drop"))
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    joined = rows.join(lost, F.col("_doc").eqNullSafe(F.col("_id")), "left").select("_row", "_text", "_drop")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_doc"), bare.alias("_bare"), F.col(text_col).alias("_text"))
+    joined = rows.join(lost, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_bare").eqNullSafe(F.col("_none")), "left").select("_row", "_text", "_drop")
     out = T.StructType([joined.schema["_row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_rebuild(min_chars, out.names), out)
