@@ -93,10 +93,10 @@ def gapless_rank(df: DataFrame, by: list[str], hash_col: str, order: list[str],
     """Number the rows of each group of `by` from 0 without gaps, in the order of (hash_col, *order).
 
     hash_col holds uniform 60-bit hashes, so equal ranges of it are buckets of about rows_per_bucket rows at
-    most; the rows are sorted within (group, bucket) only, and a table with one count for each of those gives
+    most, and at least as many as a shuffle has partitions, so that a large group is dealt to all; the rows are sorted within (group, bucket) only, and a table with one count for each of those gives
     the offsets. df should be materialized: it is read twice. Rows equal in hash_col share a bucket.
     """
-    buckets = max(1, -(-df.count() // rows_per_bucket))
+    buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_bucket))
     bucketed = df.withColumn("_bucket", F.floor(F.col(hash_col) / F.lit(float(1 << 60)) * F.lit(buckets)).cast("int"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
