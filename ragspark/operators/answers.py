@@ -14,6 +14,9 @@ from ragspark.packs import Pack
 UNITS = 12
 
 
+# Fixed values that results depend on, in article() and units(): how a title and the marks of clauses and points look.
+
+
 def article(heading: Column, path: Column, text: Column, pack: Pack = Pack()) -> Column:
     """The first article title in the heading, the path or the first eight lines, up to a ">" and 220 characters on."""
     found = lambda c: F.nullif(strip_chars(F.regexp_extract(clean_legal(c), rf"(?iU)(\b{pack.article}\s+\d+[a-zA-Z]?\s*[.:]?\s*[^>]{{0,220}})", 1), " .:"), F.lit(""))

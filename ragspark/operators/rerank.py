@@ -47,11 +47,18 @@ def heuristic_rerank(contexts: DataFrame, k: int, by: list[str], query_col: str
 def model_rerank(contexts: DataFrame, k: int, by: list[str], load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], query_col: str = "query", digits: int = DIGITS) -> DataFrame:
     """heuristic_rerank() with a model's scores of (query, text) pairs; load() runs once a task and returns it.
 
-    If the model can't be loaded here, the heuristic takes over for the whole table, and `reranker` says which ran.
+    If the model can't be loaded, which a task finds out first, the heuristic takes over for the whole table, and
+    `reranker` says which ran.
     """
-    try:
-        load()([])
-    except Exception:
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            try:
+                load()([])
+                yield pdf
+            except Exception:
+                yield pdf.iloc[:0]
+
+    if contexts.sparkSession.range(0, 1, 1, 1).mapInPandas(probe, "id long").isEmpty():
         return heuristic_rerank(contexts, k, by, query_col).withColumn("reranker", F.lit("heuristic"))
     schema = contexts.schema
 

@@ -34,7 +34,7 @@ DOMAIN_TERMS = (
     "xếp loại", "gpa", "cpa", "thi cử", "kỳ thi", "thi hộ", "phúc khảo", "bảo lưu", "thôi học", "nghỉ học", "chuyển ngành", "chuyển trường", "rèn luyện",
     "kỷ luật", "khen thưởng", "thẻ sinh viên", "ký túc xá", "thư viện", "đoàn thanh niên", "công tác sinh viên", "thủ tục", "giấy xác nhận", "chứng chỉ",
     "chuẩn đầu ra", "giảng đường", "giảng viên", "giảng dạy", "lớp học", "vào lớp", "khảo thí", "thực tập", "cố vấn học tập", "thời khóa biểu", "lịch học",
-    "lịch thi", "edusoft", "qldt", "s-link", "kế hoạch năm học", "nghỉ tết", "tết nguyên đán", "địa chỉ trường", "cơ sở đào tạo", "phòng đào tạo",
+    "lịch thi", "kế hoạch năm học", "nghỉ tết", "tết nguyên đán", "địa chỉ trường", "cơ sở đào tạo", "phòng đào tạo",
     "trưởng khoa", "phó trưởng khoa", "chủ nhiệm khoa", "chủ nhiệm bộ môn", "chủ nhiệm viện", "chủ nhiệm phòng", "chủ nhiệm trung tâm",
 )
 FOLLOW_UPS = (

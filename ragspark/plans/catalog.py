@@ -498,13 +498,13 @@ def m1_stream_ingest(spark, sf_dir):
     kind = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parquet*").select(F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     jobs.stream_ingest(stream, f"{out}/base", f"{out}/checkpoint").awaitTermination()
-    return jobs.latest(spark.read.parquet(f"{out}/base/children")).select("chunk_id", F.md5("text").alias("text_md5"))
+    return jobs.current(spark, f"{out}/base", "children").select("chunk_id", F.md5("text").alias("text_md5"))
 
 
 @query("""SELECT conv_id, turn, md5(text) AS text_md5, (SELECT count(*) FROM (SELECT role FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn < c.turn ORDER BY h.turn DESC LIMIT 6) WHERE role IN ('user', 'assistant'))::INT AS turns FROM conversations c WHERE role = 'user'""")
 def m2_stream_memory(spark, sf_dir):
     out = scratch(spark)
     kind = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    made = jobs.stream_memory(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*"), max_chars=100_000)
+    made = jobs.stream_memory(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*"))
     made.writeStream.format("parquet").option("path", f"{out}/turns").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/turns").select("conv_id", "turn", F.md5("text").alias("text_md5"), F.size(F.from_json("history", "array<struct<role:string,content:string>>")).alias("turns"))

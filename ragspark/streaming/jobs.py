@@ -16,11 +16,26 @@ from ragspark.sources.tables import document_records, exists
 
 
 def latest(versions: DataFrame) -> DataFrame:
-    """Of each document the rows of its latest version."""
+    """Of each document the rows of its latest version in this table."""
     newest = versions.groupBy("document_id").agg(F.max("version").alias("version"))
     return versions.join(newest, ["document_id", "version"], "left_semi")
 
 
+def current(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of documents, children or vectors under path that belong to the latest version of a document that is there."""
+    newest = spark.read.parquet(f"{path}/documents").groupBy("document_id").agg(F.max("version").alias("version"), F.max_by("status", "version").alias("_status"))
+    there = newest.where("_status <> 'deleted'").select("document_id", "version")
+    return spark.read.parquet(f"{path}/{name}").join(there, ["document_id", "version"], "left_semi")
+
+
+def remove_missing(present: DataFrame, path: str, version: int) -> None:
+    """Mark the documents whose path is not in `present` (path) as deleted, as one version; current() leaves them out."""
+    spark = present.sparkSession
+    old = current(spark, path, "documents").drop("version")
+    gone = old.join(present.select(F.col("path").alias("source_path")).distinct(), "source_path", "left_anti")
+    gone.select(*old.columns).withColumn("status", F.lit("deleted")).write.mode("overwrite").parquet(f"{path}/documents/version={version}")
+
+
 def ingest_batch(docs: DataFrame, path: str, version: int) -> None:
     """Add what is new in a batch of (path, text) to documents, children and vectors under path, as one version.
 
@@ -30,7 +45,7 @@ def ingest_batch(docs: DataFrame, path: str, version: int) -> None:
     spark = docs.sparkSession
     records = document_records(docs).join(docs.select(F.col("path").alias("source_path"), "text"), "source_path").dropDuplicates(["document_id"])
     if exists(spark, f"{path}/documents"):
-        old = latest(spark.read.parquet(f"{path}/documents").where(F.col("version") != version)).select("document_id", "content_hash")
+        old = latest(spark.read.parquet(f"{path}/documents").where(F.col("version") != version)).where("status <> 'deleted'").select("document_id", "content_hash")
         records = records.join(old, ["document_id", "content_hash"], "left_anti")
     records = records.persist()
     _, children = chunking.chunk_records(records.select(F.col("source_path").alias("path"), "text"))
@@ -46,13 +61,18 @@ def stream_ingest(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     return docs.writeStream.foreachBatch(lambda df, i: ingest_batch(df, path, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_memory(turns: DataFrame, limit: int = 6, max_chars: int = 6000) -> DataFrame:
+def stream_memory(turns: DataFrame, limit: int = 6, max_chars: int = 6000, idle_days: float | None = None) -> DataFrame:
     """A stream of (conv_id, turn, role, text) to self-contained questions: (conv_id, turn, text, history as JSON).
 
     The state of a conversation is its newest `limit` turns. Turns of a batch are taken in order; a late one is put in
-    its place in the state, and what was emitted before stays as it was.
+    its place in the state, and what was emitted before stays as it was. With idle_days the state of a conversation
+    without a turn for so long goes, so that it does not grow for ever: for streams that keep running. A run with
+    trigger(availableNow) ends then only with spark.sql.streaming.noDataMicroBatches.enabled off.
     """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = json.loads(state.get[0]) if state.exists else []
         new = pd.concat(list(batches)).sort_values("turn")
         out = []
@@ -70,10 +90,13 @@ def stream_memory(turns: DataFrame, limit: int = 6, max_chars: int = 6000) -> Da
                 out.append((key[0], turn, text, json.dumps(kept, ensure_ascii=False)))
             held = sorted([h for h in held if h[0] != turn] + [[turn, role, text]], key=lambda h: h[0])[-limit:]
         state.update((json.dumps(held),))
+        if idle_days is not None:
+            state.setTimeoutDuration(int(idle_days * 86_400_000))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "text", "history"])
 
     return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").applyInPandasWithState(
-        run, "conv_id long, turn long, text string, history string", "held string", "append", GroupStateTimeout.NoTimeout)
+        run, "conv_id long, turn long, text string, history string", "held string", "append",
+        GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def stream_answers(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Streams give what the batch forms give."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,37 @@ def test_incremental_ingest(spark, tmp_path):
     assert sorted((r.source, r.text) for r in jobs.latest(read("children")).collect()) == [("a.md", "# A\n\none"), ("b.md", "two changed"), ("c.md", "three")]
     jobs.ingest_batch(spark.createDataFrame([("b.md", "two changed"), ("c.md", "three")], "path string, text string"), base, 1)  # the same batch again
     assert read("documents").count() == 4 and jobs.latest(read("vectors")).count() == 3
+    jobs.remove_missing(spark.createDataFrame([("a.md",), ("c.md",)], "path string"), base, 2)
+    for _ in range(2):
+        assert {name: jobs.current(spark, base, name).count() for name in ("documents", "children", "vectors")} == {"documents": 2, "children": 2, "vectors": 2}
+        assert {r.source for r in jobs.current(spark, base, "children").collect()} == {"a.md", "c.md"}
+        jobs.remove_missing(spark.createDataFrame([("a.md",), ("c.md",)], "path string"), base, 3)
+    jobs.ingest_batch(spark.createDataFrame([("b.md", "two changed")], "path string, text string"), base, 4)  # it is back as it was
+    assert sorted(r.text for r in jobs.current(spark, base, "children").collect()) == ["# A\n\none", "three", "two changed"]
+
+
+def test_idle_conversations_expire(spark, tmp_path, request):
+    """After the idle time a conversation's earlier turns are no history any more."""
+    schema, source = "conv_id long, turn long, role string, text string", str(tmp_path / "in")
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        made = jobs.stream_memory(spark.readStream.schema(schema).parquet(source), idle_days=1 / 86_400)
+        made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    request.addfinalizer(lambda: spark.conf.set(key, before))
+    put((1, 0, "user", "first"))
+    run()
+    time.sleep(2)
+    put((2, 0, "user", "other"))
+    run()
+    put((1, 1, "user", "late"))
+    run()
+    got = {(r.conv_id, r.turn): json.loads(r.history) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 0): [], (2, 0): [], (1, 1): []}
 
 
 def test_memory_and_answers(spark, tmp_path):
