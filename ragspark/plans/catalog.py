@@ -271,9 +271,17 @@ def g10_gate(spark, sf_dir):
     return _stages(spark, sf_dir)[1].questions.select("query_id", "allowed", "strong_context")
 
 
-@query()
+@query(f"""WITH RECURSIVE {o.once(o.RERANKED)}, said AS (SELECT query_id, string_agg(query, '|' ORDER BY variant) AS queries FROM variants GROUP BY query_id),
+retrieved AS (SELECT query_id, string_agg(chunk_id || '=' || query_hits, ',' ORDER BY rank) AS ids FROM candidates GROUP BY query_id), selected AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS ids FROM contexts GROUP BY query_id)
+SELECT g.query_id, g.allowed, g.strong_context, s.queries, r.ids AS retrieved, c.ids AS selected FROM gates g LEFT JOIN said s ON s.query_id = g.query_id LEFT JOIN retrieved r ON r.query_id = g.query_id LEFT JOIN selected c ON c.query_id = g.query_id""")
 def g11_traces(spark, sf_dir):
-    return retrieval.traces(_stages(spark, sf_dir)[1])
+    """What the traces hold: the queries, the retrieved and the selected chunks, read back from their JSON."""
+    made = retrieval.traces(_stages(spark, sf_dir)[1])
+    listed = lambda c: F.from_json(c, "array<struct<chunk_id:string,query_hits:long>>")
+    ids = lambda c, f: F.array_join(F.transform(listed(c), f), ",")
+    return made.select(
+        "query_id", "allowed", "strong_context", F.array_join("retrieval_queries", "|").alias("queries"), ids("retrieved_chunks", lambda x: F.concat_ws("=", x["chunk_id"], x["query_hits"])).alias("retrieved"),
+        ids("selected_chunks", lambda x: x["chunk_id"]).alias("selected"))
 
 
 def flagship(spark: SparkSession, sf_dir: str, searched: bool = False) -> DataFrame:
