@@ -491,6 +491,24 @@ def test_packing(spark, rows, tokenizer):
     assert pack_documents(frame(spark, []), default_tokenizer()).count() == 0
 
 
+def test_tokens_and_pieces_with_odd_ids(spark, tokenizer, tmp_path):
+    """Null and repeated ids, clashing columns: every row is there, null ids first in the files."""
+    rows = [(None, "no id", "en", "a"), (None, None, "en", "a"), (3, "one text", "en", "a"), (3, "another text", "en", "a"), (2, "b " * 400, "en", "a")]
+    df = frame(spark, rows).withColumns({"file": F.lit(1), "part": F.lit(2), "piece": F.lit(3), "_rank": F.lit(4), "length": F.lit(5)})
+    count = lambda t, end: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1
+    got = sorted(map(tuple, dac.read_tokens(dac.write_tokens(df, default_tokenizer(), str(tmp_path / "t"))).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, None, 2, 3, 3] and Counter((r[0], r[2]) for r in got) == Counter((d, count(t, 2)) for d, t, *_ in rows)
+    assert [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got[:-1]]]).tolist()
+    pieces = pack_documents(df, default_tokenizer(), capacity=64).collect()
+    total = Counter()
+    for r in pieces:
+        total[r.doc_id] += r.length
+    want = Counter()
+    for d, t, *_ in rows:
+        want[d] += count(t, 0)
+    assert total == want and len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+
+
 def brute_vectors(rows, least=0.93):
     good = [v is not None and lab is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, lab, v in rows]
 
