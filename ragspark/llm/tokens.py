@@ -51,10 +51,14 @@ class _Pieces(dict):
     def __init__(self, own: Encoder):
         super().__init__()
         self.own, self.old = own, {}
+        self.code, self.blank, self.tokenize = own.code, own.blank, own.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is None:
-            ids = self.own.learn(piece)
+            if piece.isalpha() and piece.isascii():  # most new pieces, without further calls
+                ids = array(self.code, [t.id for t in self.tokenize(self.blank + piece)]).tobytes()
+            else:
+                ids = self.own.learn(piece)
         self[piece] = ids
         return ids
 
