@@ -234,7 +234,7 @@ def f4_bm25(spark, sf_dir):
 
 def _stages(spark, sf_dir, searched=True):
     base = retrieval.build_knowledge(files(spark, sf_dir), path=scratch(spark))
-    return base, retrieval.retrieve(user_questions(spark, sf_dir, searched), base, Settings(), TEST_PACK)
+    return base, retrieval.retrieve(user_questions(spark, sf_dir, searched), base, Settings(), TEST_PACK, path=scratch(spark))
 
 
 def _qv(spark, sf_dir):

@@ -50,16 +50,20 @@ def hybrid(queries: DataFrame, base: Knowledge, k: int, by: str = "qv", settings
     return fusion.collapse_parents(fused.join(base.children.select("chunk_id", "parent_id"), "chunk_id"), k, [by])
 
 
-def retrieve(questions: DataFrame, base: Knowledge, settings: Settings = Settings(), pack: Pack = Pack(), top_k: int | None = None) -> Retrieval:
+def retrieve(questions: DataFrame, base: Knowledge, settings: Settings = Settings(), pack: Pack = Pack(), top_k: int | None = None, path: str | None = None) -> Retrieval:
     """Contexts of every question (query_id string, question, history): screened, rewritten, expanded, retrieved for each
-    variant, fused, screened again, reranked and gated. Refused questions go no further than the scope decision."""
+    variant, fused, screened again, reranked and gated. Refused questions go no further than the scope decision.
+
+    With a path the variants and the hits, which several of the results read, are stored there once.
+    """
+    keep = (lambda df, name: stored(df, f"{path}/{name}")) if path else lambda df, name: df
     k = conversations.checked_top_k(settings.top_k if top_k is None else top_k)
     many = k * settings.candidates
     scoped = questions.withColumn("history", guard.safe_history(F.col("history"), pack)).withColumn("scope", guard.scope_decision(F.col("question"), F.col("history"), pack))
     query = rewrite.resolve_follow_up(rewrite.rule_rewrite(F.col("question"), pack), F.col("history"), pack)
     asked = scoped.select("query_id", "question", "history", "scope.allowed", "scope.reason", F.when(F.col("scope.allowed"), query).alias("query"))
-    variants = rewrite.expand(asked.where("allowed"), "query", settings.variants, pack).withColumn("qv", F.concat_ws("#", "query_id", "variant"))
-    found = hybrid(variants.select("qv", "query"), base, many, settings=settings)
+    variants = keep(rewrite.expand(asked.where("allowed"), "query", settings.variants, pack).withColumn("qv", F.concat_ws("#", "query_id", "variant")), "variants")
+    found = keep(hybrid(variants.select("qv", "query"), base, many, settings=settings), "hits")
     split = found.withColumns({"query_id": F.regexp_extract("qv", "^(.*)#", 1), "variant": F.regexp_extract("qv", "#([0-9]+)$", 1).cast("int")}).drop("qv")
     fused = fusion.fuse_variants(split, many, ["query_id"])
     texts = base.parents.select("parent_id", "source", "heading", "section_path", "text")
