@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -76,6 +78,16 @@ def release() -> None:
 atexit.register(release)
 
 
+def in_task(spark: SparkSession, work: Callable, *args):
+    """work(*args), run in one task: for linear algebra on a bounded model. A driver whose BLAS threads were lost when
+    it started the JVM may wait for them for ever; Spark gives the workers one thread each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(*args))] * len(batch), pa.binary())], ["made"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "made binary").first()["made"])
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch, so that a batch of long texts stays in the tens of megabytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -53,7 +53,26 @@ def _worthiest(s: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float,
         if at[room] >= 0:
             column[at[room]] += 1
             room -= int(s[at[room]])
-    return float(column @ price), column
+    return float((column * price).sum()), column
+
+
+def inverse_of(basis: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots, in vector operations alone.
+
+    The plan is made on the driver, where a BLAS whose threads were lost when the JVM was forked never returns; so
+    nothing here calls it, neither for this nor for products.
+    """
+    n = len(basis)
+    both = np.hstack([basis.astype(float), np.eye(n)])
+    for i in range(n):
+        pivot = i + int(np.abs(both[i:, i]).argmax())
+        if pivot != i:
+            both[[i, pivot]] = both[[pivot, i]]
+        both[i] /= both[i, i]
+        rows = np.nonzero(both[:, i])[0]
+        rows = rows[rows != i]
+        both[rows] -= both[rows, i, None] * both[i]
+    return both[:, n:]
 
 
 def best_configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -68,15 +87,15 @@ def best_configurations(sizes: list[int], demand: list[int], capacity: int) -> l
     s, d = np.array(sizes), np.array(demand, float)
     n = len(s)
     basis = np.diag(capacity // s).astype(float)
-    inverse, x = np.linalg.inv(basis), d * (1 / (capacity // s))
+    inverse, x = np.diag(1 / (capacity // s)), d * (1 / (capacity // s))
     for step in range(50 * n):
         if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
-            x = inverse @ d
+            inverse = inverse_of(basis)
+            x = (inverse * d).sum(axis=1)
         worth, column = _worthiest(s, inverse.sum(axis=0), capacity)
         if worth <= 1 + 1e-7:
             break
-        change = inverse @ column
+        change = (inverse * column).sum(axis=1)
         ratio = np.full(n, np.inf)
         ratio[change > 1e-9] = np.maximum(x[change > 1e-9], 0) / change[change > 1e-9]
         out = int(ratio.argmin())
@@ -84,11 +103,11 @@ def best_configurations(sizes: list[int], demand: list[int], capacity: int) -> l
             break
         basis[:, out] = column
         row = inverse[out] / change[out]
-        inverse -= np.outer(change, row)
+        inverse -= change[:, None] * row
         inverse[out] = row
         x = x - change * ratio[out]
         x[out] = ratio[out]
-    x = np.linalg.solve(basis, d)
+    x = (inverse_of(basis) * d).sum(axis=1)
     return [(basis[:, j].astype(int), int(np.floor(x[j] + 1e-9))) for j in range(n) if x[j] >= 1 - 1e-9]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragspark.llm.common import key_hash, materialize, small_batches
+from ragspark.llm.common import in_task, key_hash, materialize, small_batches
 
 BAD, GOOD, ABSTAIN = "0", "1", "-"
 #: Each labeller: the measure it looks at, the words it needs, and from where it votes bad and up to where good.
@@ -202,20 +202,20 @@ def fit_quality(docs: DataFrame, fit_rows: int = 4096, buckets: int = 1024, id_c
     The labellers measure whole texts; their accuracies are estimated on all documents, from the counts of vote
     patterns, of which there are few whatever the number of documents. The scorer is fitted on at most fit_rows
     documents, half of them with a posterior under 0.5 where there are so many, those with the least hashes of
-    their ids. One pass over the texts; none is shuffled.
+    their ids and texts. Both are fitted in a task of their own, see in_task(). One pass over the texts; none is shuffled.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), key_hash(F.col(id_col)).alias("_hash"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key_hash(F.col(id_col), F.md5(F.col(text_col))).alias("_hash"), F.col(text_col).alias("_text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, hash long, votes string, index array<int>, value array<float>"
     seen = materialize(rows.mapInArrow(_look(buckets), schema), "votes")
     counts = {r["votes"]: r["count"] for r in seen.where("votes is not null").groupBy("votes").count().collect()}
-    good, _ = fit_labellers(counts)
+    good, _ = in_task(docs.sparkSession, fit_labellers, counts)
     sample = []
     for side in (True, False):
         own = [p for p, v in good.items() if (v >= 0.5) == side]
         if own:
-            sample += seen.where(F.col("votes").isin(own)).orderBy("hash", "doc_id").limit(fit_rows // 2).select("votes", "index", "value").collect()
-    return seen, good, fit_scorer(sample, good, buckets)
+            sample += seen.where(F.col("votes").isin(own)).orderBy("hash", "doc_id").limit(fit_rows // 2).select("votes", "index", "value").toArrow().to_pylist()
+    return seen, good, in_task(docs.sparkSession, fit_scorer, sample, good, buckets)
 
 
 def score_quality(docs: DataFrame, threshold: float = 0.5, **fit) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import hashlib
 import io
+import os
 import random
 import re
+import subprocess
+import sys
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -22,7 +25,7 @@ from ragspark.llm.fingerprints import fingerprint_documents, fingerprint_edits,
 from ragspark.llm.language import infer_languages, select_languages, train_languages
 from ragspark.llm.line_dedup import dedup_lines
 from ragspark.llm.mixing import mix_sources, take_mix
-from ragspark.llm.packing import GROUPS, SHARE, grouped_sequences, pack_documents, plan_sequences
+from ragspark.llm.packing import GROUPS, SHARE, grouped_sequences, inverse_of, pack_documents, plan_sequences
 from ragspark.llm.quality import FALSE_ALARMS, LABELLERS, OTHER_KIND, OWN_KIND, filter_quality, fit_labellers, score_quality
 from ragspark.llm.sharding import assign_shards
 from ragspark.llm.simhash import drop_near_duplicates, simhash_components
@@ -468,6 +471,28 @@ def test_configurations_hold_several_pieces():
     assert sum(c for _, c in plan_sequences(dict(mixed), 2048)) <= 1.001 * sum(n * c for n, c in mixed.items()) / 2048 + 1
 
 
+def test_packing_plan_beside_a_session():
+    """A plan of hundreds of sizes ends in a process that has started a JVM, where BLAS may not return."""
+    code = """
+from pyspark.sql import SparkSession
+SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+import numpy as np
+from collections import Counter
+from ragspark.llm.packing import plan_sequences
+counts = Counter(np.random.default_rng(1).integers(690, 1340, 3000).tolist())
+print(sum(c for _, c in plan_sequences(dict(counts), 2048)))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=root, check=True)
+    assert int(done.stdout.split()[-1]) <= 1520
+
+
+def test_inverse_by_elimination():
+    rng = np.random.default_rng(2)
+    basis = rng.integers(0, 3, (40, 40)).astype(float) + np.diag(np.arange(1, 41))[::-1]
+    assert np.allclose(inverse_of(basis) @ basis, np.eye(40), atol=1e-6)
+
+
 def test_packing(spark, rows, tokenizer):
     more = rows + [rows[0], rows[0]]
     got = pack_documents(frame(spark, more), default_tokenizer(), capacity=64).collect()
