@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragspark.llm.alignment import default_model, link_statistics
 from ragspark.llm.common import table
 from ragspark.llm.dac import read_tokens, write_tokens
 from ragspark.llm.embeddings import embedding_components
@@ -17,6 +18,7 @@ from ragspark.llm.packing import pack_documents
 from ragspark.llm.quality import score_quality
 from ragspark.llm.sharding import assign_shards
 from ragspark.llm.simhash import simhash_components
+from ragspark.llm.spelling import spelling_variants
 from ragspark.llm.tokens import default_tokenizer
 
 SHARDS = 8
@@ -69,7 +71,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_simhash, op4_packing, op5_line_dedup, op6_mixing, op7_fingerprints, op8_quality, op9_embedding_dedup, op10_token_files)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), every=199)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_statistics(table(spark, sf_dir, "documents"), default_tokenizer(), default_model())
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_simhash, op4_packing, op5_line_dedup, op6_mixing, op7_fingerprints, op8_quality, op9_embedding_dedup, op10_token_files, op12_spelling, op13_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: Word and source rules of op6 as in ragspark.llm.mixing: the thresholds there select what running sums select here.
@@ -115,17 +125,20 @@ FROM marked GROUP BY doc_id
 """
 
 #: CRC-32 byte by byte with the table of its polynomial, as DuckDB has no such function.
-OP1_SQL = r"""
-WITH RECURSIVE step(i, k, v) AS (
+CRC = """step(i, k, v) AS (
   SELECT i::BIGINT, 0, i::BIGINT FROM range(256) t(i)
   UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM step WHERE k < 8
 ), tab AS (
   SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8
-), bytes AS (
+)"""
+CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT"
+
+OP1_SQL = rf"""
+WITH RECURSIVE {CRC}, bytes AS (
   SELECT doc_id, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents
 ), sized AS (
   SELECT doc_id, (len(b) + 1)::BIGINT AS size,
-    xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+    {CRC_OF} AS text_crc32
   FROM bytes, tab
 ), scores AS (
   SELECT doc_id, j::INTEGER AS j, -1.0::DOUBLE / ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || j), 1, 15))::BIGINT + 0.5::DOUBLE) / 1152921504606846976::DOUBLE) AS score
@@ -155,4 +168,36 @@ SELECT c.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id =
 FROM component c LEFT JOIN degree d ON c.vec_id = d.vec_id
 """
 
-ORACLES = {"op1_sharding": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op9_embedding_dedup": OP9_SQL}
+#: Pairs one edit apart: equal without one letter at the same place, or one equals the other without a letter.
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC}, runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (
+    SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= 6
+), counted AS (
+  SELECT doc_id, run, count(*) AS k, list_transform(regexp_extract_all(hex(doc_id || ':' || run), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, k, {CRC_OF} AS h FROM counted, tab
+), words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), shorter AS (
+  SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(near, (-n, near)) AS near, max(n) AS near_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+), way(word, at, depth) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT w.word, f.form, w.depth + 1 FROM way w JOIN formed f ON w.at = f.word WHERE f.form IS NOT NULL
+), ends AS (
+  SELECT word, arg_max(at, depth) AS root FROM way GROUP BY word
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON f.word = e.word
+"""
+
+ORACLES = {"op12_spelling": OP12_SQL, "op1_sharding": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_mixing": OP6_SQL, "op9_embedding_dedup": OP9_SQL}

@@ -39,13 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dirs[app]}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, and a lost executor loses nothing.
 
     The table stays until discard(), release() or the end of the process.
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _stored.add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path

@@ -16,7 +16,7 @@ REMEMBERED = 400_000
 #: The byte-level splitting rule, and the first character not taken through the short path.
 RULE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+")
 MARKS, LATIN_END = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple[int, bool], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -32,11 +32,11 @@ def share_tokenizer(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encoder(shared: Broadcast) -> Encoder:
+def encoder(shared: Broadcast, plain: bool = False) -> Encoder:
     """This worker's encoder of the shared tokenizer, kept from task to task."""
-    key = hash(shared.value)
+    key = hash(shared.value), plain
     if key not in _encoders:
-        _encoders[key] = Encoder(shared.value)
+        _encoders[key] = Encoder(shared.value, plain)
     return _encoders[key]
 
 
@@ -70,16 +70,18 @@ class Encoder:
     white space precedes or follows. So a text falls into pieces there, and the library's BPE model encodes each new
     piece once, part by part of the splitting rule; pieces met before are remembered, in two bounded generations.
     Pieces with letters beyond Latin are encoded by the library's full path, and so are whole texts that hold a
-    special token, other white space or white space in a row, and all texts if the tokenizer is of another kind.
+    special token, a zero character, other white space or white space in a row, and all texts if the tokenizer is of another kind.
+    plain: special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_str(content)
+        self.tokenizer.encode_special_tokens = plain
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         parts = json.loads(content)
         rule, model = parts.get("pre_tokenizer") or {}, parts["model"]
         self.splits = (
@@ -141,7 +143,7 @@ class Encoder:
         out, get = [], self.pieces.__getitem__
         for text in texts:
             try:
-                if not self.splits or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n") or any(x in text for x in self.special):
+                if not self.splits or "\0" in text or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n") or any(x in text for x in self.special):
                     raise _Whole
                 head, *words = text.replace("\n", " \n").split(" ")
                 raw = self._whole(head) + b"".join(map(get, words))
