@@ -192,10 +192,10 @@ WITH RECURSIVE {CRC}, runs AS (
 ), formed AS (
   SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 5 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 5 * w.n THEN b.near_n END AS form_n
   FROM words w LEFT JOIN best b ON w.word = b.word
-), way(word, at, depth) AS (
-  SELECT word, word, 0 FROM formed UNION ALL SELECT w.word, f.form, w.depth + 1 FROM way w JOIN formed f ON w.at = f.word WHERE f.form IS NOT NULL
+), way(word, stop, depth) AS (
+  SELECT word, word, 0 FROM formed UNION ALL SELECT w.word, f.form, w.depth + 1 FROM way w JOIN formed f ON w.stop = f.word WHERE f.form IS NOT NULL
 ), ends AS (
-  SELECT word, arg_max(at, depth) AS root FROM way GROUP BY word
+  SELECT word, arg_max(stop, depth) AS root FROM way GROUP BY word
 )
 SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e ON f.word = e.word
 """
