@@ -20,6 +20,7 @@ from ragspark.llm.sharding import assign_shards
 from ragspark.llm.simhash import simhash_components
 from ragspark.llm.spelling import spelling_variants
 from ragspark.llm.tokens import default_tokenizer
+from ragspark.llm.toxicity import score_toxicity
 
 SHARDS = 8
 
@@ -71,6 +72,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), default_tokenizer()))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    found = score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), every=199)
 
@@ -79,7 +87,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_statistics(table(spark, sf_dir, "documents"), default_tokenizer(), default_model())
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_simhash, op4_packing, op5_line_dedup, op6_mixing, op7_fingerprints, op8_quality, op9_embedding_dedup, op10_token_files, op12_spelling, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_simhash, op4_packing, op5_line_dedup, op6_mixing, op7_fingerprints, op8_quality, op9_embedding_dedup, op10_token_files, op11_toxicity, op12_spelling, op13_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 #: Word and source rules of op6 as in ragspark.llm.mixing: the thresholds there select what running sums select here.

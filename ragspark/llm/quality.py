@@ -143,16 +143,19 @@ def fit_labellers(counts: dict[str, int], rounds: int = 500) -> tuple[dict[str,
     return dict(zip(patterns, member[:, 0].tolist(), strict=True)), np.stack([sensitivity, rates[0]], axis=1)
 
 
-def fit_scorer(rows: list, good: dict[str, float], buckets: int, rounds: int = 25, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (bias last) of a logistic scorer on hashed features, by Newton steps on the posterior labels."""
-    x = np.zeros((len(rows), buckets + 1))
+def fit_logistic(rows: list[tuple[list[int], list[float], float]], size: int, constant: float, rounds: int = 25, ridge: float = 1e-3) -> np.ndarray:
+    """Weights (bias last) of a logistic scorer over sparse rows (places, values, target), by Newton steps.
+
+    Targets of one class only, or no rows, give a constant: `constant`, or its opposite if all are of the other class.
+    """
+    x = np.zeros((len(rows), size + 1))
     x[:, -1] = 1
-    for i, r in enumerate(rows):
-        x[i, r["index"]] = r["value"]
-    y = np.array([good[r["votes"]] for r in rows])
-    w = np.zeros(buckets + 1)
-    if not len(rows) or y.min() > 0.5 or y.max() < 0.5:  # one class only: a constant
-        w[-1] = 4.0 if not len(rows) or y.min() > 0.5 else -4.0
+    for i, (index, value, _) in enumerate(rows):
+        x[i, index] = value
+    y = np.array([target for *_, target in rows])
+    w = np.zeros(size + 1)
+    if not len(rows) or y.min() > 0.5 or y.max() < 0.5:
+        w[-1] = constant if not len(rows) or (y.min() > 0.5) == (constant > 0) else -constant
         return w
     used = np.nonzero(x.any(axis=0))[0]
     x = x[:, used]
@@ -215,7 +218,7 @@ def fit_quality(docs: DataFrame, fit_rows: int = 4096, buckets: int = 1024, id_c
         own = [p for p, v in good.items() if (v >= 0.5) == side]
         if own:
             sample += seen.where(F.col("votes").isin(own)).orderBy("hash", "doc_id").limit(fit_rows // 2).select("votes", "index", "value").toArrow().to_pylist()
-    return seen, good, in_task(docs.sparkSession, fit_scorer, sample, good, buckets)
+    return seen, good, in_task(docs.sparkSession, fit_logistic, [(r["index"], r["value"], good[r["votes"]]) for r in sample], buckets, 4.0)
 
 
 def score_quality(docs: DataFrame, threshold: float = 0.5, **fit) -> DataFrame:
