@@ -35,12 +35,12 @@ def corpus_statistics(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_weights(posts: DataFrame, statistics: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+def term_weights(posts: DataFrame, statistics: DataFrame, epsilon: float = EPSILON, counted: bool = False) -> DataFrame:
     """(term, df, idf): terms in over half of the chunks get epsilon times the mean idf of the vocabulary.
 
-    statistics has one row and is broadcast.
+    posts: postings, or with `counted` (term, df) already. statistics has one row and is broadcast.
     """
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    df = posts if counted else posts.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(statistics.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))

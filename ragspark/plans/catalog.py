@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as t
-from ragspark.operators import answers, bm25, chunking, conversations, embedding, evaluation, fusion, guard, rerank, rewrite, vector
+from ragspark.operators import answers, blockmax, bm25, chunking, conversations, embedding, evaluation, fusion, guard, rerank, rewrite, vector
 from ragspark.packs import Pack, Settings
 from ragspark.plans import oracles as o
 from ragspark.plans import retrieval
@@ -229,6 +229,14 @@ def f4_bm25(spark, sf_dir):
     return bm25.search(index, known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), 10)
 
 
+@query(F4_SQL)
+def f4_block_max(spark, sf_dir):
+    """The same top ten by posting blocks and their bounds, most of which are never scored."""
+    out = scratch(spark)
+    index = blockmax.build_blocks(read(spark, sf_dir, "documents"), f"{out}/index", "doc_id")
+    return blockmax.search_blocks(index, known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), 10, f"{out}/search")[0]
+
+
 # --- fusion, rerank, gate
 
 
