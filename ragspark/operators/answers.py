@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,9 +75,10 @@ def prompts(cited: DataFrame, questions: DataFrame, by: list[str], pack: Pack =
     block = F.concat(F.lit("["), F.col("citation_id"), F.lit("] "), F.col("source_name"), F.lit("\n"), section, F.lit("\n"), F.coalesce("locator", section), F.lit("\n"), F.col("text"))
     joined = cited.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("blocks"))
     turns = F.array_join(F.transform(F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>")), lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
-    body = F.lit(template or "History:\n{history}\n\nContexts:\n{contexts}\n\nQuestion: {question}\n\nAnswer from the contexts only and put [n] after what you take from them.")
-    for name, value in (("{history}", turns), ("{contexts}", F.array_join(F.transform("blocks", lambda x: x["b"]), "\n\n")), ("{question}", F.col("question"))):
-        body = F.replace(body, F.lit(name), value)
+    whole = template or "History:\n{history}\n\nContexts:\n{contexts}\n\nQuestion: {question}\n\nAnswer from the contexts only and put [n] after what you take from them."
+    values = {"{history}": turns, "{contexts}": F.array_join(F.transform("blocks", lambda x: x["b"]), "\n\n"), "{question}": F.col("question")}
+    # The template is split once, so that what the values hold is never taken for a field.
+    body = F.concat(*[values.get(part, F.lit(part)) for part in re.split(r"(\{history\}|\{contexts\}|\{question\})", whole) if part])
     return joined.join(questions, by).select(*by, body.alias("prompt"))
 
 

@@ -13,7 +13,7 @@ from ragspark.operators import answers, blockmax, bm25, chunking, conversations,
 from ragspark.packs import Pack, Settings
 from ragspark.plans import oracles as o
 from ragspark.plans import retrieval
-from ragspark.sources import tables
+from ragspark.sources import tables, versions
 from ragspark.sources.tables import stored
 from ragspark.streaming import jobs
 
@@ -380,12 +380,6 @@ def j4_limit_history(spark, sf_dir):
     return _history_digest(conversations.histories(read(spark, sf_dir, "conversations"), 6, 1200).where(F.size("history") > 0))
 
 
-@query(o.HISTORIES)
-def j4_all_histories(spark, sf_dir):
-    """The same by its earlier name."""
-    return j4_limit_history(spark, sf_dir)
-
-
 def _history_digest(h: DataFrame) -> DataFrame:
     digest = F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.md5(x["content"]))), ",")
     chars = F.aggregate("history", F.lit(0).cast("long"), lambda s, x: s + F.length(x["content"]))
@@ -517,6 +511,18 @@ def m1_stream_ingest(spark, sf_dir):
     return jobs.current(spark, f"{out}/base", "children").select("chunk_id", F.md5("text").alias("text_md5"))
 
 
+@query(f"WITH RECURSIVE {o.once(o.CHUNKS)} SELECT chunk_id, md5(text) AS text_md5 FROM children WHERE regexp_extract(doc_key, '[0-9]+')::BIGINT % 10 <> 5")
+def m1_version_log(spark, sf_dir):
+    """A batch of all documents, each path twice, every fifth one removed, and half of those back: what is live at the end."""
+    path, docs = f"{scratch(spark)}/base", files(spark, sf_dir).select("path", F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    twice = docs.withColumn("n", F.lit(2)).union(docs.select("path", F.concat(F.lit("older "), "text"), "doc_id", F.lit(1)))
+    jobs.ingest_batch(twice, path, 0, order_col="n")
+    jobs.remove_missing(docs.where("doc_id % 5 <> 0").select("path"), path)
+    jobs.ingest_batch(docs.where("doc_id % 10 = 0"), path, 1)
+    versions.compact(spark, path)
+    return jobs.current(spark, path, "children").select("chunk_id", F.md5("text").alias("text_md5"))
+
+
 @query("""SELECT conv_id, turn, md5(text) AS text_md5, (SELECT count(*) FROM (SELECT role FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn < c.turn ORDER BY h.turn DESC LIMIT 6) WHERE role IN ('user', 'assistant'))::INT AS turns FROM conversations c WHERE role = 'user'""")
 def m2_stream_memory(spark, sf_dir):
     out = scratch(spark)

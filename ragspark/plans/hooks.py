@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ragspark.operators import answers, bm25, conversations, embedding, evaluation, fusion, guard, rerank, rewrite
 from ragspark.plans import oracles as o
-from ragspark.plans.catalog import E1_SQL, F4_SQL, LEGAL, TEST_PACK, _legal, e1_exact_top_k, known_items, query, read, scratch
-from ragspark.sources import tables
+from ragspark.plans.catalog import E1_SQL, F4_SQL, LEGAL, TEST_PACK, _known_contexts, _legal, e1_exact_top_k, known_items, query, read, scratch
+from ragspark.sources import tables, versions
 from ragspark.sources.tables import stored
 from ragspark.streaming import jobs
 
@@ -54,11 +54,12 @@ def a3_rejected_cases(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS text_md5, 'documents' AS kind FROM documents UNION ALL SELECT page_id, md5(url), 'pages' FROM pages")
 def a5_replace_tables(spark, sf_dir):
-    """Two tables, written over older ones with other rows."""
+    """Two tables that replace older ones with other rows in one step, read through one manifest."""
     out, docs, pages = scratch(spark), read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "pages").select("page_id", "url")
     tables.replace_tables(out, documents=docs.where("doc_id % 2 = 0"), pages=pages.union(pages))
     tables.replace_tables(out, documents=docs, pages=pages)
-    now = lambda name: spark.read.parquet(f"{out}/{name}")
+    held = versions.manifest(spark, out)
+    now = lambda name: versions.read_table(spark, out, name, held)
     return now("documents").select("doc_id", F.md5("text").alias("text_md5"), F.lit("documents").alias("kind")).union(now("pages").select("page_id", F.md5("url"), F.lit("pages")))
 
 
@@ -258,14 +259,14 @@ def k9_generation(spark, sf_dir):
     return answers.generate_answers(cited, asked, ["query_id"], load_generator)
 
 
-SAMPLES = """WITH s AS (SELECT b.item_id::VARCHAR AS case_id, b.text AS question, 'a' || b.item_id AS response, (SELECT count(*) FROM documents d WHERE d.doc_id % 40 = b.item_id % 40 AND d.doc_id % 8 <> 0 AND trim(coalesce(d.text, '')) <> '') AS n, 'r' AS reference FROM benchmark b)"""
+#: The ten documents that keyword search finds for each passage, in order, without blank ones.
+SAMPLES = f"""WITH found AS ({F4_SQL}), s AS (SELECT b.item_id::VARCHAR AS case_id, b.text AS question, 'a' || b.item_id AS response,
+  (SELECT count(*) FROM found f JOIN documents d ON d.doc_id = f.chunk_id WHERE f.query_id = b.item_id AND trim(coalesce(d.text, '')) <> '') AS n, 'r' AS reference FROM benchmark b)"""
 
 
 def _samples(spark, sf_dir):
     cases = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("question"), F.lit("r").alias("reference"))
-    contexts = read(spark, sf_dir, "documents").where("doc_id % 8 <> 0").select((F.col("doc_id") % 40).alias("k"), F.col("doc_id").alias("rank"), "text")
-    held = cases.select("case_id", (F.col("case_id").cast("long") % 40).alias("k")).join(contexts, "k").select("case_id", "rank", "text")
-    return evaluation.judge_samples(cases, cases.select("case_id", F.concat(F.lit("a"), "case_id").alias("answer")), held)
+    return evaluation.judge_samples(cases, cases.select("case_id", F.concat(F.lit("a"), "case_id").alias("answer")), _known_contexts(spark, sf_dir))
 
 
 @query(SAMPLES + " SELECT case_id, question, response, n, reference FROM s")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import file_name
+from ragspark.sources.versions import replace_all
 
 WRAPPERS = ("data", "samples", "cases", "questions")
 CASE = ("struct<id:string,user_input:string,question:string,reference:string,reference_answer:string,expected_terms:array<string>,answer_terms:array<string>>")
@@ -24,12 +25,12 @@ def scan_corpus(spark: SparkSession, folder: str, suffixes: str = "md|txt") -> D
     return files.where(F.col("path").rlike(rf"(?i)\.({suffixes})$"))
 
 
-def document_records(docs: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """document_id and content_hash (SHA-256 of path and text), source_path, title, file_type, status."""
+def document_records(docs: DataFrame, path_col: str = "path", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+    """document_id and content_hash (SHA-256 of path and text), source_path, title, file_type, status, and the extra columns."""
     name = file_name(F.col(path_col), "")
     return docs.select(
         F.sha2(F.col(path_col), 256).alias("document_id"), F.col(path_col).alias("source_path"), F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("title"),
-        F.lower(F.regexp_extract(name, r".\.([^.]*)$", 1)).alias("file_type"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("content_hash"), F.lit("active").alias("status"))
+        F.lower(F.regexp_extract(name, r".\.([^.]*)$", 1)).alias("file_type"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("content_hash"), F.lit("active").alias("status"), *extra)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -45,9 +46,9 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_tables(path: str, **tables: DataFrame) -> None:
-    """Overwrite each table under path."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    """Put the tables in the place of all that were under path, in one step, see versions.replace_all(); read them with
+    versions.read_table(). A job that fails on the way leaves the old ones as they were."""
+    replace_all(path, tables)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

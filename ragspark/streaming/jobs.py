@@ -12,53 +12,96 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ragspark.operators import chunking, embedding
-from ragspark.sources.tables import document_records, exists
+from ragspark.sources import versions
+from ragspark.sources.tables import document_records
 
 
-def latest(versions: DataFrame) -> DataFrame:
+def latest(rows: DataFrame) -> DataFrame:
     """Of each document the rows of its latest version in this table."""
-    newest = versions.groupBy("document_id").agg(F.max("version").alias("version"))
-    return versions.join(newest, ["document_id", "version"], "left_semi")
+    newest = rows.groupBy("document_id").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["document_id", "version"], "left_semi")
 
 
 def current(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The rows of documents, children or vectors under path that belong to the latest version of a document that is there."""
-    newest = spark.read.parquet(f"{path}/documents").groupBy("document_id").agg(F.max("version").alias("version"), F.max_by("status", "version").alias("_status"))
-    there = newest.where("_status <> 'deleted'").select("document_id", "version")
-    return spark.read.parquet(f"{path}/{name}").join(there, ["document_id", "version"], "left_semi")
+    return versions.live(spark, path, name)
 
 
-def remove_missing(present: DataFrame, path: str, version: int) -> None:
-    """Mark the documents whose path is not in `present` (path) as deleted, as one version; current() leaves them out."""
+def _retried(change: Callable[[], None], times: int = 5) -> None:
+    """The change, once more from the start if another was published before it."""
+    for left in reversed(range(times)):
+        try:
+            return change()
+        except versions.Conflict:
+            if not left:
+                raise
+
+
+def remove_missing(present: DataFrame, path: str, version: int | None = None) -> None:
+    """Mark the documents whose path is not in `present` (path) as deleted; current() leaves them out.
+
+    The marks get the next number of the table's own log, as all changes do; `version`, which callers once gave, says
+    nothing any more.
+    """
     spark = present.sparkSession
-    old = current(spark, path, "documents").drop("version")
-    gone = old.join(present.select(F.col("path").alias("source_path")).distinct(), "source_path", "left_anti")
-    gone.select(*old.columns).withColumn("status", F.lit("deleted")).write.mode("overwrite").parquet(f"{path}/documents/version={version}")
 
+    def change() -> None:
+        held = versions.manifest(spark, path)
+        old = versions.live(spark, path, "documents", at=held).drop("version")
+        gone = old.join(present.select(F.col("path").alias("source_path")).distinct(), "source_path", "left_anti")
+        number = versions.claim(spark, path)
+        versions.write_version(gone.select(*old.columns).withColumn("status", F.lit("deleted")), path, "documents", number)
+        versions.publish(spark, path, held, held["tables"] | {"documents": [*held["tables"]["documents"], number]})
+
+    _retried(change)
 
-def ingest_batch(docs: DataFrame, path: str, version: int) -> None:
-    """Add what is new in a batch of (path, text) to documents, children and vectors under path, as one version.
 
-    A document whose id and content hash are there is left alone; a changed one gets its rows once more with this
-    version, and latest() reads those. Each table has a folder a version, overwritten if the batch comes again.
+def ingest_batch(docs: DataFrame, path: str, batch: int, source: str = "", order_col: str | None = None, compact_every: int = 32) -> None:
+    """Add what is new in a batch of (path, text) to documents, children and vectors under path, as one published version.
+
+    Of several rows of one path that with the largest order_col counts, or without one that with the largest hash of its
+    text; it alone is hashed, cut and stored. A document whose id and content hash are there is left alone; a
+    changed one, or one that was removed, gets its rows with the next number of the table's log, see versions. A batch of
+    a source that was published before is left out, whatever its number is in other sources. When so many versions
+    have come together they are compacted.
     """
     spark = docs.sparkSession
-    records = document_records(docs).join(docs.select(F.col("path").alias("source_path"), "text"), "source_path").dropDuplicates(["document_id"])
-    if exists(spark, f"{path}/documents"):
-        old = latest(spark.read.parquet(f"{path}/documents").where(F.col("version") != version)).where("status <> 'deleted'").select("document_id", "content_hash")
-        records = records.join(old, ["document_id", "content_hash"], "left_anti")
-    records = records.persist()
-    _, children = chunking.chunk_records(records.select(F.col("source_path").alias("path"), "text"))
-    children = children.persist()
-    for name, df in (("children", children), ("vectors", embedding.hash_embed(children, "chunk_id", "text").join(children.select("chunk_id", "document_id"), "chunk_id")), ("documents", records.drop("text"))):
-        df.write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
-    children.unpersist()
-    records.unpersist()
+    order = [F.desc(order_col)] if order_col else []
+    one = Window.partitionBy("path").orderBy(*order, F.desc(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    single = docs.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("path", "text")
+
+    def change() -> None:
+        held = versions.manifest(spark, path)
+        if held["batches"].get(source, -1) >= batch:
+            return
+        records = document_records(single.withColumn("_text", F.col("text")), extra=("_text",))
+        if held["tables"]:
+            old = versions.live(spark, path, "documents", at=held).select("document_id", "content_hash")
+            records = records.join(old, ["document_id", "content_hash"], "left_anti")
+        records = records.persist()
+        _, children = chunking.chunk_records(records.select(F.col("source_path").alias("path"), F.col("_text").alias("text")))
+        children = children.persist()
+        number = versions.claim(spark, path)
+        vectors = embedding.hash_embed(children, "chunk_id", "text").join(children.select("chunk_id", "document_id"), "chunk_id")
+        made = {"children": children, "vectors": vectors, "documents": records.drop("_text")}
+        for name, df in made.items():
+            versions.write_version(df, path, name, number)
+        children.unpersist()
+        records.unpersist()
+        versions.publish(spark, path, held, {name: [*held["tables"].get(name, []), number] for name in made}, held["batches"] | {source: batch})
+
+    _retried(change)
+    if compact_every and len(versions.manifest(spark, path)["tables"].get("documents", [])) >= compact_every:
+        _retried(lambda: versions.compact(spark, path))
 
 
 def stream_ingest(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Ingest a stream of (path, text), all that is available, then stop."""
-    return docs.writeStream.foreachBatch(lambda df, i: ingest_batch(df, path, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Ingest a stream of (path, text), all that is available, then stop. Batches are known by the query's own id, so
+    a new checkpoint, which numbers them from 0 again, is another source."""
+    def each(df: DataFrame, i: int) -> None:
+        ingest_batch(df, path, i, df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint)
+
+    return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_memory(turns: DataFrame, limit: int = 6, max_chars: int = 6000, idle_days: float | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from ragspark.functions import text as t
 from ragspark.operators import answers, bm25, chunking, conversations, embedding, evaluation, fusion, guard, rerank, rewrite, vector
 from ragspark.packs import Pack, Settings
 from ragspark.plans import catalog, retrieval
-from ragspark.sources import tables
+from ragspark.sources import tables, versions
 
 HISTORY = "array<struct<role:string,content:string>>"
 
@@ -378,6 +378,14 @@ def test_citations_and_answers(spark):
     assert [r["rank"] for r in trace] == [1, 2, 3, 4] and "source" not in trace[2]
 
 
+def test_fields_in_users_text_stay(spark):
+    """Braces in a history, a context or a question are text."""
+    cited = spark.createDataFrame([(1, 1, 1, "a.md", "", "h", None, "see {question}")], "q int, rank int, citation_id int, source_name string, section_path string, heading string, locator string, text string")
+    asked = spark.createDataFrame([(1, "what {history}?", [("user", "{question} {contexts}")])], f"q int, question string, history {HISTORY}")
+    made = answers.prompts(cited, asked, ["q"], template="{history}|{contexts}|{question}|{other}").first().prompt
+    assert made == "user: {question} {contexts}|[1] a.md\nh\nh\nsee {question}|what {history}?|{other}"
+
+
 def test_evaluation(spark):
     cases = spark.createDataFrame([("a", ["Học phí", "kỳ"], ["x"]), ("b", ["zz"], ["x"]), ("c", [], [])], "case_id string, expected_terms array<string>, answer_terms array<string>")
     ctx = spark.createDataFrame([("a", 1, "học"), ("a", 2, "HỌC  PHÍ mỗi Kỳ"), ("b", 1, "q")], "case_id string, rank int, text string")
@@ -420,7 +428,7 @@ def test_sources(spark, tmp_path):
         assert [(r.case_id, r.question, r.reference) for r in cases.orderBy("question").collect()] == [("case_0001", "q1", "r1"), ("k", "q3", "r3")]
         assert [tuple(r) for r in rejected.collect()] == [("z", "no reference")]
     tables.replace_tables(str(tmp_path / "kb"), documents=got)
-    assert spark.read.parquet(str(tmp_path / "kb/documents")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "kb/documents")).count() == 2 == versions.read_table(spark, str(tmp_path / "kb"), "documents").count()
     tables.write_report(got.limit(1), got, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report/cases")).count() == 2
     assert tables.chunk_snapshot(spark.createDataFrame([("c", "t", 3)], "chunk_id string, text string, chunk_index int")).first().parent_id == "c"
