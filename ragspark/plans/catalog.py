@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as t
-from ragspark.operators import answers, blockmax, bm25, chunking, conversations, embedding, evaluation, fusion, guard, rerank, rewrite, vector
+from ragspark.operators import answers, blockmax, bm25, chunking, conversations, embedding, evaluation, fusion, guard, ivf, rerank, rewrite, vector
 from ragspark.packs import Pack, Settings
 from ragspark.plans import oracles as o
 from ragspark.plans import retrieval
@@ -202,6 +202,13 @@ def e3_approximate_top_k(spark, sf_dir):
     return vector.approximate_top_k(*_vectors(spark, sf_dir), 10)
 
 
+@query()
+def e3_inverted_file(spark, sf_dir):
+    """By cells and residual codes; its recall against exact search, and what it looks at, are tested."""
+    out, (asked, known) = scratch(spark), _vectors(spark, sf_dir)
+    return ivf.search_inverted_file(ivf.build_inverted_file(known, f"{out}/index"), asked, 10, f"{out}/search")[0]
+
+
 # --- keyword retrieval
 
 
