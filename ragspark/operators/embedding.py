@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import spaced
+from ragspark.operators.models import budgeted, served
 
 
 def hash_places(text: Column, dimensions: int = 384) -> Column:
@@ -55,13 +56,14 @@ def l2_normalize(vector: Column) -> Column:
 
 
 def embed_with(docs: DataFrame, id_col: str, text_col: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """(id, vector) by a model: load() runs once a task and returns embed(texts); order and rows are kept."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, vector) by a model: load() runs once in a worker, see models, and returns embed(texts); order and rows are kept."""
+    kind, model = docs.schema[id_col].dataType.simpleString(), served(load)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embed = load()
+        embed = model()
         for pdf in batches:
-            vectors = embed(pdf[text_col].fillna("").tolist()) if len(pdf) else []
+            texts = pdf[text_col].fillna("").tolist()
+            vectors = [v for some in budgeted(texts) for v in embed(texts[some])]
             if len(vectors) != len(pdf):
                 raise ValueError("the model returned another number of vectors than it got texts")
             yield pd.DataFrame({id_col: pdf[id_col], "vector": [[float(x) for x in v] for v in vectors]})

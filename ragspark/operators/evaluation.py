@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import collapse, normalize
+from ragspark.operators.models import served
 
 
 def normalize_cases(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,11 +102,12 @@ METRIC_INPUTS = {
 
 def judge(samples: DataFrame, load: Callable[[], Callable[[str, dict], float]], metrics: dict[str, tuple[str, ...]] = METRIC_INPUTS) -> DataFrame:
     """(case_id, metric, score, error): a row for each case and metric; a failure stays with its row, and scores that
-    are not finite are null. load() runs once a task and returns score(metric, inputs)."""
+    are not finite are null. load() runs once in a worker, see models, and returns score(metric, inputs)."""
+    model = served(load)
     rows = samples.withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = load()
+        score = model()
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions.text import LINE_BREAK, SPACE, casefold, collapse, strip_chars, words
+from ragspark.operators.models import budgeted, served
 from ragspark.packs import Pack
 
 MAX_CHARS = 500
@@ -64,24 +65,34 @@ def expand(questions: DataFrame, query_col: str = "query", count: int = 3, pack:
 def with_model(rows: DataFrame, prompt_col: str, out_col: str, load: Callable[[], Callable[[list[str]], list[str]]]) -> DataFrame:
     """rows with a column of a model's answers to prompts; null where it fails, with the error in out_col + "_error".
 
-    load() runs once a task and returns generate(prompts). If a batch fails, its prompts are tried one by one.
+    load() runs once in a worker, see models, and returns generate(prompts), which gets some of bounded length at a time.
+    If these fail, they are tried one by one.
     """
+    model = served(load)
+
+    def attempt(generate: Callable, prompts: list[str]) -> tuple[list, list]:
+        try:
+            texts = list(generate(prompts))
+            if len(texts) != len(prompts):
+                raise ValueError("the model returned another number of texts than it got prompts")
+            return texts, [None] * len(prompts)
+        except Exception:
+            texts, errors = [], []
+            for p in prompts:
+                try:
+                    texts.append(generate([p])[0])
+                    errors.append(None)
+                except Exception as e:
+                    texts.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            return texts, errors
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generate = load()
+        generate = model()
         for pdf in batches:
-            prompts, errors = pdf[prompt_col].fillna("").tolist(), [None] * len(pdf)
-            try:
-                texts = list(generate(prompts)) if prompts else []
-                if len(texts) != len(prompts):
-                    raise ValueError("the model returned another number of texts than it got prompts")
-            except Exception:
-                texts = []
-                for i, p in enumerate(prompts):
-                    try:
-                        texts.append(generate([p])[0])
-                    except Exception as e:
-                        texts.append(None)
-                        errors[i] = f"{type(e).__name__}: {e}"
+            prompts = pdf[prompt_col].fillna("").tolist()
+            tried = [attempt(generate, prompts[some]) for some in budgeted(prompts)]
+            texts, errors = ([x for t in tried for x in t[k]] for k in (0, 1))
             yield pdf.assign(**{out_col: pd.Series(texts, dtype=object, index=pdf.index), out_col + "_error": pd.Series(errors, dtype=object, index=pdf.index)})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.operators import answers, bm25, conversations, embedding, evaluation, fusion, guard, rerank, rewrite
+from ragspark.operators import answers, bm25, conversations, embedding, evaluation, fusion, guard, rerank, rewrite, segments
 from ragspark.plans import oracles as o
 from ragspark.plans.catalog import E1_SQL, F4_SQL, LEGAL, TEST_PACK, _known_contexts, _legal, e1_exact_top_k, known_items, query, read, scratch
 from ragspark.sources import tables, versions
@@ -100,6 +100,17 @@ def f6_fresh_index(spark, sf_dir):
     return bm25.search(index, known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), 10)
 
 
+@query(F4_SQL)
+def f6_segments(spark, sf_dir):
+    """An index of two segments, after changed, removed and returned documents: the same top ten as one built anew."""
+    path, docs = f"{scratch(spark)}/index", read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    early = docs.where("chunk_id % 2 = 0").withColumn("text", F.when(F.col("chunk_id") % 4 == 0, F.concat(F.lit("older text "), "text")).otherwise(F.col("text")))
+    segments.update_index(spark, path, early, None)
+    segments.update_index(spark, path, None, early.where("chunk_id % 3 = 0").select("chunk_id"))
+    segments.update_index(spark, path, docs.where("chunk_id % 2 = 1 or chunk_id % 4 = 0 or chunk_id % 3 = 0"))
+    return bm25.search(segments.read_index(spark, path), known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), 10)
+
+
 RANKED = """SELECT * FROM (SELECT doc_id % 40 AS q, CASE WHEN doc_id % 3 = 0 THEN 'c' || doc_id ELSE 'd' || (doc_id % 7) || ':' || doc_id END AS chunk_id,
   row_number() OVER (PARTITION BY doc_id % 40 ORDER BY {by}, doc_id) AS place FROM documents) AS ordered WHERE ordered.place <= 20"""
 
