@@ -15,7 +15,7 @@ from ragspark.plans import oracles as o
 from ragspark.plans import retrieval
 from ragspark.sources import tables, versions
 from ragspark.sources.tables import stored
-from ragspark.streaming import jobs
+from ragspark.streaming import jobs, memory
 
 QUERIES, ORACLES = {}, {}
 TEST_PACK = Pack(domain_terms=o.TEST_TERMS)
@@ -537,3 +537,21 @@ def m2_stream_memory(spark, sf_dir):
     made = jobs.stream_memory(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*"))
     made.writeStream.format("parquet").option("path", f"{out}/turns").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/turns").select("conv_id", "turn", F.md5("text").alias("text_md5"), F.size(F.from_json("history", "array<struct<role:string,content:string>>")).alias("turns"))
+
+
+@query(o.HISTORIES_BEFORE + """ SELECT a.conv_id, a.place AS turn, md5(a.text) AS text_md5, coalesce(h.turns, 0)::BIGINT AS turns, coalesce(h.chars, 0)::BIGINT AS chars, coalesce(h.digest, '') AS digest
+FROM asked a LEFT JOIN held h ON h.conv_id = a.conv_id AND h.place = a.place""")
+def m2_list_state(spark, sf_dir):
+    """The turns that each question has in memory, within the budget, by a stream with list state."""
+    out, before = scratch(spark), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    kind = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    memory.rocksdb_state(spark)
+    try:
+        made = memory.stream_turns(spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*"))
+        made.writeStream.format("parquet").option("path", f"{out}/turns").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    held = spark.read.parquet(f"{out}/turns").withColumn("history", F.from_json("history", "array<struct<role:string,content:string>>"))
+    digest = F.array_join(F.transform("history", lambda x: F.concat(x["role"], F.lit(":"), F.md5(x["content"]))), ",")
+    chars = F.aggregate("history", F.lit(0).cast("long"), lambda s, x: s + F.length(x["content"]))
+    return held.select("conv_id", "turn", F.md5("text").alias("text_md5"), F.size("history").cast("long").alias("turns"), chars.alias("chars"), digest.alias("digest"))

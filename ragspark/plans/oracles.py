@@ -212,3 +212,16 @@ walk AS (
     SELECT s.conv_id, s.k, w.room, s.role, CASE WHEN length(s.said) <= w.room THEN s.said ELSE regexp_replace(substr(s.said, 1, w.room), '[\\s\\p{{Z}}]+$', '') END AS cut
     FROM walk w JOIN said s ON s.conv_id = w.conv_id AND s.k = w.k + 1))
 SELECT conv_id, count(*) AS turns, sum(length(content))::BIGINT AS chars, string_agg(role || ':' || md5(content), ',' ORDER BY k DESC) AS digest FROM walk WHERE content <> '' GROUP BY conv_id"""
+
+
+#: The same walk for each user turn over the six turns before it, with the default budget.
+HISTORIES_BEFORE = f"""WITH RECURSIVE asked AS (SELECT conv_id, turn AS place, text FROM conversations WHERE role = 'user'),
+recent AS (SELECT conv_id, place, turn, role, {trimmed("coalesce(text, '')")} AS said FROM (
+  SELECT c.*, a.place, row_number() OVER (PARTITION BY a.conv_id, a.place ORDER BY c.turn DESC) AS n FROM asked a JOIN conversations c ON c.conv_id = a.conv_id AND c.turn < a.place) WHERE n <= 6 AND role IN ('user', 'assistant')),
+said AS (SELECT *, row_number() OVER (PARTITION BY conv_id, place ORDER BY turn DESC) AS k FROM recent WHERE said <> ''),
+walk AS (
+  SELECT DISTINCT conv_id, place, 0::BIGINT AS k, 6000::BIGINT AS room, '' AS role, '' AS content FROM said
+  UNION ALL SELECT conv_id, place, k, room - length(cut), role, cut FROM (
+    SELECT s.conv_id, s.place, s.k, w.room, s.role, CASE WHEN length(s.said) <= w.room THEN s.said ELSE regexp_replace(substr(s.said, 1, w.room), '[\\s\\p{{Z}}]+$', '') END AS cut
+    FROM walk w JOIN said s ON s.conv_id = w.conv_id AND s.place = w.place AND s.k = w.k + 1)),
+held AS (SELECT conv_id, place, count(*) AS turns, sum(length(content))::BIGINT AS chars, string_agg(role || ':' || md5(content), ',' ORDER BY k DESC) AS digest FROM walk WHERE content <> '' GROUP BY conv_id, place)"""
