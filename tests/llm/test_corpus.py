@@ -376,12 +376,16 @@ def test_encoder_equals_library(tokenizer):
     with open(default_tokenizer(), encoding="utf-8") as f:
         own = Encoder(f.read())
     rng = random.Random(2)
-    texts = ["", " ", "a ", "a  b", "a \nb", "a\n b", "don't we'll", "x <|endoftext|> y", "日本 語 b", "\x1c a", "\0 b", "a　b", "ÀÉ ß"]
+    texts = ["", " ", "a ", "a  b", "a \nb", "a\n b", "don't we'll", "x <|endoftext|> y", "日本 語 b", "\x1c a", "\0 b", " \0", "a \0b c", "a\n\0", "a　b", "ÀÉ ß"]
     texts += ["".join(rng.choice(" \n\tab'slt.1é,A  $ñ") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     assert own.splits
     assert [x.tolist() for x in own.encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     own.splits = False
     assert [x.tolist() for x in own.encode(texts[:50])] == [e.ids for e in tokenizer.encode_batch(texts[:50], add_special_tokens=False)]
+    plain = Tokenizer.from_file(default_tokenizer())
+    plain.encode_special_tokens = True
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        assert [x.tolist() for x in Encoder(f.read(), plain=True).encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_files_round_trip(spark, rows, tokenizer, tmp_path, monkeypatch):
