@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,29 @@ from ragspark.functions.text import spaced
 from ragspark.operators.models import budgeted, served
 
 
-def hash_places(text: Column, dimensions: int = 384) -> Column:
-    """For each white-space token of the lowered text its dimension and sign, from the token's SHA-256."""
-    def place(token: Column) -> Column:
-        digest = F.sha2(token, 256)
-        dim = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-        sign = 1 - 2 * (F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2)
-        return F.struct(dim.alias("dim"), sign.alias("sign"))
+def _places(tokens: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token its dimension and sign, from its SHA-256; the different tokens of a batch are hashed once."""
+    coded = tokens.dictionary_encode()
+    digests = b"".join(hashlib.sha256(t).digest()[:5] for t in coded.dictionary.cast(pa.binary()).to_pylist())
+    raw = np.frombuffer(digests, np.uint8).reshape(-1, 5).astype(np.int64)
+    own, code = raw[:, :4] @ (1 << np.array([24, 16, 8, 0])) % dimensions, coded.indices.to_numpy()
+    return own[code], (1 - 2 * (raw[:, 4] % 2))[code]
 
-    return F.transform(spaced(F.lower(text)), place)
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str, dimensions: int, out: Callable[[pa.Array, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """out(ids, matrix of unit rows) of each Arrow batch: the signs summed by place in the flat matrix, no loop over rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            dim, sign = _places(lists.flatten(), dimensions)
+            row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+            m = np.bincount(row * dimensions + dim, sign, len(batch) * dimensions).reshape(len(batch), dimensions)
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            yield out(batch.column(id_col), m / np.where(norm == 0, 1, norm))
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    tokens = spaced(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("tokens")
+    return docs.select(id_col, tokens).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
 
 
 def hash_embed_sparse(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 384) -> DataFrame:
@@ -29,24 +45,20 @@ def hash_embed_sparse(docs: DataFrame, id_col: str, text_col: str, dimensions: i
 
     Texts without tokens give no row. Made within each row, so nothing is shuffled.
     """
-    return hash_embed(docs, id_col, text_col, dimensions).select(id_col, F.posexplode("vector").alias("dim", "weight")).where("weight <> 0")
+    def sparse(ids: pa.Array, m: np.ndarray) -> pa.RecordBatch:
+        row, dim = np.nonzero(m)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(dim, pa.int32()), pa.array(m[row, dim])], [id_col, "dim", "weight"])
+
+    return _hashed(docs, id_col, text_col, dimensions, sparse, "dim int, weight double")
 
 
 def hash_embed(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 384) -> DataFrame:
     """(id, vector): the same as a dense array; zeros for a text without tokens. One row in, one row out."""
-    placed = docs.select(id_col, hash_places(F.coalesce(F.col(text_col), F.lit("")), dimensions).alias("p"))
+    def dense(ids: pa.Array, m: np.ndarray) -> pa.RecordBatch:
+        at = pa.array(np.arange(0, m.size + 1, dimensions), pa.int32())
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(at, pa.array(m.ravel()))], [id_col, "vector"])
 
-    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.zeros((len(pdf), dimensions))
-            for i, places in enumerate(pdf["d"]):
-                np.add.at(out[i], np.asarray(places, int), np.asarray(pdf["s"].iloc[i], float))
-            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            yield pd.DataFrame({id_col: pdf[id_col], "vector": list(out / np.where(norm == 0, 1, norm))})
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    flat = placed.select(id_col, F.col("p.dim").alias("d"), F.col("p.sign").alias("s"))
-    return flat.mapInPandas(dense, f"`{id_col}` {kind}, vector array<double>")
+    return _hashed(docs, id_col, text_col, dimensions, dense, "vector array<double>")
 
 
 def l2_normalize(vector: Column) -> Column:

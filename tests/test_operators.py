@@ -144,6 +144,11 @@ def test_hash_embedding(spark):
 
     dense = {r.i: r.vector for r in embedding.hash_embed(df, "i", "x").collect()}
     assert all(np.allclose(dense[i], brute(x)) for i, x in enumerate(texts))
+    blank = spark.createDataFrame([(7, ""), (7, None), (7, " \n")], "i long, x string").coalesce(1)
+    assert [(r.i, sum(map(abs, r.vector))) for r in embedding.hash_embed(blank, "i", "x").collect()] == [(7, 0.0)] * 3
+    assert embedding.hash_embed_sparse(blank, "i", "x").count() == embedding.hash_embed(df.limit(0), "i", "x").count() == 0
+    again = spark.createDataFrame([(7, "b a b a b"), (7, "c")], "i long, x string")
+    assert sorted(r.vector for r in embedding.hash_embed(again, "i", "x").collect()) == sorted(brute(x) for x in ("b a b a b", "c"))
     sparse = embedding.hash_embed_sparse(df, "i", "x").collect()
     assert {(r.i, r.dim) for r in sparse} == {(i, k) for i, x in enumerate(texts) for k, a in enumerate(brute(x)) if a}
     made = embedding.embed_with(df, "i", "x", lambda: lambda xs: [[float(len(x))] for x in xs])
