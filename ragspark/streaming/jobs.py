@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ragspark.operators import chunking, embedding
 from ragspark.sources import versions
 from ragspark.sources.tables import document_records
+from ragspark.streaming import events
+from ragspark.streaming.events import read_events  # noqa: F401  read beside what writes them
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -142,43 +144,24 @@ def stream_memory(turns: DataFrame, limit: int = 6, max_chars: int = 6000, idle_
         GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def stream_answers(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, asked: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Answer a stream of questions a batch at a time with a batch plan, and log events under path.
+def stream_answers(
+    questions: DataFrame, answer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, asked: Callable[[DataFrame], DataFrame] | None = None, source: str = "",
+) -> StreamingQuery:
+    """Answer a stream of questions a batch at a time with a batch plan, and log events under path, see events.
 
-    A batch's starts are written before its answers are computed: asked(batch) gives their query_id, by default what
-    answer(batch) says without its other columns. A batch that fails in between leaves starts alone, and its retry writes
-    both once.
+    A batch's starts are published before its answers are computed: asked(batch) gives their query_id, by default what
+    answer(batch) says without its other columns. A batch that fails in between leaves starts alone, and its retry
+    replaces them and adds the dones, so both count once. Streams with checkpoints of their own that share a log have a
+    source each.
     """
     def each(df: DataFrame, i: int) -> None:
-        log_starts((asked or answer)(df), path, i)
-        log_done(answer(df), path, i)
+        events.write_events(events.starts((asked or answer)(df)), path, i, "start", source)
+        events.write_events(events.dones(answer(df)), path, i, "done", source)
 
     return questions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _log(events: DataFrame, path: str, batch: int, phase: str) -> None:
-    events.write.mode("overwrite").json(f"{path}/batch_id={batch}/phase={phase}")
-
-
-def log_starts(questions: DataFrame, path: str, batch: int) -> None:
-    """A start record for each question (query_id) of a batch, in the batch's own folder, which is overwritten."""
-    _log(questions.select("query_id", F.lit(0).alias("no"), F.lit("start").alias("type")), path, batch, "start")
-
-
-def log_done(answered: DataFrame, path: str, batch: int) -> None:
-    """A done record for each question (query_id, route, answer) of a batch."""
-    _log(answered.select("query_id", "route", F.lit(1).alias("no"), F.lit("done").alias("type"), "answer"), path, batch, "done")
-
-
-def log_events(answered: DataFrame, path: str, batch: int) -> None:
-    """Both records of each question (query_id, route, answer) as JSON lines; a batch that comes again overwrites its own."""
-    log_starts(answered, path, batch)
-    log_done(answered, path, batch)
-
-
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """All events with batch_id, in order within each question; a start has the route of its done, null as long as there
-    is none."""
-    rows = spark.read.schema("query_id string, route string, no int, type string, answer string, batch_id long, phase string").json(path).drop("phase")
-    own = Window.partitionBy("query_id", "batch_id")
-    return rows.withColumn("route", F.coalesce("route", F.max("route").over(own))).withColumn("place", F.row_number().over(own.orderBy("no")))
+def log_events(answered: DataFrame, path: str, batch: int, source: str = "") -> None:
+    """Both records of each question (query_id, route, answer); a batch that comes again replaces its own."""
+    events.write_events(events.starts(answered), path, batch, "start", source)
+    events.write_events(events.dones(answered), path, batch, "done", source)
