@@ -159,6 +159,15 @@ def c11_child_chunks(spark, sf_dir):
     return kids.select("chunk_id", "parent_id", F.col("child_index").cast("long").alias("child_index"), "text", F.col("token_count").cast("long").alias("token_count"))
 
 
+@query(f"""WITH RECURSIVE {o.once(o.MARKDOWN_CHUNKS)} SELECT replace(parent_id, '::parent-', '::chunk-') AS chunk_id, replace(parent_id, '::parent-', '::chunk-') AS parent_id, coalesce(title, '') AS heading, coalesce(path, '') AS section_path, coalesce(path, '') AS full_section_path, parent_index AS chunk_index, 0::BIGINT AS child_index,
+text, greatest(1, len({o.spaced('text')}))::BIGINT AS token_count FROM parents""")
+def c14_flat_records(spark, sf_dir):
+    """Records without children: each parent is its own chunk."""
+    docs = markdown(spark, sf_dir).withColumn("path", F.concat(F.lit("doc-"), "doc_id", F.lit(".md")))
+    long = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "child_index", "token_count")]
+    return chunking.chunk_records(docs, children=False)[1].select("chunk_id", "parent_id", "heading", "section_path", "full_section_path", "text", *long)
+
+
 # --- embeddings and vector retrieval
 
 
@@ -244,6 +253,14 @@ def f4_block_max(spark, sf_dir):
     return blockmax.search_blocks(index, known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), 10, f"{out}/search")[0]
 
 
+@query(f"""WITH {o.KNOWN}, asked_known AS (SELECT item_id AS query_id, query FROM known), said AS (SELECT conv_id || '-' || turn AS turn_id, text FROM conversations),
+{o.once(o.index('said', 'turn_id') + ', ' + o.bm25('asked_known', 10))} SELECT query_id, chunk_id, score, rank::INT AS rank FROM keyword""")
+def f5_rank_texts(spark, sf_dir):
+    """Turns of conversations ranked for the benchmark passages, without an index that is kept."""
+    said = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), "text")
+    return bm25.rank_texts(known_items(spark, sf_dir).withColumnRenamed("item_id", "query_id"), said, 10, "turn_id")
+
+
 # --- fusion, rerank, gate
 
 
