@@ -47,11 +47,16 @@ def term_weights(posts: DataFrame, statistics: DataFrame, epsilon: float = EPSIL
 
 
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", epsilon: float = EPSILON, path: str | None = None) -> Index:
-    """The three tables. With a path they are stored there, postings first, so that nothing is tokenised twice but for
-    the statistics; without one they are plans over the chunks."""
+    """The three tables. With a path they are stored there, postings first, and no text is tokenised twice: a chunk has as
+    many tokens as its postings count. Without one they are plans over the chunks."""
     keep = (lambda df, name: stored(df, f"{path}/{name}")) if path else lambda df, name: df
     posts = keep(postings(chunks, id_col, text_col), "postings")
-    statistics = keep(corpus_statistics(chunks, text_col), "statistics")
+    if path:
+        total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        counted = chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("tokens") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"))
+    else:
+        counted = corpus_statistics(chunks, text_col)
+    statistics = keep(counted, "statistics")
     return Index(posts, keep(term_weights(posts, statistics, epsilon), "terms"), statistics)
 
 

@@ -219,19 +219,29 @@ def child_chunks(parents: DataFrame, size: int = 450, overlap: int = 75) -> Data
     return _numbered(plain.unionByName(headed), ["doc_id"], ["parent_index", "child_index"], "chunk_index")
 
 
-def chunk_records(docs: DataFrame, path_col: str = "path", text_col: str = "text", children: bool = True, parent: tuple[int, int] = (900, 150), child: tuple[int, int] = (450, 75)) -> tuple[DataFrame, DataFrame]:
-    """The tables of parents and of children (or of parents only, each its own child) with ids and token counts."""
+def parent_records(docs: DataFrame, path_col: str = "path", text_col: str = "text", parent: tuple[int, int] = (900, 150), tag: str = "parent") -> DataFrame:
+    """The table of parents: parent_id, source, parent_index, heading, heading_level, section_path, text."""
+    made = parent_chunks(docs, *parent, path_col, text_col)
+    name = F.concat("doc_id", F.lit(f"::{tag}-"), "parent_index").alias("parent_id")
+    return made.select(name, F.col("doc_id").alias("source"), "parent_index", "heading", "heading_level", "section_path", "text")
+
+
+def child_records(parents: DataFrame, child: tuple[int, int] | None = (450, 75)) -> DataFrame:
+    """The table of children of parent_records(), which may be stored in between, with ids and token counts; child=None:
+    each parent is its own."""
     from ragspark.functions.text import file_name, token_count
 
-    path = F.col("doc_id")
-    parents = parent_chunks(docs, *parent, path_col, text_col)
-    tag = "parent" if children else "chunk"
-    named = parents.withColumn("parent_id", F.concat(path, F.lit(f"::{tag}-"), F.col("parent_index")))
-    if children:
-        kids = child_chunks(parents, *child).withColumn("parent_id", F.concat(path, F.lit("::parent-"), F.col("parent_index"))).withColumn("chunk_id", F.concat("parent_id", F.lit("::child-"), F.col("child_index")))
+    if child:
+        made = child_chunks(parents.withColumnRenamed("source", "doc_id"), *child).withColumnRenamed("doc_id", "source")
+        made = made.withColumn("parent_id", F.concat("source", F.lit("::parent-"), "parent_index")).withColumn("chunk_id", F.concat("parent_id", F.lit("::child-"), "child_index"))
     else:
-        kids = named.withColumns({"chunk_id": F.col("parent_id"), "child_index": F.lit(0), "chunk_index": F.col("parent_index"), "full_section_path": F.col("section_path")})
-    kids = kids.select(
-        "chunk_id", "parent_id", path.alias("source"), file_name(path).alias("source_name"), F.sha2(path, 256).alias("document_id"), "heading", "heading_level", "section_path",
+        made = parents.withColumns({"chunk_id": F.col("parent_id"), "child_index": F.lit(0), "chunk_index": F.col("parent_index"), "full_section_path": F.col("section_path")})
+    return made.select(
+        "chunk_id", "parent_id", "source", file_name(F.col("source")).alias("source_name"), F.sha2("source", 256).alias("document_id"), "heading", "heading_level", "section_path",
         "full_section_path", "chunk_index", "parent_index", "child_index", "text", token_count(F.col("text")).alias("token_count"), F.lit("child").alias("chunk_type"))
-    return named.select("parent_id", path.alias("source"), "parent_index", "heading", "heading_level", "section_path", "text"), kids
+
+
+def chunk_records(docs: DataFrame, path_col: str = "path", text_col: str = "text", children: bool = True, parent: tuple[int, int] = (900, 150), child: tuple[int, int] = (450, 75)) -> tuple[DataFrame, DataFrame]:
+    """The tables of parents and of children (or of parents only, each its own child) with ids and token counts."""
+    parents = parent_records(docs, path_col, text_col, parent, "parent" if children else "chunk")
+    return parents, child_records(parents, child if children else None)

@@ -26,8 +26,8 @@ def build_knowledge(docs: DataFrame, settings: Settings = Settings(), path_col:
     plans over the documents, for small tables."""
     s = settings
     keep = (lambda df, name: stored(df, f"{path}/{name}")) if path else lambda df, name: df
-    parents, children = (keep(df, name) for df, name in zip(
-        chunking.chunk_records(docs, path_col, text_col, True, (s.parent_size, s.parent_overlap), (s.child_size, s.child_overlap)), ("parents", "children"), strict=True))
+    parents = keep(chunking.parent_records(docs, path_col, text_col, (s.parent_size, s.parent_overlap)), "parents")
+    children = keep(chunking.child_records(parents, (s.child_size, s.child_overlap)), "children")
     vectors = keep(embedding.hash_embed(children, "chunk_id", "text"), "vectors")
     return Knowledge(parents, children, vectors, bm25.build_index(children, path=path and f"{path}/index"))
 
