@@ -143,8 +143,9 @@ def fit_labellers(counts: dict[str, int], rounds: int = 500) -> tuple[dict[str,
     return dict(zip(patterns, member[:, 0].tolist(), strict=True)), np.stack([sensitivity, rates[0]], axis=1)
 
 
-def fit_logistic(rows: list[tuple[list[int], list[float], float]], size: int, constant: float, rounds: int = 25, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (bias last) of a logistic scorer over sparse rows (places, values, target), by Newton steps.
+def fit_logistic(rows: list[tuple[list[int], list[float], float]], size: int, constant: float, rounds: int = 25, ridge: float = 1e-3, weights: list[float] | None = None) -> np.ndarray:
+    """Weights (bias last) of a logistic scorer over sparse rows (places, values, target), by Newton steps. Rows count
+    alike or by their weights, whose scale says nothing.
 
     Targets of one class only, or no rows, give a constant: `constant`, or its opposite if all are of the other class.
     """
@@ -160,9 +161,10 @@ def fit_logistic(rows: list[tuple[list[int], list[float], float]], size: int, co
     used = np.nonzero(x.any(axis=0))[0]
     x = x[:, used]
     v = np.zeros(len(used))
+    c = np.ones(len(rows)) if weights is None else np.array(weights) / np.mean(weights)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * len(rows) * np.eye(len(used)), x.T @ (y - p) - ridge * len(rows) * v)
+        step = np.linalg.solve((x * (c * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge * len(rows) * np.eye(len(used)), x.T @ (c * (y - p)) - ridge * len(rows) * v)
         v += step
         if np.abs(step).max() < 1e-5:
             break

@@ -23,23 +23,28 @@ CLEAN, TOXIC, ABSTAIN = "0", "1", "-"
 STARTS, LEXICONS = (4, 5, 6, 7), 4
 #: Words of a general English insult list that need no labels.
 INSULTS = frozenset("idiot idiots stupid moron morons dumb loser losers scum trash garbage pathetic disgusting worthless clown clowns jerk fool fools".split())
-#: Each voter: from which value on it votes toxic and up to which clean. Lexicons: the share of words that are terms.
+#: Each voter: from which value on it votes toxic and up to which clean. Lexicons: the share of words that are terms;
+#: strongest: the logarithm of the odds ratio of the most telling term, however rare it is in the text.
 VOTERS = (
     *((f"words{i}", 0.006, 0.002) for i in range(LEXICONS)), *((f"starts{k}", 0.008, 0.003) for k in STARTS),
     ("insults", 0.006, 0.001), ("shouting", 0.60, 0.30), ("exclaims", 0.40, 0.10),
+    ("strongest", 3.0, 1.0),
 )
 LABEL = len(VOTERS)  # the place of the label among the votes
 WORD = re.compile(r"[^\W\d_]+")
-#: A term may be toxic if it has so many toxic documents, counting those where it is such a share of the words.
-LEAST_DOCS, LEAST_SHARE = 3, 0.004
-#: What a term's share counts for, up to 1.
+#: A term may be toxic if it has so many toxic documents and so many times the odds of all, counting those that hold
+#: it or those where it is such a share of the words. Words that merely lean to a class, as those of a language do, don't.
+LEAST_DOCS, LEAST_ODDS, LEAST_SHARE = 3, 6.0, 0.004
+#: What a term's share counts for, up to 1, and by what the measures that are no shares are multiplied.
 SCALE = 50.0
+SCALES = {"shouting": 1.0, "exclaims": 1.0, "strongest": 1 / 6}
 
 
 class Lexicon(NamedTuple):
-    """The place of each term among the features; a word start ends in an asterisk."""
+    """The place of each term among the features, a word start ending in an asterisk, and the logarithm of its odds ratio."""
 
     terms: dict[str, int]
+    odds: dict[str, float] = {}
 
     @property
     def size(self) -> int:
@@ -60,25 +65,29 @@ def term_counts(text: str | None) -> tuple[Counter, int, str]:
 
 def _mine(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[dict, dict] = ({}, {})
+        found: dict[str, list[int]] = {}
         for batch in batches:
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("_text").to_pylist(), strict=True):
                 terms, n, _ = term_counts(text)
-                own = found[toxic]
                 for term, c in terms.items():
+                    own = found.setdefault(term, [0, 0, 0, 0])
+                    own[toxic] += 1
                     if c >= least * n:
-                        own[term] = own.get(term, 0) + 1
-            if len(found[0]) + len(found[1]) > 400_000:
+                        own[2 + toxic] += 1
+            if len(found) > 400_000:
                 yield _mined(found)
-                found = ({}, {})
+                found = {}
         yield _mined(found)
 
     return run
 
 
-def _mined(found: tuple[dict, dict]) -> pa.RecordBatch:
-    terms = list(dict.fromkeys([*found[0], *found[1]]))
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([f.get(t, 0) for t in terms], pa.int64()) for f in found)], ["term", "clean", "toxic"])
+#: A term's clean and toxic documents: all that hold it, and those where it is a large share.
+COUNTS = ("clean", "toxic", "often_clean", "often_toxic")
+
+
+def _mined(found: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([f[i] for f in found.values()], pa.int64()) for i in range(len(COUNTS)))], ["term", *COUNTS])
 
 
 def association(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
@@ -91,19 +100,33 @@ def association(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Col
     return F.when(rates[0] > rates[1], value).otherwise(-value)
 
 
+def odds_ratio(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """How many times the odds of all documents those with the term have to be toxic, each count half a document more."""
+    return (toxic + 0.5) / (clean + 0.5) * (n_clean / n_toxic)
+
+
 def learn_lexicon(labelled: DataFrame, size: int) -> Lexicon:
     """The terms most associated with toxic documents, at most `size`. labelled: (toxic 0/1, _text).
 
-    Of m terms that are looked at, about one is as associated by chance as the least that is taken: a G2 of 2 ln m.
+    Of m terms that are looked at in two ways, about one is as associated by chance as the least that is taken: a G2 of
+    2 ln 2m. A term counts in the way in which it is more associated, and needs the odds of LEAST_ODDS besides. What a
+    shorter word start tells as surely comes last.
     """
     totals = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return Lexicon({})
-    counted = labelled.mapInArrow(_mine(LEAST_SHARE), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    g2 = association(F.col("toxic"), F.col("clean"), totals[1], totals[0])
-    looked = materialize(counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("g2", F.round(g2, 6)), "terms")
-    best = looked.where(F.col("g2") >= 2 * math.log(max(1, looked.count()))).orderBy(F.desc("g2"), "term").limit(size)
-    return Lexicon({t: i for i, t in enumerate(best.select("term").toArrow()["term"].to_pylist())})
+    counted = labelled.mapInArrow(_mine(LEAST_SHARE), "term string, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    ways = []
+    for clean, toxic in (COUNTS[:2], COUNTS[2:]):
+        odds = odds_ratio(F.col(toxic), F.col(clean), totals[1], totals[0])
+        g2 = F.round(association(F.col(toxic), F.col(clean), totals[1], totals[0]), 6)
+        ways.append(F.when((F.col(toxic) >= LEAST_DOCS) & (odds >= LEAST_ODDS), F.struct(g2.alias("g2"), F.log(odds).alias("odds"))))
+    looked = materialize(counted.where(F.col("toxic") >= LEAST_DOCS).select("term", F.greatest(*ways).alias("way")), "terms")
+    best = looked.where(F.col("way.g2") >= 2 * math.log(max(1, 2 * looked.count()))).orderBy(F.desc("way.g2"), "term").limit(4 * size)
+    odds = {r["term"]: r["odds"] for r in best.select("term", "way.odds").toArrow().to_pylist()}
+    told = lambda t: any(odds.get(t[:k] + "*", -1.0) >= odds[t] for k in STARTS if k < len(t.rstrip("*")))
+    kept = sorted(odds, key=told)[:size]  # a stable sort: by association otherwise
+    return Lexicon({t: i for i, t in enumerate(kept)}, {t: odds[t] for t in kept})
 
 
 def look(text: str | None, lexicon: Lexicon) -> tuple[str, dict[int, float]]:
@@ -115,6 +138,7 @@ def look(text: str | None, lexicon: Lexicon) -> tuple[str, dict[int, float]]:
         share = terms[term] / n
         found[lexicon.terms[term]] = min(1.0, SCALE * share)
         values[f"starts{len(term) - 1}" if term[-1] == "*" else f"words{xxhash.xxh64_intdigest(term) % LEXICONS}"] += share
+        values["strongest"] = max(values["strongest"], lexicon.odds.get(term, 0.0))
     if n:
         values["insults"] = sum(terms[w] for w in INSULTS if w in terms) / n
         letters = sum(map(str.isalpha, text))
@@ -122,7 +146,7 @@ def look(text: str | None, lexicon: Lexicon) -> tuple[str, dict[int, float]]:
         values["exclaims"] = text.count("!") / n
     for i, (name, *_) in enumerate(VOTERS):
         if values[name]:
-            found[len(lexicon.terms) + i] = min(1.0, values[name] * (1.0 if name in ("shouting", "exclaims") else SCALE))
+            found[len(lexicon.terms) + i] = min(1.0, values[name] * SCALES.get(name, SCALE))
     votes = "".join(ABSTAIN if not n else TOXIC if values[name] >= bad else CLEAN if values[name] <= good else ABSTAIN for name, bad, good in VOTERS)
     return votes, found
 
@@ -181,7 +205,7 @@ def _likelihood(model: LabelModel, votes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_label_model(counts: dict[str, int], rounds: int = 200, weight: float = 1.0, least_gain: float = 0.002) -> tuple[dict[str, float], LabelModel]:
+def fit_label_model(counts: dict[str, int], rounds: int = 200, weight: float = 1.0, least_gain: float = 0.002, anchored: bool = False) -> tuple[dict[str, float], LabelModel]:
     """Expectation-maximisation over vote patterns: the posterior that each pattern's documents are toxic, and the model.
 
     counts: documents by pattern; a pattern is a vote of each voter and the label, if any, as one more voter with
@@ -189,6 +213,9 @@ def fit_label_model(counts: dict[str, int], rounds: int = 200, weight: float = 1
     along the spanning tree of the largest conditional mutual informations, found again as posteriors settle. So two
     lexicons that always agree don't count twice. Beliefs of fixed weight: a vote is right four times in five, a label
     49 times in 50. Starts from the labels, and from two or more toxic votes where there is none.
+
+    anchored: where many votes agree on something else, such as the language, that would become the class. So the start is
+    from labelled documents alone, others weigh as much as those at most, and the belief in labels as many documents.
     """
     patterns = sorted(counts)
     if not patterns:
@@ -196,13 +223,17 @@ def fit_label_model(counts: dict[str, int], rounds: int = 200, weight: float = 1
     votes = np.array([[(CLEAN, TOXIC, ABSTAIN).index(c) for c in p] for p in patterns])
     mass, n = np.array([counts[p] for p in patterns], float), votes.shape[1]
     label = votes[:, -1]
+    labelled = mass[label < 2].sum() if anchored else 0.0
+    if labelled:
+        mass = np.where(label < 2, mass, mass * min(1.0, labelled / max(1.0, mass[label == 2].sum())))
     toxic = np.where(label < 2, np.where(label == 1, 0.95, 0.05), np.where((votes[:, :-1] == 1).sum(axis=1) >= 2, 0.9, 0.05))
     hot = np.stack([votes == v for v in (0, 1)], axis=2).reshape(len(votes), 2 * n).astype(float)
     belief = np.array([[0.8, 0.2], [0.2, 0.8]])[:, None, :].repeat(n, 1) * 5 * weight
-    belief[:, -1] = np.array([[0.98, 0.02], [0.02, 0.98]]) * 200 * weight
+    belief[:, -1] = np.array([[0.98, 0.02], [0.02, 0.98]]) * max(200.0, labelled) * weight
     parent: list[int] = []
     for step in range(rounds):
-        held = np.stack([mass * (1 - toxic), mass * toxic])
+        seen = mass * (label < 2) if labelled and not step else mass
+        held = np.stack([seen * (1 - toxic), seen * toxic])
         both = np.stack([hot.T @ (hot * h[:, None]) for h in held]).reshape(2, n, 2, n, 2)
         own = np.stack([both[:, j, :, j, :].diagonal(axis1=1, axis2=2) for j in range(n)], axis=1) + belief
         rates = own / own.sum(axis=2, keepdims=True)
@@ -245,7 +276,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, l
     one document as the largest. From the documents they name come the terms of the lexicons, at most `terms`. Then all
     documents are voted on, and the label model estimates accuracies and correlations from the counts of vote patterns
     of all documents, at most 3 to the number of voters. The scorer, linear on term shares and measures, is fitted
-    on the posterior labels of at most fit_rows documents, half of them toxic where there are so many. Ids, sources and
+    on the labels, then the posterior labels, of at most fit_rows documents, half of them toxic where there are so many,
+    weighted so that either half counts as in all documents. Ids, sources and
     languages are no input. Texts are read twice and never shuffled; null and empty texts are scored by the bias alone.
     Rows of equal or null ids are scored each by itself; an empty table gives an empty one.
     """
@@ -259,14 +291,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, l
     seen = materialize(rows.mapInArrow(_look(spark.sparkContext.broadcast(lexicon)), f"doc_id {kind}, hash long, votes string, index array<int>, value array<float>"), "votes")
     marked = seen.join(chosen, "doc_id", "left").withColumn("pattern", F.concat("votes", F.coalesce(F.col("toxic").cast("string"), F.lit(ABSTAIN)))).drop("toxic")
     counts = {r["pattern"]: r["count"] for r in marked.groupBy("pattern").count().toArrow().to_pylist()}
-    posterior, _ = in_task(spark, fit_label_model, counts)
-    known, sample = set(), []
+    posterior, _ = in_task(spark, fit_label_model, counts, 200, 1.0, 0.002, True)
+    target = {p: float(p[-1]) if p[-1] != ABSTAIN else v for p, v in posterior.items()}
+    sample, weights = [], []
     for side in (True, False):
-        own = [p for p, v in posterior.items() if (v >= 0.5) == side]
+        own = [p for p, v in target.items() if (v >= 0.5) == side]
         if own:
-            known.update(own)
             listed = F.broadcast(spark.createDataFrame([(p,) for p in own], "pattern string"))  # at most 3 ** voters
-            sample += marked.join(listed, "pattern").orderBy("hash", "doc_id").limit(fit_rows // 2).select("pattern", "index", "value").toArrow().to_pylist()
-    weights = in_task(spark, fit_logistic, [(r["index"], r["value"], posterior[r["pattern"]]) for r in sample], lexicon.size, -4.0)
+            got = marked.join(listed, "pattern").orderBy(F.col("pattern").endswith(ABSTAIN), "hash", "doc_id").limit(fit_rows // 2).select("pattern", "index", "value").toArrow().to_pylist()
+            sample += got
+            weights += [sum(counts[p] for p in own) / max(1, len(got))] * len(got)  # the sides as large as in all documents
+    weights = in_task(spark, fit_logistic, [(r["index"], r["value"], target[r["pattern"]]) for r in sample], lexicon.size, -4.0, 25, 1e-4, weights)
     scored = seen.select("doc_id", "votes", "index", "value").mapInArrow(_score(weights), f"doc_id {kind}, votes string, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from ragspark.llm import catalog
+from ragspark.llm.quality import fit_logistic
 from ragspark.llm.toxicity import ABSTAIN, VOTERS, Lexicon, association, fit_label_model, learn_lexicon, look, score_toxicity, term_counts
 
 SCHEMA = "doc_id long, text string, votes string, toxic string, _hash int, index string"
@@ -127,6 +128,67 @@ def test_held_out_accuracy(spark, planted):
     assert all((r.score >= 0.3) == bool(r.predicted) and 0 <= r.score <= 1 for r in got.values())
 
 
+@pytest.fixture(scope="module")
+def leaning():
+    """Two languages, one with thrice the share of toxic documents; those hold one or two toxic words, however long they are."""
+    rng = random.Random(5)
+    often = {"a": ["to", "a", "was", "the", "of"], "b": ["der", "ein", "zu", "von", "und"]}
+    rare = {"a": [f"on{x}th{y}" for x in "abcdefgh" for y in "aeiou"], "b": [f"ge{x}en{y}" for x in "abcdefgh" for y in "äeiöü"]}
+    bad = {"a": ["blarg", "snork", "grumphed", "wexer"], "b": ["zefflich", "zeffkeit", "zeffbar", "zefften"]}
+    docs, toxic = [], {}
+    for d in range(3000):
+        lang = rng.choice("aaabb")
+        y = int(rng.random() < (0.18 if lang == "a" else 0.06))
+        words = [rng.choice(often[lang] if rng.random() < 0.4 else rare[lang]) for _ in range(rng.choice([30, 60, 600]))]
+        for _ in range(rng.choice([1, 2]) if y else 0):
+            words[rng.randrange(len(words))] = rng.choice(bad[lang])
+        docs.append((d, " ".join(words)))
+        toxic[d] = y
+    return docs, toxic
+
+
+def test_words_of_a_language_are_no_terms(spark, leaning):
+    """Words that all documents of one language hold lean to its class, surely so, but tell nothing of a document."""
+    docs, toxic = leaning
+    lexicon = learn_lexicon(spark.createDataFrame([(toxic[d], t) for d, t in docs], "toxic int, _text string"), 512)
+    assert {"blarg", "snork", "grumphed", "wexer", "zeff*"} <= set(lexicon.terms)
+    assert not {"to", "a", "was", "the", "of", "der", "ein"} & set(lexicon.terms)
+    assert set(lexicon.odds) == set(lexicon.terms) and lexicon.odds["blarg"] > 4
+    names = [v for v, *_ in VOTERS]
+    votes, _ = look("blarg " + "to " * 2000, lexicon)
+    assert votes[names.index("strongest")] == "1" and look("to " * 9, lexicon)[0][names.index("strongest")] == "0"
+
+
+def test_toxic_words_in_long_texts_and_leaning_languages(spark, leaning):
+    """One toxic word in a text of 600 is found; the language with more toxic documents is not taken for the class."""
+    docs, toxic = leaning
+    known = [(d, y) for d, y in toxic.items() if d % 3]
+    got = {r.doc_id: r.predicted for r in score_toxicity(frame(spark, docs), spark.createDataFrame(known, "doc_id long, toxic int")).collect()}
+    caught = [got[d] for d, y in toxic.items() if d % 3 == 0 and y]
+    marked = [got[d] for d, y in toxic.items() if d % 3 == 0 and not y]
+    assert sum(caught) >= 0.97 * len(caught) and sum(marked) <= 0.02 * len(marked)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.02])
+def test_labels_hold_the_class(share):
+    """Votes that agree on something else, a language, can't make that the class, however few documents have labels."""
+    rng = random.Random(3)
+    counts = Counter()
+    for _ in range(40_000):
+        y, lang = rng.random() < 0.1, rng.random() < 0.5
+        votes = [lang ^ (rng.random() < 0.02) for _ in range(5)] + [y ^ (rng.random() < 0.02)]
+        counts["".join(str(int(v)) for v in votes) + (str(int(y)) if rng.random() < share else "-")] += 1
+    found, model = fit_label_model(counts, anchored=True)
+    assert 0.07 < model.prior < 0.13 and found["000001-"] > 0.5 > found["111110-"]
+
+
+def test_fit_counts_rows_by_their_weights():
+    rng = random.Random(4)
+    rows = [([0], [float(rng.random() < 0.5)], float(rng.random() < 0.4)) for _ in range(300)]
+    twice = fit_logistic([r for r in rows for _ in range(1 + int(r[2]))], 1, -4.0, ridge=0.0)
+    assert np.allclose(fit_logistic(rows, 1, -4.0, ridge=0.0, weights=[7.0 * (1 + r[2]) for r in rows]), twice, atol=1e-6)
+
+
 def test_query_learns_from_its_own_labels_only(spark, tmp_path, planted):
     """Labels of held-out documents, and languages, sources and ids, change nothing."""
     docs, toxic = planted
