@@ -35,9 +35,10 @@ WORD = re.compile(r"[^\W\d_]+")
 #: A term may be toxic if it has so many toxic documents and so many times the odds of all, counting those that hold
 #: it or those where it is such a share of the words. Words that merely lean to a class, as those of a language do, don't.
 LEAST_DOCS, LEAST_ODDS, LEAST_SHARE = 3, 6.0, 0.004
-#: What a term's share counts for, up to 1, and by what the measures that are no shares are multiplied.
+#: What a term's share counts for, up to 1; for measures that are no shares, by what they are multiplied and up to what.
+#: One rare but telling term has to outweigh all shares that are near zero in a long text.
 SCALE = 50.0
-SCALES = {"shouting": 1.0, "exclaims": 1.0, "strongest": 1 / 6}
+SCALES = {"shouting": (1.0, 1.0), "exclaims": (1.0, 1.0), "strongest": (0.5, 3.0)}
 
 
 class Lexicon(NamedTuple):
@@ -146,7 +147,8 @@ def look(text: str | None, lexicon: Lexicon) -> tuple[str, dict[int, float]]:
         values["exclaims"] = text.count("!") / n
     for i, (name, *_) in enumerate(VOTERS):
         if values[name]:
-            found[len(lexicon.terms) + i] = min(1.0, values[name] * SCALES.get(name, SCALE))
+            scale, most = SCALES.get(name, (SCALE, 1.0))
+            found[len(lexicon.terms) + i] = min(most, values[name] * scale)
     votes = "".join(ABSTAIN if not n else TOXIC if values[name] >= bad else CLEAN if values[name] <= good else ABSTAIN for name, bad, good in VOTERS)
     return votes, found
 
