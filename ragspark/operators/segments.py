@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragspark.functions.text import words
-from ragspark.operators.bm25 import EPSILON, Index, term_weights
+from ragspark.operators.bm25 import EPSILON, Index, forward, term_weights
 from ragspark.sources import versions
 
 TABLES = ("records", "forward", "postings", "frequencies", "sizes")
@@ -14,10 +13,8 @@ TABLES = ("records", "forward", "postings", "frequencies", "sizes")
 
 def _terms(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dl, terms): the distinct terms of each chunk with their counts, as an array."""
-    tokens = chunks.select("chunk_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    counted = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    listed = counted.groupBy("chunk_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-    return tokens.drop("tokens").join(listed, "chunk_id", "left")
+    pair = lambda x: F.struct(x["terms"].alias("term"), x["tfs"].cast("long").alias("tf"))
+    return forward(chunks).select("chunk_id", "dl", F.transform(F.arrays_zip("terms", "tfs"), pair).alias("terms"))
 
 
 def _difference(added: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,15 +40,15 @@ def update_index(spark: SparkSession, path: str, chunks: DataFrame | None = None
     new = given.select(F.col("chunk_id").cast(kind).alias("chunk_id"), "text").withColumn("_n", F.row_number().over(one)).where("_n = 1").join(ids, "chunk_id", "left_anti")
     number = versions.claim(spark, path)
     versions.write_version(_terms(new), path, "forward", number)
-    forward = spark.read.parquet(f"{path}/forward/version={number}")
-    touched = forward.select("chunk_id").union(ids)
+    made = spark.read.parquet(f"{path}/forward/version={number}")
+    touched = made.select("chunk_id").union(ids)
     if held["tables"]:
-        gone = versions.live(spark, path, "forward", "chunk_id", "records", held).drop("version").join(touched, "chunk_id", "left_semi").select(*forward.columns)
+        gone = versions.live(spark, path, "forward", "chunk_id", "records", held).drop("version").join(touched, "chunk_id", "left_semi").select(*made.columns)
     else:
-        gone = forward.limit(0)
-    df, sizes = _difference(forward, gone)
-    postings = forward.select(F.explode("terms").alias("t"), "chunk_id", "dl").select("t.term", "chunk_id", "t.tf", "dl")
-    records = forward.select("chunk_id", F.lit("active").alias("status")).union(ids.join(gone, "chunk_id", "left_semi").select("chunk_id", F.lit("deleted")))
+        gone = made.limit(0)
+    df, sizes = _difference(made, gone)
+    postings = made.select(F.explode("terms").alias("t"), "chunk_id", "dl").select("t.term", "chunk_id", "t.tf", "dl")
+    records = made.select("chunk_id", F.lit("active").alias("status")).union(ids.join(gone, "chunk_id", "left_semi").select("chunk_id", F.lit("deleted")))
     for name, rows in (("postings", postings), ("frequencies", df), ("sizes", sizes), ("records", records)):
         versions.write_version(rows, path, name, number)
     versions.publish(spark, path, held, {name: [*held["tables"].get(name, []), number] for name in TABLES})
@@ -64,11 +61,12 @@ def read_index(spark: SparkSession, path: str, epsilon: float = EPSILON) -> Inde
     Statistics are sums over the segments' differences; postings of chunks that changed or went are left out by one join.
     """
     held = versions.manifest(spark, path)
+    listed = versions.live(spark, path, "forward", "chunk_id", "records", held).select("chunk_id", "dl", F.col("terms.term").alias("terms"), F.col("terms.tf").alias("tfs"))
     postings = versions.live(spark, path, "postings", "chunk_id", "records", held).select("term", "chunk_id", "tf", "dl")
     total = versions.read_table(spark, path, "sizes", held).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
     statistics = total.select("n", (F.col("tokens") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl"))
     df = versions.read_table(spark, path, "frequencies", held).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-    return Index(postings, term_weights(df, statistics, epsilon, counted=True), statistics)
+    return Index(postings, term_weights(df, statistics, epsilon, counted=True), statistics, listed)
 
 
 def compact_index(spark: SparkSession, path: str) -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG = "_log"
+#: Versions that count no more, of all keys, which are sent to the rows at most.
+SENT_STALE = 250_000
 
 
 class Conflict(RuntimeError):
@@ -75,7 +77,7 @@ def publish(spark: SparkSession, path: str, parent: dict, tables: dict[str, list
 
 def write_version(df: DataFrame, path: str, name: str, version: int) -> None:
     """The rows of one table in one version; readers don't see them before they are published."""
-    df.write.mode("overwrite").parquet(f"{path}/{name}/version={version}")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/version={version}")
 
 
 def read_table(spark: SparkSession, path: str, name: str, at: dict | None = None) -> DataFrame:
@@ -118,11 +120,17 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
 def live(spark: SparkSession, path: str, name: str, key: str = "document_id", records: str = "documents", at: dict | None = None) -> DataFrame:
     """The rows of a table that belong to the latest version of a record that is there, merged as they are read.
 
-    Records (key, status) tell of each change of a key: its newest one counts, and says that it is there or `deleted`.
+    Records (key, status) tell of each change of a key: its newest one counts, and says that it is there or `deleted`. As
+    every version of a key has its record, up to SENT_STALE that count no more are sent to the rows, which stay where they
+    are; with more, the rows are joined with the newest ones.
     """
     held = at or manifest(spark, path)
-    newest = read_table(spark, path, records, held).groupBy(key).agg(F.max("version").alias("version"), F.max_by("status", "version").alias("_status"))
-    return read_table(spark, path, name, held).join(newest.where("_status <> 'deleted'").select(key, "version"), [key, "version"], "left_semi")
+    told, rows = read_table(spark, path, records, held).select(key, "version", "status"), read_table(spark, path, name, held)
+    newest = told.groupBy(key).agg(F.max("version").alias("version"), F.max_by("status", "version").alias("_status")).where("_status <> 'deleted'").select(key, "version")
+    stale = told.select(key, "version").distinct().join(newest, [key, "version"], "left_anti")
+    if stale.limit(SENT_STALE + 1).count() > SENT_STALE:
+        return rows.join(newest, [key, "version"], "left_semi")
+    return rows.where(F.col(key).isNotNull()).join(F.broadcast(stale), [key, "version"], "left_anti")
 
 
 def compact(spark: SparkSession, path: str, key: str = "document_id", records: str = "documents") -> dict:
