@@ -65,32 +65,29 @@ def ingest_batch(docs: DataFrame, path: str, batch: int, source: str = "", order
     text; it alone is hashed, cut and stored. A document whose id and content hash are there is left alone; a
     changed one, or one that was removed, gets its rows with the next number of the table's log, see versions. A batch of
     a source that was published before is left out, whatever its number is in other sources. When so many versions
-    have come together they are compacted.
+    have come together they are compacted. Nothing is cached: vectors are made from the children as they were stored.
     """
     spark = docs.sparkSession
     order = [F.desc(order_col)] if order_col else []
-    one = Window.partitionBy("path").orderBy(*order, F.desc(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    single = docs.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("path", "text")
+    one = Window.partitionBy("path").orderBy(*order, F.desc("_hash"))
+    hashed = docs.withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    single = hashed.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("path", "text", "_hash")
 
     def change() -> None:
         held = versions.manifest(spark, path)
         if held["batches"].get(source, -1) >= batch:
             return
-        records = document_records(single.withColumn("_text", F.col("text")), extra=("_text",))
+        records = document_records(single.withColumn("_text", F.col("text")), extra=("_text", "_hash")).withColumn("content_hash", F.col("_hash")).drop("_hash")
         if held["tables"]:
             old = versions.live(spark, path, "documents", at=held).select("document_id", "content_hash")
             records = records.join(old, ["document_id", "content_hash"], "left_anti")
-        records = records.persist()
         _, children = chunking.chunk_records(records.select(F.col("source_path").alias("path"), F.col("_text").alias("text")))
-        children = children.persist()
         number = versions.claim(spark, path)
-        vectors = embedding.hash_embed(children, "chunk_id", "text").join(children.select("chunk_id", "document_id"), "chunk_id")
-        made = {"children": children, "vectors": vectors, "documents": records.drop("_text")}
-        for name, df in made.items():
-            versions.write_version(df, path, name, number)
-        children.unpersist()
-        records.unpersist()
-        versions.publish(spark, path, held, {name: [*held["tables"].get(name, []), number] for name in made}, held["batches"] | {source: batch})
+        versions.write_version(children, path, "children", number)
+        cut = spark.read.schema(children.schema).parquet(f"{path}/children/version={number}")
+        versions.write_version(embedding.hash_embed(cut, "chunk_id", "text", carry=("document_id",)).select("chunk_id", "vector", "document_id"), path, "vectors", number)
+        versions.write_version(records.drop("_text"), path, "documents", number)
+        versions.publish(spark, path, held, {name: [*held["tables"].get(name, []), number] for name in ("children", "vectors", "documents")}, held["batches"] | {source: batch})
 
     _retried(change)
     if compact_every and len(versions.manifest(spark, path)["tables"].get("documents", [])) >= compact_every:
